@@ -85,12 +85,11 @@ class WindowLog:
         return self.spark.read.schema(ROWS).parquet(*self.paths).select("m", "c", "doc_id", "pos", "len") if self.paths else self.spark.createDataFrame([], "m long, c long, doc_id long, pos long, len int")
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, pos, len): what of docs (doc_id, text, salt) repeats earlier words; docs become history."""
+        """Rows of kind REPEAT and COMPARE (superwindows.py) of docs (doc_id, text, salt) against all before; docs become history."""
         both, path = stage_at(settled(rows(docs, word_units(self.k), self.window, self.k), self.runs()), "log-merge")
         unseen = both.where(F.col("kind") == NEW)
         run = new_path(self.spark, "log-run")
         unseen.repartition(partitions(docs), "m").sortWithinPartitions("m", "c").write.parquet(run)
-        # what differs under one minimiser: the texts of this batch here, those of earlier ones from their documents
         self.paths.append(run)
         if len(self.paths) >= self.most_runs:
             self.compact()
@@ -105,8 +104,8 @@ class WindowLog:
         self.paths = [path]
 
 
-def removed_words(docs: DataFrame, window: int = 20, k: int = 5, batches: int = 2, log: WindowLog | None = None) -> DataFrame:
-    """(doc_id, text, items): for every row of docs the spans (start, len) in words to remove; items is null if none.
+def removals(docs: DataFrame, window: int = 20, k: int = 5, batches: int = 2, log: WindowLog | None = None) -> DataFrame:
+    """(id, salt, items): the spans (start, len) in words to remove from each document that has some.
 
     docs are added to the log in `batches` ranges of ascending ids. A log that already has runs must hold smaller ids
     only, and docs must then hold those documents too: their texts are what differing windows are verified against.
@@ -120,7 +119,7 @@ def removed_words(docs: DataFrame, window: int = 20, k: int = 5, batches: int =
         both = both.unionByName(more)
     verified = compared(texts_of(docs, both.where(F.col("kind") == COMPARE), _cut), window, word_repeats)
     gone = both.where(F.col("kind") == REPEAT).select("doc_id", "pos", "len").unionByName(verified)
-    return on_document(docs, by_document(gone, F.col("len")), "left").select("doc_id", "text", "items")
+    return by_document(gone, F.col("len"))
 
 
 def deduplicate(docs: DataFrame, window: int = 20, k: int = 5, batches: int = 2) -> DataFrame:
@@ -144,4 +143,5 @@ def deduplicate(docs: DataFrame, window: int = 20, k: int = 5, batches: int = 2)
                 kept.append(b" ".join(own))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array([x.decode("utf-8", "surrogatepass") for x in kept], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])], names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    return removed_words(docs, window, k, batches).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    joined = on_document(with_salt(id_text(docs)), removals(docs, window, k, batches), "left").select("doc_id", "text", "items")
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")

@@ -18,6 +18,7 @@ LONG = 64
 #: What the pre-tokenizers take for white space (Unicode White_Space), spelt out: Python's \\s also has \x1c-\x1f.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 STRETCH = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+TAIL = re.compile(r"(?<=[A-Za-z])[,.;:!?|$%&*#]+\Z")
 WORD = re.compile(f"[^{SPACE}]+")
 
 
@@ -30,10 +31,21 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.spaces = self.tokenizer.model, spaces
         self.stretches = (STRETCH if spaces else WORD).findall
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+        cut = TAIL.search(stretch)
+        if cut:  # letters and the marks behind them are split before any merge
+            ids = self[stretch[: cut.start()]] + self[cut.group()]
+        else:
+            plain = stretch[self.spaces and stretch[:1] == " " :]
+            if plain.isascii() and plain.isalpha():  # one word, past the steps before the merges
+                plain = plain if self.spaces else plain.lower()
+                found = self.model.tokenize("\u0120" + plain if plain != stretch and self.spaces else plain)
+                ids = np.array([x.id for x in found], "<u4").tobytes()
+            else:
+                ids = np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
         if len(stretch) <= LONG:
             self[stretch] = ids
         return ids
