@@ -60,7 +60,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_embedding_near_dedup": """
 with recursive v as (
   select vec_id, label, embedding::double[] as e,
-         embedding is not null and label is not null and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, x -> x <> 0)) as usable
+         embedding is not null and label is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0)) as usable
   from embeddings),
 pairs as (
   select a.vec_id as a, b.vec_id as b
