@@ -1,0 +1,110 @@
+"""Retrieval, span and term metrics as aggregates."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+KS = (1, 3, 5, 10)
+
+
+def nearest_rank(values: Column, share: float) -> Column:
+    """The value at place min(int(share * n), n - 1) of the sorted values of a group."""
+    ordered = F.sort_array(F.collect_list(values))
+    return F.get(ordered, F.least((F.size(ordered) * F.lit(share)).cast("int"), F.size(ordered) - 1))
+
+
+def summary(results: DataFrame, by: list[str]) -> DataFrame:
+    """hit@k, MRR (a miss counts 0), latencies of results (rank or null, latency_ms), overall (nulls) and for each of `by`."""
+    hits = [F.round(F.avg(F.coalesce((F.col("rank") <= k).cast("int"), F.lit(0))), 6).alias(f"hit_{k}") for k in KS]
+    rest = [F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg("latency_ms"), 6).alias("mean_ms"), nearest_rank(F.col("latency_ms"), 0.5).alias("p50_ms"), nearest_rank(F.col("latency_ms"), 0.95).alias("p95_ms")]
+    return results.rollup(*by).agg(F.count("*").alias("n"), *hits, *rest)
+
+
+def first_hit(results: DataFrame, relevant: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, rank): the best rank of a relevant chunk, null for a miss; relevant (key, chunk_id)."""
+    hit = results.join(relevant, [key, "chunk_id"]).groupBy(key).agg(F.min("rank").alias("rank"))
+    return relevant.select(key).distinct().join(hit, key, "left")
+
+
+def ndcg(results: DataFrame, relevant: DataFrame, k: int, key: str = "query_id") -> DataFrame:
+    """(key, ndcg) with several relevant chunks of gain 1."""
+    dcg = results.where(F.col("rank") <= k).join(relevant, [key, "chunk_id"]).groupBy(key).agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
+    ideal = relevant.groupBy(key).agg(F.count("*").alias("n"))
+    best = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    return ideal.join(dcg, key, "left").select(key, F.round(F.coalesce("dcg", F.lit(0.0)) / best, 6).alias("ndcg"))
+
+
+def covered(spans: DataFrame, key: str) -> DataFrame:
+    """Disjoint spans (key, start, end) that cover what overlapping ones do: islands by the running largest end."""
+    w = Window.partitionBy(key).orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.where("end > start").withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+    return marked.withColumn("island", F.sum("new").over(w)).groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def span_scores(found: DataFrame, true: DataFrame, key: str) -> DataFrame:
+    """(key, recall, precision, iou) of character spans; overlaps count once."""
+    a, b = covered(found, key), covered(true, key)
+    size = lambda d, n: d.groupBy(key).agg(F.sum(F.col("end") - F.col("start")).alias(n))
+    both = a.join(b.select(key, F.col("start").alias("s"), F.col("end").alias("e")), key).where("start < e and s < end")
+    both = both.groupBy(key).agg(F.sum(F.least("end", "e") - F.greatest("start", "s")).alias("both"))
+    t = size(a, "f").join(size(b, "t"), key, "full").join(both, key, "left").na.fill(0, ["f", "t", "both"])
+    part = lambda x, y: F.round(F.coalesce(x / F.nullif(y, F.lit(0)), F.lit(0.0)), 6)
+    c = F.col
+    return t.select(key, part(c("both"), c("t")).alias("recall"), part(c("both"), c("f")).alias("precision"), part(c("both"), c("f") + c("t") - c("both")).alias("iou"))
+
+
+def bootstrap(values: DataFrame, column: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """(mean, low, high): a 95 % interval of a mean by Poisson resampling: each row weighs into each resample on its own."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        total, n = np.zeros(resamples), np.zeros(resamples)
+        for pdf in it:
+            for key, v in zip(pdf["_key"], pdf[column]):
+                w = np.random.default_rng([seed, int(key) & 0xFFFFFFFF]).poisson(1.0, resamples)
+                total += w * v
+                n += w
+        yield pd.DataFrame({"sample": range(resamples), "total": total, "n": n})
+
+    rows = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias(column), F.xxhash64(*values.columns).alias("_key"))
+    means = rows.mapInPandas(run, "sample int, total double, n double").groupBy("sample").agg((F.sum("total") / F.sum("n")).alias("m"))
+    return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")).crossJoin(rows.agg(F.avg(column).alias("mean")))
+
+
+def lcs_ratio(a: str, b: str) -> float:
+    """2 * longest common subsequence / both lengths, 0 to 100."""
+    if not a and not b:
+        return 100.0
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return 200.0 * row[-1] / (len(a) + len(b))
+
+
+def lcs_ratios(a: Column, b: Column) -> Column:
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([lcs_ratio(p or "", q or "") for p, q in zip(x, y)])
+
+    return run(a, b)
+
+
+def matched_terms(found: list[str], true: list[str], least: float = 85.0, one_to_one: bool = False) -> tuple[int, int, int]:
+    """(true positives of found, of true, matches): terms match when equal or alike; one-to-one: greedily, best pairs first."""
+    pairs = sorted(((lcs_ratio(f.lower(), t.lower()), -i, -j) for i, f in enumerate(found) for j, t in enumerate(true)), reverse=True)
+    pairs = [(-i, -j) for s, i, j in pairs if s >= least]
+    if one_to_one:
+        a, b, kept = set(), set(), []
+        for i, j in pairs:
+            if i not in a and j not in b:
+                a.add(i), b.add(j), kept.append((i, j))
+        pairs = kept
+    return len({i for i, _ in pairs}), len({j for _, j in pairs}), len(pairs)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from corpuslode.plans import search_queries, text_queries  # noqa: F401  register their queries
+from corpuslode.plans.registry import QUERIES, SQL
+
 FLAGSHIP = "hyb1_hybrid_search"
 
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
