@@ -19,6 +19,8 @@ from corpuslode.llm.common import id_text, partitions
 from corpuslode.llm.tokens import encoder, public
 
 OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.compress": "ZSTD"}
+#: Files whose starts are broadcast; of more, they are joined by a shuffle.
+MOST_FILES = 100_000
 FILE = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
@@ -59,6 +61,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     before = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # a row a part: few, and one task adds them up
     before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    # a broadcast of 16 bytes a file, up to a checked number of files: the ids then stay where they are read
+    if before.count() <= MOST_FILES:
+        before = F.broadcast(before)
     return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 

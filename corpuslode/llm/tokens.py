@@ -11,7 +11,7 @@ import re
 import numpy as np
 
 #: Stretches whose ids a worker keeps; it starts anew when they are full.
-KEPT = 400_000
+KEPT = 1_200_000
 #: Characters of one stretch that are worth keeping.
 LONG = 64
 
@@ -22,6 +22,15 @@ TAIL = re.compile(r"(?<=[A-Za-z])[,.;:!?|$%&*#]+\Z")
 WORD = re.compile(f"[^{SPACE}]+")
 
 
+def latin(text: str) -> bool:
+    """Whether all characters are Latin-1: composed already, and lower-cased one by one."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder(dict):
     """Stretch -> its ids as little-endian unsigned 32-bit integers. spaces: whether white space is encoded too."""
 
@@ -55,6 +64,8 @@ class Encoder(dict):
             return b""
         if len(self) > KEPT:
             self.clear()
+        if not self.spaces and latin(text):
+            text = text.lower()  # as the vocabulary's normaliser does; fewer stretches differ
         return b"".join(map(self.__getitem__, self.stretches(text)))
 
 
