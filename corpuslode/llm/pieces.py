@@ -33,6 +33,7 @@ class Pieces(dict):
         import sentencepiece
 
         super().__init__()
+        self.ways: dict[tuple[str, int], list] = {}  # the searches of stretches that often deviate
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         n = p.get_piece_size()
         self.text = [p.id_to_piece(i) for i in range(n)]
@@ -136,7 +137,11 @@ class Pieces(dict):
         for i in near:
             if not np.isfinite(gaps[i]):
                 continue
-            ways = self.paths(own[i], n)
+            if (own[i], n) not in self.ways:
+                if len(self.ways) > KEPT // 20:
+                    self.ways.clear()
+                self.ways[own[i], n] = self.paths(own[i], n)
+            ways = self.ways[own[i], n]
             more = [(loss + ways[0][0] - score, [*dev, (int(i), ids)] if k else dev) for loss, dev in combos for k, (score, ids) in enumerate(ways)]
             combos = heapq.nsmallest(n, more, key=lambda x: x[0])
         return b"".join([f[0] for f in found]), [total - loss for loss, _ in combos], [dev for _, dev in combos]
