@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import id_text, stage
+from corpuslode.llm.common import id_text, partitions, stage
 from corpuslode.llm.tokens import encoder, public
 
 ROOM, PACK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1024, 4096, 2, 2, 4, 4
@@ -179,6 +179,8 @@ def _solved(parts: DataFrame, room: int, islands: int, epochs: int, generations:
             source = elites.withColumn("island", F.explode(at))
         else:
             source = parts.withColumn("island", F.explode(at))
+        # dealt by number: the rows are few and the work on them is not, so they must not be coalesced by size
+        source = source.repartition(partitions(source), "pack", "island")
         found = stage(source.groupBy("pack", "island").applyInPandas(island_run(epoch), schema), name)
     best = found.groupBy("pack").agg(F.max(F.struct("n", "fill", "island")).alias("b")).select("pack", F.col("b.island").alias("island"))
     return found.join(best, ["pack", "island"]).select("pack", "row", "piece", "size", "bin")
