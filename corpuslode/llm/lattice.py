@@ -94,7 +94,7 @@ def _forest(found: pd.DataFrame) -> pd.DataFrame:
     """Links (key, with) that keep the components of all the links in found: one fewer than members, at most."""
     parent: dict = {}
 
-    def root(k: str) -> str:
+    def root(k: bytes) -> bytes:
         while parent.setdefault(k, k) != k:
             parent[k] = parent[parent[k]]
             k = parent[k]
@@ -119,8 +119,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("string").alias("label"))
-    key = F.when(F.col("label").isNull() | F.col("e").isNull() | ~F.exists("e", lambda x: F.coalesce((x != 0) & ~F.isnan(x), F.lit(True))), None).otherwise(F.struct("label", "e"))
-    rows = stage(rows.select("vec_id", "label", "e", F.sha2(F.to_json(key), 256).alias("key")), "vectors")
+    bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("e", lambda x: x != 0)
+    # 128 bits of label and vector: two hashes, whose chains run through the elements from different seeds
+    halves = [F.unhex(F.lpad(F.hex(h), 16, "0")) for h in (F.xxhash64("label", "e"), F.xxhash64("e", "label"))]
+    key = F.when(F.col("label").isNull() | F.col("e").isNull() | bad, None).otherwise(F.concat(*halves))
+    rows = stage(rows.select("vec_id", "label", "e", key.alias("key")), "vectors")
     groups = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("e").alias("e"))
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +137,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
                 lists = lambda x, kind: pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel(), kind))
                 yield pa.RecordBatch.from_arrays([own.column("key"), own.column("node"), own.column("copies"), own.column("label"), lists(u, pa.float64()), lists(c.reshape(len(at), -1), pa.int64())], names=["key", "node", "copies", "label", "e", "cells"])
 
-    placed = stage(groups.mapInArrow(place, "key string, node long, copies long, label string, e array<double>, cells array<long>"), "vectors-placed")
+    placed = stage(groups.mapInArrow(place, "key binary, node long, copies long, label string, e array<double>, cells array<long>"), "vectors-placed")
     where = placed.select("key", "label", F.size("e").alias("dim"), F.explode(F.array_distinct("cells")).alias("cell"))
     crowd = where.groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     met = stage(where.join(crowd, ["label", "dim", "cell"]).select("key", "label", "dim", "cell", "blocks"), "vectors-met")
@@ -173,10 +176,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
                 # the links of a vector in this block: their number, and the ends of a forest of them
                 n = found.groupby("key", as_index=False)["linked"].sum().merge(_forest(found), on="key", how="left")
                 n.loc[n["key"].duplicated(), "linked"] = 0
-                yield pa.RecordBatch.from_pandas(n, schema=pa.schema([("key", pa.string()), ("linked", pa.int64()), ("with", pa.string())]), preserve_index=False)
+                yield pa.RecordBatch.from_pandas(n, schema=pa.schema([("key", pa.binary()), ("linked", pa.int64()), ("with", pa.binary())]), preserve_index=False)
 
     dealt = met.repartition(partitions(met), *keys).sortWithinPartitions(*keys)
-    found = stage(dealt.mapInArrow(verify, "key string, linked long, with string"), "vectors-links")
+    found = stage(dealt.mapInArrow(verify, "key binary, linked long, with binary"), "vectors-links")
     counts = found.groupBy("key").agg(F.sum("linked").alias("linked"))
     ends = placed.select(F.col("key").alias("with"), F.col("node").alias("b"))
     edges = found.where("with is not null").select("key", "with").distinct().join(placed.select("key", F.col("node").alias("a")), "key").join(ends, "with")
