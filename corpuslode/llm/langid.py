@@ -108,8 +108,13 @@ def sample_of(docs: DataFrame, keys: DataFrame, label: str, each: int) -> tuple[
 
     Only that bounded sample reaches the driver; ids are chosen before any text is read.
     """
+    # A label may hold most rows. Its rows are counted first; only those whose hash lies below the share of the hash range that
+    # should hold `each` of them, and 8 standard deviations more, meet in its window. One count a label is broadcast.
+    at = F.shiftright(F.xxhash64("doc_id"), 11) / float(1 << 53) + 0.5
+    counts = keys.groupBy(label).agg(F.count("*").alias("_all"))
+    low = keys.join(F.broadcast(counts), label).where(at * F.col("_all") <= each + 8 * each**0.5 + 64)
     w = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = keys.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= each).select(F.col("doc_id").alias("_id"), F.col(label).alias("_label"))
+    chosen = low.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= each).select(F.col("doc_id").alias("_id"), F.col(label).alias("_label"))
     got = [(r[0], r[1]) for r in chosen.collect()]  # bounded: `each` rows a label
     ids = docs.sparkSession.createDataFrame(got or [(None, None)], chosen.schema)
     rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).select("doc_id", "text", "_label").collect()
