@@ -71,6 +71,11 @@ def _same(*columns: np.ndarray) -> np.ndarray:
     return np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
 
 
+def _earlier(doc: np.ndarray, pos: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Whether the place of row head[i] precedes that of row i."""
+    return (doc[head] < doc) | (doc[head] == doc) & (pos[head] >> 16 < pos >> 16)
+
+
 def rows(docs: DataFrame, units: Callable, window: int, k: int) -> DataFrame:
     """A row for each super-window of docs (doc_id, text, salt); see ROWS. pos: start << 16 | salt.
 
@@ -98,9 +103,10 @@ def rows(docs: DataFrame, units: Callable, window: int, k: int) -> DataFrame:
             doc, pos = ids[d], start << 16 | salt[d]
             o = np.lexsort((pos, doc, c, m))
             m, c, doc, pos, n = (x[o] for x in (m, c, doc, pos, n))
-            kind = np.zeros(len(m), np.int32)
-            kind[1:] = _same(m, c)  # REPEAT
-            # equal places (rows that repeat) are not earlier
+            again = np.zeros(len(m), bool)
+            again[1:] = _same(m, c)
+            # rows of one doc_id can have equal places, of which none is earlier
+            kind = (again & _earlier(doc, pos, np.nonzero(~again)[0][np.cumsum(~again) - 1])).astype(np.int32)  # REPEAT
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(m.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(pos), pa.array((n + window - 1).astype(np.int32))], schema=SCHEMA)
 
     return docs.mapInArrow(run, ROWS)
@@ -132,7 +138,7 @@ def settled(found: DataFrame, history: DataFrame | None = None) -> DataFrame:
             again[1:] = _same(m, c)
             lead = np.nonzero(~again)[0]  # the first row of each content
             head = lead[np.cumsum(~again) - 1]
-            earlier = (doc[head] < doc) | (doc[head] == doc) & (pos[head] < pos)
+            earlier = _earlier(doc, pos, head)
             group = np.ones(len(lead), bool)
             group[1:] = m[lead][1:] != m[lead][:-1]
             number = np.cumsum(group) - 1
