@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpuslode.llm.common import drop, id_ranges, id_text, new_path, partitions, stage_at
 from corpuslode.llm.suffix_array import compared
-from corpuslode.llm.superwindows import COMPARE, NEW, PIECE, REPEAT, ROWS, _M, by_document, mixed, on_document, rows, settled, spans, texts_of, with_salt
+from corpuslode.llm.superwindows import COMPARE, CROWD, NEW, PIECE, REPEAT, ROWS, _M, by_document, mixed, on_document, rows, settled, spans, texts_of, with_salt
 
 
 def word_units(k: int):
@@ -58,18 +58,23 @@ def _cut(text: str | None, places: list) -> list[bytes]:
     return [b" ".join(own[s : s + n]) for s, n in places]
 
 
+def word_windows(text: bytes, window: int) -> list[bytes]:
+    """Every window of words of a text whose words are joined by single spaces."""
+    starts = [0]
+    at = text.find(b" ")
+    while at >= 0:
+        starts.append(at + 1)
+        at = text.find(b" ", at + 1)
+    starts.append(len(text) + 1)
+    return [text[i : j - 1] for i, j in zip(starts, starts[window:])]
+
+
 def word_repeats(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, text, offset) of every window of words that occurs at least twice in the texts, compared as bytes."""
     groups: dict[bytes, list] = {}
     for i, t in enumerate(texts):
-        starts = [0]
-        at = t.find(b" ")
-        while at >= 0:
-            starts.append(at + 1)
-            at = t.find(b" ", at + 1)
-        starts.append(len(t) + 1)
-        for j in range(len(starts) - window):
-            groups.setdefault(t[starts[j] : starts[j + window] - 1], []).append((i, j))
+        for j, w in enumerate(word_windows(t, window)):
+            groups.setdefault(w, []).append((i, j))
     out = [(g, i, j) for g, own in enumerate(groups.values()) if len(own) > 1 for i, j in own]
     return tuple(np.array(x, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
@@ -104,7 +109,7 @@ class WindowLog:
         self.paths = [path]
 
 
-def removals(docs: DataFrame, window: int = 20, k: int = 5, batches: int = 2, log: WindowLog | None = None) -> DataFrame:
+def removals(docs: DataFrame, window: int = 20, k: int = 5, batches: int = 2, log: WindowLog | None = None, crowd: int = CROWD) -> DataFrame:
     """(id, salt, items): the spans (start, len) in words to remove from each document that has some.
 
     docs are added to the log in `batches` ranges of ascending ids. A log that already has runs must hold smaller ids
@@ -117,12 +122,12 @@ def removals(docs: DataFrame, window: int = 20, k: int = 5, batches: int = 2, lo
     both = found[0]
     for more in found[1:]:
         both = both.unionByName(more)
-    verified = compared(texts_of(docs, both.where(F.col("kind") == COMPARE), _cut), window, word_repeats)
+    verified = compared(texts_of(docs, both.where(F.col("kind") == COMPARE), _cut, crowd), window, word_repeats, word_windows)
     gone = both.where(F.col("kind") == REPEAT).select("doc_id", "pos", "len").unionByName(verified)
     return by_document(gone, F.col("len"))
 
 
-def deduplicate(docs: DataFrame, window: int = 20, k: int = 5, batches: int = 2) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 20, k: int = 5, batches: int = 2, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, kept_sha256) for every row of docs; kept: the words that stay, joined by spaces.
 
     Every word covered by a window of `window` consecutive words that also starts earlier (smaller doc_id, or same
@@ -143,5 +148,5 @@ def deduplicate(docs: DataFrame, window: int = 20, k: int = 5, batches: int = 2)
                 kept.append(b" ".join(own))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array([x.decode("utf-8", "surrogatepass") for x in kept], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])], names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    joined = on_document(with_salt(id_text(docs)), removals(docs, window, k, batches), "left").select("doc_id", "text", "items")
+    joined = on_document(with_salt(id_text(docs)), removals(docs, window, k, batches, crowd=crowd), "left").select("doc_id", "text", "items")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")

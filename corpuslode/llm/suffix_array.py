@@ -10,15 +10,16 @@ order, for irreducible positions only (Kärkkäinen, Manzini and Puglisi, 2009);
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslode.llm.common import id_text, partitions, runs, stage
-from corpuslode.llm.superwindows import COMPARE, PIECE, REPEAT, _M, by_document, mixed, on_document, rows, settled, spans, texts_of, with_salt
+from corpuslode.llm.superwindows import COMPARE, CROWD, PIECE, REPEAT, _M, by_document, mixed, on_document, rows, settled, spans, texts_of, with_salt
 
 #: Bytes of texts that are sorted together at most, unless one key has more.
 SHARD = 1 << 20
@@ -231,20 +232,55 @@ def later(group: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return out
 
 
-def compared(texts: DataFrame, window: int, windows_of=repeats) -> DataFrame:
-    """(doc_id, pos, len): what repeats an earlier window, of texts (m, doc_id, pos, data) that meet under one m."""
+def byte_windows(text: bytes, window: int) -> list[bytes]:
+    return [text[i : i + window] for i in range(len(text) - window + 1)]
+
+
+_FOUND = pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()), ("len", pa.int32()), ("m", pa.int64()), ("h", pa.binary())])
+
+
+def _found(doc: np.ndarray, pos: np.ndarray, size: np.ndarray, m: np.ndarray | None = None, h: list | None = None) -> pa.RecordBatch:
+    none = [None] * len(doc)
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos), pa.array(size.astype(np.int32)), pa.array(none if m is None else m, pa.int64()), pa.array(none if h is None else h, pa.binary())], schema=_FOUND)
+
+
+def _firsts(m: np.ndarray, doc: np.ndarray, pos: np.ndarray, texts: list[bytes], window: int, every: Callable) -> pa.RecordBatch:
+    """Of every distinct window of the texts of one block the places that no other place in the block precedes."""
+    names: dict = {}
+    group, text, offset, h = [], [], [], []
+    for i, t in enumerate(texts):
+        own = [(int(m[i]), xxhash.xxh3_128_digest(w)) for w in every(t, window)]
+        group += [names.setdefault(k, len(names)) for k in own]
+        h += [k[1] for k in own]
+        text += [i] * len(own)
+        offset += range(len(own))
+    text = np.array(text, np.int64)
+    d, p = doc[text], pos[text] + (np.array(offset, np.int64) << 16)
+    at = np.nonzero(~later(np.array(group, np.int64), d, p))[0]
+    return _found(d[at], p[at], np.full(len(at), window), m[text[at]], [h[i] for i in at.tolist()])
+
+
+def compared(texts: DataFrame, window: int, windows_of: Callable = repeats, every: Callable = byte_windows) -> DataFrame:
+    """(doc_id, pos, len): what repeats an earlier window, of texts (m, block, doc_id, pos, data) that meet under one m.
+
+    Texts of one m and block meet in one task. Blocks of a crowd meet by the windows that each of them saw first; a
+    window has as many rows there as it has blocks, at most.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, bounds in runs(it, ["m"]):
+        for b, bounds in runs(it, ["m", "block"]):
             sizes = np.cumsum(np.diff(b.column("data").offsets.to_numpy() if hasattr(b.column("data"), "offsets") else np.cumsum([0, *(len(x.as_py()) for x in b.column("data"))])))
-            doc, pos = b.column("doc_id").to_numpy(), b.column("pos").to_numpy()
+            m, block, doc, pos = (b.column(x).to_numpy() for x in ("m", "block", "doc_id", "pos"))
             lo = 0
             for g in range(1, len(bounds)):
                 hi = bounds[g]
-                if g < len(bounds) - 1 and sizes[bounds[g + 1] - 1] - (sizes[lo - 1] if lo else 0) <= SHARD:
+                if g < len(bounds) - 1 and block[lo] < 0 and block[hi] < 0 and sizes[bounds[g + 1] - 1] - (sizes[lo - 1] if lo else 0) <= SHARD:
                     continue
-                group, text, offset = windows_of(b.column("data").slice(lo, hi - lo).to_pylist(), window)
+                own = b.column("data").slice(lo, hi - lo).to_pylist()
+                group, text, offset = windows_of(own, window)
                 d, p = doc[lo + text], pos[lo + text] + (offset << 16)
+                if block[lo] >= 0:
+                    yield _firsts(m[lo:hi], doc[lo:hi], pos[lo:hi], own, window, every)
                 lo = hi
                 at = np.nonzero(later(group, d, p))[0]
                 d, p = d[at], p[at]
@@ -256,10 +292,13 @@ def compared(texts: DataFrame, window: int, windows_of=repeats) -> DataFrame:
                 new[1:] = (d[1:] != d[:-1]) | (p[1:] - p[:-1] != 1 << 16)
                 first = np.nonzero(new)[0]
                 n = np.diff(np.append(first, len(d)))
-                yield pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(p[first]), pa.array((n + window - 1).astype(np.int32))], names=["doc_id", "pos", "len"])
+                yield _found(d[first], p[first], n + window - 1)
 
-    dealt = texts.repartition(partitions(texts), "m").sortWithinPartitions("m")
-    return dealt.mapInArrow(run, "doc_id long, pos long, len int")
+    dealt = texts.repartition(partitions(texts), "m", "block").sortWithinPartitions("m", "block")
+    found = stage(dealt.mapInArrow(run, "doc_id long, pos long, len int, m long, h binary"), "compared")
+    place = F.struct("doc_id", F.shiftright("pos", 16).alias("start"))
+    firsts = found.where("h is not null").withColumn("least", F.min(place).over(Window.partitionBy("m", "h")))
+    return found.where("h is null").select("doc_id", "pos", "len").unionByName(firsts.where(place > F.col("least")).select("doc_id", "pos", "len"))
 
 
 def byte_units(k: int):
@@ -299,16 +338,16 @@ def _cut(text: str | None, places: list) -> list[bytes]:
     return [raw[s : s + n] for s, n in places]
 
 
-def removed_bytes(docs: DataFrame, window: int = 100, k: int = 24) -> DataFrame:
+def removed_bytes(docs: DataFrame, window: int = 100, k: int = 24, crowd: int = CROWD) -> DataFrame:
     """(doc_id, text, items): for every row of docs the spans (start, len) in bytes to remove; items is null if none."""
     docs = with_salt(id_text(docs))
     found = stage(settled(rows(docs, byte_units(k), window, k)), "substrings")
-    more = compared(texts_of(docs, found.where(f"kind = {COMPARE}"), _cut), window)
+    more = compared(texts_of(docs, found.where(f"kind = {COMPARE}"), _cut, crowd), window)
     gone = found.where(f"kind = {REPEAT}").select("doc_id", "pos", "len").unionByName(more)
     return on_document(docs, by_document(gone, F.col("len")), "left").select("doc_id", "text", "items")
 
 
-def deduplicate(docs: DataFrame, window: int = 100, k: int = 24) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 100, k: int = 24, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary, kept_sha256) for every row of docs.
 
     Every byte covered by a window-byte string that also starts earlier (smaller doc_id, or same document, earlier start)
@@ -330,4 +369,4 @@ def deduplicate(docs: DataFrame, window: int = 100, k: int = 24) -> DataFrame:
                     x.append(y)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in out[3]])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return removed_bytes(docs, window, k).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return removed_bytes(docs, window, k, crowd).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

@@ -7,6 +7,8 @@ one minimiser form a super-window; equal windows have equal minimisers, so they
   (document, start), repeat an earlier text in full. Each task settles those of its own batch before anything is shuffled,
   so a passage that a third of the documents share arrives once a batch.
 * several different super-windows under one minimiser: they overlap in part; their texts are fetched and compared exactly.
+  A passage that many documents share in different contexts gives many of them at its two edges: such crowds are dealt to
+  blocks, compared in each, and what a block saw first of each window meets the other blocks' by its 128-bit hash.
 * a single super-window: nothing in it repeats.
 """
 
@@ -24,6 +26,10 @@ from corpuslode.llm.common import partitions
 
 #: Units that are hashed at once; a longer document is one piece of its own.
 PIECE = 1 << 19
+#: Different contents under one key that are compared in one task; more of them are dealt to blocks.
+CROWD = 512
+#: Parts that the rows of one key are dealt to while its contents are counted.
+SALTS = 64
 #: kind 0: the first of its content in a batch; 1: repeats an earlier text; 2: to be compared with others of its key.
 NEW, REPEAT, COMPARE = 0, 1, 2
 ROWS = "kind int, m long, c long, doc_id long, pos long, len int"
@@ -177,18 +183,27 @@ def on_document(docs: DataFrame, items: DataFrame, how: str) -> DataFrame:
     return keyed.join(items, ["id", "salt"], how)
 
 
-def texts_of(docs: DataFrame, compare: DataFrame, cut: Callable) -> DataFrame:
-    """(m, doc_id, pos, data): each content to be compared, once, with its first place."""
+def texts_of(docs: DataFrame, compare: DataFrame, cut: Callable, crowd: int = CROWD) -> DataFrame:
+    """(m, block, doc_id, pos, data): each content to be compared, once, with its first place.
+
+    block: -1, or for keys with more than `crowd` contents the block of about that many which the content is dealt to.
+    """
     once = compare.groupBy("m", "c").agg(F.min(F.struct("doc_id", "pos", "len")).alias("at")).select("m", "at.*")
-    items = by_document(once, F.col("m"), F.col("len"))
+    crowds = once.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    crowds = crowds.select("m", F.ceil(F.col("n") / crowd).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    own = F.xxhash64("pos", "doc_id")
+    once = once.withColumn("part", F.pmod(own, F.lit(SALTS)).cast("int")).join(crowds, ["m", "part"], "left")
+    block = F.coalesce(F.pmod(F.shiftright(own, 8), F.col("blocks")).cast("int"), F.lit(-1))
+    items = by_document(once, F.col("m"), F.col("len"), block.alias("block"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for i, salt, text, own in zip(*(b.column(x).to_pylist() for x in ("id", "salt", "text", "items"))):
                 data = cut(text, [(x["start"], x["len"]) for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array([x["m"] for x in own], pa.int64()), pa.array([i] * len(own), pa.int64()), pa.array([x["start"] << 16 | salt for x in own], pa.int64()), pa.array(data, pa.binary())], names=["m", "doc_id", "pos", "data"])
+                columns = [pa.array([x["m"] for x in own], pa.int64()), pa.array([x["block"] for x in own], pa.int32()), pa.array([i] * len(own), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x["start"] << 16 | salt for x in own], pa.int64()), pa.array(data, pa.binary())], names=["m", "block", "doc_id", "pos", "data"])
 
-    return on_document(docs, items, "inner").select("id", "salt", "text", "items").mapInArrow(run, "m long, doc_id long, pos long, data binary")
+    return on_document(docs, items, "inner").select("id", "salt", "text", "items").mapInArrow(run, "m long, block int, doc_id long, pos long, data binary")
 
 
 def spans(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

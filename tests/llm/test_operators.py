@@ -161,6 +161,21 @@ def test_substrings_of_words(docs, empty, batches):
     assert got == want and substring_log.deduplicate(empty).count() == 0
 
 
+def test_a_crowd_of_contexts_is_compared_in_blocks(spark):
+    """One passage in 150 contexts, some shared by a few, one long document that has it twice, ties of one doc_id."""
+    rng = random.Random(9)
+    side = lambda i: " ".join(f"c{i % 37 if i % 3 else i}x{j // 2 if i % 5 else rng.randint(0, 9)}" for j in range(30))
+    rows = [(i % 140, f"{side(i)} {PASSAGE} {side(i + 1)}" + (f" {PASSAGE} {side(3 * i)}" if i % 50 == 0 else "")) for i in range(150)]
+    rows += [(None, f"n{i} {PASSAGE} m{i}") for i in range(3)]
+    many = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = removed([(i, t.encode()) for i, t in rows], 100, lambda x: bytes(x))
+    got = suffix_array.deduplicate(many, crowd=8).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got), key=repr) == want
+    want = removed([(i, t.encode().split()) for i, t in rows], 20, b" ".join)
+    got = substring_log.deduplicate(many, batches=3, crowd=8).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == want
+
+
 def test_log_is_compacted(spark, docs):
     log = substring_log.WindowLog(spark, most_runs=2)
     substring_log.removals(docs, batches=3, log=log).count()
