@@ -6,7 +6,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["spr2_bm25", "hyb1_hybrid_search", "fus1_weighted_rrf", "met1_summary", "agg13_vocabulary"])
+@pytest.mark.parametrize("name", ["spr2_bm25", "hyb1_hybrid_search", "fus1_weighted_rrf", "met1_summary", "agg13_vocabulary", "str33_query_complexity", "met9_fact_match", "met18_precision", "met19_weighted_grades", "sbt11_case_checks", "chk12_heading_parents"])
 def test_against_sql(spark, name):
     import duckdb
 
