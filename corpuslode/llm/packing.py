@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -52,7 +54,7 @@ class Bins:
     """Open bins by the room that is left in them; the tightest that fits is found by a bit mask."""
 
     def __init__(self, sizes: np.ndarray, room: int) -> None:
-        self.sizes, self.room, self.mask = sizes, room, 0
+        self.sizes, self.room, self.mask = sizes.tolist(), room, 0
         self.by_room: list[list[int]] = [[] for _ in range(room + 1)]
         self.bins: list[list[int]] = []
 
@@ -65,7 +67,7 @@ class Bins:
         self._open(len(self.bins) - 1, left)
 
     def best_fit(self, item: int) -> None:
-        size = int(self.sizes[item])
+        size = self.sizes[item]
         fits = self.mask >> size
         if not fits:
             self.add([item], self.room - size)
@@ -86,42 +88,51 @@ def decreasing(sizes: np.ndarray, room: int, order: np.ndarray | None = None) ->
     return out.bins
 
 
+def loads(bins: list[list[int]], values: np.ndarray) -> np.ndarray:
+    """The sum over each bin's documents of their values, all bins at once; no bin is empty."""
+    if not bins:
+        return np.zeros(0, np.int64)
+    at = np.fromiter(chain.from_iterable(bins), np.int64)
+    n = np.fromiter(map(len, bins), np.int64, len(bins))
+    return np.add.reduceat(values[at].astype(np.int64), np.cumsum(n) - n)
+
+
 def worth(bins: list[list[int]], sizes: np.ndarray, room: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones."""
-    fills = np.array([sizes[b].sum() for b in bins], np.float64) / room
-    return -len(bins), float((fills**2).sum())
+    return -len(bins), float(((loads(bins, sizes) / room) ** 2).sum())
 
 
 def crossed(a: list[list[int]], b: list[list[int]], sizes: np.ndarray, room: int, rng: np.random.Generator) -> list[list[int]]:
     """a, with some of b's best-filled bins injected whole."""
-    fill = np.array([sizes[x].sum() for x in b])
+    fill = loads(b, sizes)
     best = np.argsort(-fill, kind="stable")[: max(1, len(b) // 2)]
-    chosen = [b[i] for i in rng.choice(best, max(1, len(best) // 2), replace=False)]
+    chosen = rng.choice(best, max(1, len(best) // 2), replace=False).tolist()
     taken = np.zeros(len(sizes), bool)
-    for x in chosen:
-        taken[x] = True
+    for i in chosen:
+        taken[b[i]] = True
     out, displaced = Bins(sizes, room), []
-    for x in chosen:
-        out.add(list(x), room - int(sizes[x].sum()))
-    for x in a:
-        if taken[x].any():
-            displaced += [i for i in x if not taken[i]]
+    for i in chosen:
+        out.add(b[i][:], room - int(fill[i]))
+    for x, n, size in zip(a, loads(a, taken).tolist(), loads(a, sizes).tolist()):
+        if n:
+            if n < len(x):
+                displaced += [i for i in x if not taken[i]]
         else:
-            out.add(list(x), room - int(sizes[x].sum()))
-    for i in sorted(displaced, key=lambda i: -sizes[i]):
+            out.add(x[:], room - size)
+    for i in sorted(displaced, key=lambda i: -out.sizes[i]):
         out.best_fit(i)
     return out.bins
 
 
 def mutated(a: list[list[int]], sizes: np.ndarray, room: int, rng: np.random.Generator) -> list[list[int]]:
     """a without its worst-filled bins and a few others, whose documents are best-fitted anew."""
-    fill = np.array([sizes[x].sum() for x in a])
+    fill = loads(a, sizes)
     gone = set(np.argsort(fill, kind="stable")[: max(1, len(a) // 50)].tolist()) | set(rng.integers(0, len(a), max(1, len(a) // 50)).tolist())
     out, displaced = Bins(sizes, room), [i for k in gone for i in a[k]]
-    for k, x in enumerate(a):
+    for k, (x, size) in enumerate(zip(a, fill.tolist())):
         if k not in gone:
-            out.add(list(x), room - int(sizes[x].sum()))
-    for i in sorted(displaced, key=lambda i: -sizes[i]):
+            out.add(x[:], room - size)
+    for i in sorted(displaced, key=lambda i: -out.sizes[i]):
         out.best_fit(i)
     return out.bins
 
@@ -130,20 +141,21 @@ def evolve(sizes: np.ndarray, room: int, parents: list[list[list[int]]], generat
     """The best solution after some generations that start from parents and best fits in noisy orders."""
     rng = np.random.default_rng(seed)
     least = -(-int(sizes.sum()) // room)
-    pool = [*parents]
+    rated = lambda x: (worth(x, sizes, room), x)
+    pool = [rated(x) for x in parents]
     while len(pool) < population:
-        pool.append(decreasing(sizes, room, None if not pool else np.argsort(-(sizes * (1 + 0.1 * rng.random(len(sizes)))), kind="stable")))
-        if len(pool[-1]) == least:
-            return pool[-1]
-    key = lambda x: worth(x, sizes, room)
+        pool.append(rated(decreasing(sizes, room, None if not pool else np.argsort(-(sizes * (1 + 0.1 * rng.random(len(sizes)))), kind="stable"))))
+        if len(pool[-1][1]) == least:
+            return pool[-1][1]
     for _ in range(generations):
-        pool.sort(key=key, reverse=True)
-        if len(pool[0]) == least:
+        pool.sort(key=itemgetter(0), reverse=True)
+        best = pool[0][1]
+        if len(best) == least:
             break
-        i, j = rng.integers(0, len(pool), 2)
-        pool += [crossed(pool[0], pool[int(i)], sizes, room, rng), mutated(crossed(pool[int(j)], pool[0], sizes, room, rng), sizes, room, rng)]
-        pool = sorted(pool, key=key, reverse=True)[:population]
-    return max(pool, key=key)
+        i, j = (pool[int(k)][1] for k in rng.integers(0, len(pool), 2))
+        pool += [rated(crossed(best, i, sizes, room, rng)), rated(mutated(crossed(j, best, sizes, room, rng), sizes, room, rng))]
+        pool = sorted(pool, key=itemgetter(0), reverse=True)[:population]
+    return max(pool, key=itemgetter(0))[1]
 
 
 def _solved(parts: DataFrame, room: int, islands: int, epochs: int, generations: int, population: int, name: str) -> DataFrame:
