@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import hashlib
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes that go to a Python worker at once; whole texts can be long.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
@@ -41,6 +45,21 @@ def drop(spark: SparkSession, *paths: str) -> None:
         fs.delete(p, True)
 
 
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    fs, p = _filesystem(spark, path)
+    if not fs.exists(p):
+        return None
+    return json.loads(bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(fs.open(p))))
+
+
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
+    """Writes a small file of the driver's own in one step."""
+    fs, p = _filesystem(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(json.dumps(value).encode()))
+    out.close()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/corpuslode/{name}-{uuid.uuid4().hex}"
@@ -67,6 +86,22 @@ def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done with; it does so once the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def bucketed(spark: SparkSession, path: str, schema: StructType, keys: list[str], n: int, order: list[str] | None = None) -> str:
+    """The name of a Parquet table at path, made if missing: n buckets by keys, read without an exchange where these count."""
+    name = f"corpuslode_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    by = ", ".join(keys)
+    inside = f" SORTED BY ({', '.join(order)})" if order else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY ({by}){inside} INTO {n} BUCKETS LOCATION '{path}'")
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,138 +1,119 @@
 """Incremental substring deduplication: a log-structured index of the word windows seen so far.
 
-The index is a list of immutable runs: Parquet tables of the super-windows (superwindows.py) of earlier documents, a content
-once with its first place, sorted by minimiser within partitions. A new batch, of larger ids than all before, is
-merge-joined with the runs: rows of both are dealt and sorted by minimiser and read in one pass. Equal contents repeat;
-different ones under one minimiser are verified word by word. What is new becomes a run; from `most_runs` runs on they are
-compacted into one.
+The index is a table of super-windows (superwindows.py) of earlier documents, a content once with its first place. It is a
+list of immutable runs: each batch adds one, a file a bucket, sorted by minimiser. A new batch, of ids not below those before,
+is merge-joined with the runs under its own minimisers, bucket by bucket: history is neither dealt nor written again. Equal contents repeat; different ones under one
+minimiser are compared by their nodes and windows; spans are verified against the texts, which the log holds too, bucketed
+by document. From `most_runs` runs on, the runs are compacted into one. A log is a folder and outlives the job.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType, _parse_datatype_string
 
-from corpuslode.llm.common import drop, id_ranges, id_text, new_path, partitions, stage_at
-from corpuslode.llm.suffix_array import compared
-from corpuslode.llm.superwindows import COMPARE, CROWD, NEW, PIECE, REPEAT, ROWS, _M, by_document, mixed, on_document, rows, settled, spans, texts_of, with_salt
-
-
-def word_units(k: int):
-    """units() of superwindows.rows for words."""
-    h = xxhash.xxh64_intdigest
-
-    def grams(words: list[bytes], which: list[int], sizes: list[int]) -> tuple:
-        data = b" ".join(words)
-        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
-        n = max(len(words) - k + 1, 0)
-        y = np.fromiter(map(h, words), np.uint64, len(words))
-        g = y[:n].copy()
-        for j in range(1, k if n else 0):
-            g *= _M[3]
-            g += y[j : j + n]
-        return np.array(which), offsets, data, mixed(g), np.cumsum(sizes)
-
-    def units(texts: list) -> Iterator[tuple]:
-        words, which, sizes = [], [], []
-        for i, t in enumerate([*texts, None]):
-            own = t.encode("utf-8", "surrogatepass").split() if t else []
-            if words and (len(words) + len(own) > PIECE // 4 or i == len(texts)):
-                yield grams(words, which, sizes)
-                words, which, sizes = [], [], []
-            if own:
-                words += own
-                which.append(i)
-                sizes.append(len(own))
-
-    return units
-
-
-def _cut(text: str | None, places: list) -> list[bytes]:
-    own = (text or "").encode("utf-8", "surrogatepass").split()
-    return [b" ".join(own[s : s + n]) for s, n in places]
-
-
-def word_windows(text: bytes, window: int) -> list[bytes]:
-    """Every window of words of a text whose words are joined by single spaces."""
-    starts = [0]
-    at = text.find(b" ")
-    while at >= 0:
-        starts.append(at + 1)
-        at = text.find(b" ", at + 1)
-    starts.append(len(text) + 1)
-    return [text[i : j - 1] for i, j in zip(starts, starts[window:])]
-
-
-def word_repeats(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(group, text, offset) of every window of words that occurs at least twice in the texts, compared as bytes."""
-    groups: dict[bytes, list] = {}
-    for i, t in enumerate(texts):
-        for j, w in enumerate(word_windows(t, window)):
-            groups.setdefault(w, []).append((i, j))
-    out = [(g, i, j) for g, own in enumerate(groups.values()) if len(own) > 1 for i, j in own]
-    return tuple(np.array(x, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+from corpuslode.llm.common import bucketed, drop, freed, id_ranges, id_text, new_path, partitions, read_json, stage_at, write_json
+from corpuslode.llm.superwindows import COMPARE, HISTORY, NEW, ROWS, Units, by_document, claims_of, refined, rows, settled, spans, verified, with_salt
+
+#: Windows of a node.
+NODE = 4
+TEXTS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("id", LongType()), StructField("salt", LongType())])
 
 
 class WindowLog:
-    """The index: paths of its runs, oldest first. Batches are added in ascending order of their ids."""
-
-    def __init__(self, spark: SparkSession, window: int = 20, k: int = 5, most_runs: int = 4, paths: list[str] | None = None) -> None:
-        self.spark, self.window, self.k, self.most_runs, self.paths = spark, window, k, most_runs, list(paths or [])
-
-    def runs(self) -> DataFrame:
-        """(m, c, doc_id, pos, len) of all runs."""
-        return self.spark.read.schema(ROWS).parquet(*self.paths).select("m", "c", "doc_id", "pos", "len") if self.paths else self.spark.createDataFrame([], "m long, c long, doc_id long, pos long, len int")
-
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Rows of kind REPEAT and COMPARE (superwindows.py) of docs (doc_id, text, salt) against all before; docs become history."""
-        both, path = stage_at(settled(rows(docs, word_units(self.k), self.window, self.k), self.runs()), "log-merge")
-        unseen = both.where(F.col("kind") == NEW)
-        run = new_path(self.spark, "log-run")
-        unseen.repartition(partitions(docs), "m").sortWithinPartitions("m", "c").write.parquet(run)
-        self.paths.append(run)
-        if len(self.paths) >= self.most_runs:
+    """A log at a path, new or reopened. Its settings are those it was made with."""
+
+    def __init__(self, spark: SparkSession, path: str, window: int = 20, k: int = 5, most_runs: int = 4) -> None:
+        self.spark, self.path = spark, path
+        self.state = read_json(spark, f"{path}/log.json") or {"window": window, "k": k, "most_runs": most_runs, "buckets": int(spark.conf.get("spark.sql.shuffle.partitions")), "texts": f"texts-{uuid.uuid4().hex}", "index": None, "runs": 0}
+        self.units = Units(self.state["window"], self.state["k"], NODE, words=True)
+
+    @property
+    def runs(self) -> int:
+        return self.state["runs"]
+
+    def texts(self) -> DataFrame:
+        """(doc_id, text, id, salt) of every document so far."""
+        return self.spark.table(bucketed(self.spark, f"{self.path}/{self.state['texts']}", TEXTS, ["id", "salt"], self.state["buckets"]))
+
+    def _table(self, index: str) -> str:
+        return bucketed(self.spark, f"{self.path}/{index}", _parse_datatype_string(ROWS), ["m"], self.state["buckets"], ["m", "c"])
+
+    def index(self) -> DataFrame:
+        """The rows of all runs."""
+        return self.spark.table(self._table(self.state["index"])) if self.state["index"] else self.spark.createDataFrame([], ROWS)
+
+    def met(self, found: DataFrame) -> DataFrame:
+        """The rows of the index under minimisers that a batch has: a merge join in which only the batch's are dealt."""
+        return self.index().join(found.where(F.col("kind") == NEW).select("m").distinct(), "m", "left_semi").select(*found.columns)
+
+    def add(self, docs: DataFrame) -> tuple[DataFrame, str]:
+        """Rows of kind REPEAT and COMPARE of docs (doc_id, text) against all before, and their path; docs become history."""
+        docs = with_salt(id_text(docs))
+        texts = self.texts()
+        docs.repartition(self.state["buckets"], "id", "salt").select(*texts.columns).write.insertInto(bucketed(self.spark, f"{self.path}/{self.state['texts']}", TEXTS, ["id", "salt"], self.state["buckets"]))
+        found, path = stage_at(rows(docs, self.units), "log-batch")
+        both, merged = stage_at(settled(found, self.met(found)), "log-merge")
+        drop(self.spark, path)
+        index = self.state["index"] or f"index-{uuid.uuid4().hex}"
+        unseen = both.where(F.col("kind") == NEW).withColumn("kind", F.lit(HISTORY))
+        unseen.repartition(self.state["buckets"], "m").write.insertInto(self._table(index))
+        self._keep(index, self.runs + 1)
+        if self.runs >= self.state["most_runs"]:
             self.compact()
-        return both
+        return both.where(F.col("kind") != NEW), merged
 
     def compact(self) -> None:
-        """Merges all runs into one; each content keeps its first place."""
-        path = new_path(self.spark, "log-run")
-        first = self.runs().groupBy("m", "c").agg(F.min(F.struct("doc_id", "pos", "len")).alias("at")).select(F.lit(NEW).alias("kind"), "m", "c", "at.*")
-        first.repartition(partitions(first), "m").sortWithinPartitions("m", "c").write.parquet(path)
-        drop(self.spark, *self.paths)
-        self.paths = [path]
+        """Merges all runs into one, bucket by bucket; each content keeps its first place."""
+        old, new = self.state["index"], f"index-{uuid.uuid4().hex}"
+        first = self.index().groupBy("m", "c").agg(F.min(F.struct("id", "start", "salt", "len")).alias("at"))
+        zero = [F.lit(0).cast("long").alias(x) for x in ("rid", "rsalt", "rstart")]
+        first.select(F.lit(HISTORY).alias("kind"), "m", "c", "at.id", "at.salt", "at.start", "at.len", *zero).write.insertInto(self._table(new))
+        self._keep(new, 1)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(old)}")
+        drop(self.spark, f"{self.path}/{old}")
+
+    def _keep(self, index: str, runs: int) -> None:
+        self.state |= {"index": index, "runs": runs}
+        write_json(self.spark, f"{self.path}/log.json", self.state)
 
 
-def removals(docs: DataFrame, window: int = 20, k: int = 5, batches: int = 2, log: WindowLog | None = None, crowd: int = CROWD) -> DataFrame:
-    """(id, salt, items): the spans (start, len) in words to remove from each document that has some.
+def removals(docs: DataFrame, log: WindowLog, batches: int = 1) -> DataFrame:
+    """(id, salt, items): the spans (start, len) in words to remove from each document of docs that has some.
 
-    docs are added to the log in `batches` ranges of ascending ids. A log that already has runs must hold smaller ids
-    only, and docs must then hold those documents too: their texts are what differing windows are verified against.
+    docs are added to the log in `batches` ranges of ascending ids; their ids must not be below those that it holds.
     """
-    log = log or WindowLog(docs.sparkSession, window, k)
-    docs = with_salt(id_text(docs))
-    ranged = id_ranges(docs, batches)
-    found = [log.add(ranged.where(F.col("range_id") == i).drop("range_id")) for i in range(batches)]
-    both = found[0]
-    for more in found[1:]:
-        both = both.unionByName(more)
-    verified = compared(texts_of(docs, both.where(F.col("kind") == COMPARE), _cut, crowd), window, word_repeats, word_windows)
-    gone = both.where(F.col("kind") == REPEAT).select("doc_id", "pos", "len").unionByName(verified)
-    return by_document(gone, F.col("len"))
-
-
-def deduplicate(docs: DataFrame, window: int = 20, k: int = 5, batches: int = 2, crowd: int = CROWD) -> DataFrame:
+    spark = docs.sparkSession
+    ranged = id_ranges(id_text(docs), batches)
+    both, paths = None, []
+    for i in range(batches):
+        more, path = log.add(ranged.where(F.col("range_id") == i))
+        paths.append(path)
+        both = more if both is None else both.unionByName(more)
+        freed(spark)
+    compare = both.where(F.col("kind") == COMPARE).dropDuplicates(["m", "c", "id", "salt", "start"])
+    gone = verified(log.texts(), claims_of(both).unionByName(refined(log.texts(), compare, log.units)), log.units)
+    drop(spark, *paths)
+    freed(spark)
+    return by_document(gone, F.col("start"), F.col("len"))
+
+
+def deduplicate(docs: DataFrame, window: int = 20, k: int = 5, batches: int = 3, most_runs: int = 2, path: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, kept_sha256) for every row of docs; kept: the words that stay, joined by spaces.
 
     Every word covered by a window of `window` consecutive words that also starts earlier (smaller doc_id, or same
-    document, earlier start) goes. Null and empty texts have no words. A null doc_id counts as the smallest. Rows that
-    share a doc_id share its number: equal starts in them don't precede one another. An empty table gives an empty result.
+    document, earlier start) goes. path: of a log that these documents go on with; none: a log of their own, which ends
+    with the job. Null and empty texts have no words. A null doc_id counts as the smallest. Of rows that share a doc_id
+    equal starts don't precede one another, so repeated rows get one result. Other columns, whatever their names, are left
+    out. An empty table gives an empty result.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,5 +129,9 @@ def deduplicate(docs: DataFrame, window: int = 20, k: int = 5, batches: int = 2,
                 kept.append(b" ".join(own))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array([x.decode("utf-8", "surrogatepass") for x in kept], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])], names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    joined = on_document(with_salt(id_text(docs)), removals(docs, window, k, batches, crowd=crowd), "left").select("doc_id", "text", "items")
+    log = WindowLog(docs.sparkSession, path or new_path(docs.sparkSession, "log"), window, k, most_runs)
+    before = log.runs
+    items = removals(docs, log, batches)
+    own = with_salt(id_text(docs)) if before else log.texts()
+    joined = own.join(items, ["id", "salt"], "left").select("doc_id", "text", "items")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")

@@ -1,28 +1,35 @@
 """Exact substring deduplication with suffix arrays.
 
-Windows of 100 bytes meet by their minimisers (superwindows.py); where different texts meet, a shard's texts are joined and
-their suffixes sorted by induced sorting (Nong, Zhang and Chan, 2009): suffixes are classified, the leftmost smaller (LMS)
-ones ordered, the rest induced from them. The scans run bucket by bucket, a numpy batch for each run of a bucket, not
-suffix by suffix; the order of the LMS names, an alphabet too large for that, comes from rank doubling. Common prefixes are computed in text
+Windows of 100 bytes meet by their minimisers (superwindows.py). Identical contents there are one text of the shard; where
+different texts meet, a shard's texts are joined and their suffixes sorted by induced sorting (Nong, Zhang and Chan, 2009):
+suffixes are classified, the leftmost smaller (LMS) substrings sorted and named, the string of their names sorted by
+recursion, the rest induced from them. The scans run bucket by bucket, a numpy batch for each run of a bucket, not suffix by
+suffix; so that names need few buckets, a name is two digits in the recursion. Common prefixes are computed in text
 order, for irreducible positions only (Kärkkäinen, Manzini and Puglisi, 2009); the rest follow from them.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import id_text, partitions, runs, stage
-from corpuslode.llm.superwindows import COMPARE, CROWD, PIECE, REPEAT, _M, by_document, mixed, on_document, rows, settled, spans, texts_of, with_salt
+from corpuslode.llm.common import freed, id_text, partitions, runs, stage
+from corpuslode.llm.superwindows import COMPARE, _M, Units, by_document, claims_of, flat, mixed, refined, rows, settled, spans, text_table, verified
 
 #: Bytes of texts that are sorted together at most, unless one key has more.
 SHARD = 1 << 20
+#: Different texts under one key that one shard sorts; the windows of more are settled by their nodes (superwindows.py).
+CROWD = 512
+#: Names up to which a name is one digit in the recursion.
+DIGIT = 1024
+#: Windows of a node.
+NODE = 8
 
 
 def _ranks_doubled(names: np.ndarray) -> np.ndarray:
@@ -42,6 +49,22 @@ def _ranks_doubled(names: np.ndarray) -> np.ndarray:
         step *= 2
 
 
+def _order(names: np.ndarray, n: int) -> np.ndarray:
+    """The order of the suffixes of names, whose last is the only 0; by recursion where that is shorter than n."""
+    if len(names) <= 64:
+        own = names.tolist()
+        return np.array(sorted(range(len(own)), key=lambda i: own[i:]), np.int64)
+    most = int(names.max()) + 1
+    if most <= DIGIT:
+        return suffix_array(names[:-1])
+    if 8 * len(names) > 3 * n:
+        return _ranks_doubled(names)
+    base = isqrt(most) + 1
+    digits = np.stack([names // base, names % base], axis=1).ravel() + 1
+    sa = suffix_array(digits)
+    return sa[(sa % 2 == 0) & (sa < len(digits))] // 2
+
+
 def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Suffixes in the order that sorted LMS suffixes induce: larger ones left to right, then smaller ones right to left."""
     n, k = len(s), len(sizes)
@@ -134,7 +157,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if names[-1] < len(order) - 1:
         named = np.empty(n, np.int64)
         named[order] = names
-        order = lms[_ranks_doubled(named[lms])]
+        order = lms[_order(named[lms], n)]
     else:
         order = order.copy()
     return final(order)
@@ -220,9 +243,8 @@ def _sorted_repeats(texts: list[bytes], window: int) -> tuple[np.ndarray, np.nda
     return group[fits], text[fits], (sa - (ends - lengths + 1)[text])[fits]
 
 
-def later(group: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Which rows have an earlier place (doc, pos >> 16) in their group."""
-    start = pos >> 16
+def later(group: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which rows have an earlier place (doc, start) in their group."""
     o = np.lexsort((start, doc, group))
     new = np.ones(len(o), bool)
     new[1:] = group[o][1:] != group[o][:-1]
@@ -232,127 +254,78 @@ def later(group: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return out
 
 
-def byte_windows(text: bytes, window: int) -> list[bytes]:
-    return [text[i : i + window] for i in range(len(text) - window + 1)]
-
-
-_FOUND = pa.schema([("doc_id", pa.int64()), ("pos", pa.int64()), ("len", pa.int32()), ("m", pa.int64()), ("h", pa.binary())])
-
+def shards(texts: DataFrame, compare: DataFrame, units: Units) -> DataFrame:
+    """(m, id, salt, start, data): the bytes of each super-window of compare."""
 
-def _found(doc: np.ndarray, pos: np.ndarray, size: np.ndarray, m: np.ndarray | None = None, h: list | None = None) -> pa.RecordBatch:
-    none = [None] * len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos), pa.array(size.astype(np.int32)), pa.array(none if m is None else m, pa.int64()), pa.array(none if h is None else h, pa.binary())], schema=_FOUND)
-
-
-def _firsts(m: np.ndarray, doc: np.ndarray, pos: np.ndarray, texts: list[bytes], window: int, every: Callable) -> pa.RecordBatch:
-    """Of every distinct window of the texts of one block the places that no other place in the block precedes."""
-    names: dict = {}
-    group, text, offset, h = [], [], [], []
-    for i, t in enumerate(texts):
-        own = [(int(m[i]), xxhash.xxh3_128_digest(w)) for w in every(t, window)]
-        group += [names.setdefault(k, len(names)) for k in own]
-        h += [k[1] for k in own]
-        text += [i] * len(own)
-        offset += range(len(own))
-    text = np.array(text, np.int64)
-    d, p = doc[text], pos[text] + (np.array(offset, np.int64) << 16)
-    at = np.nonzero(~later(np.array(group, np.int64), d, p))[0]
-    return _found(d[at], p[at], np.full(len(at), window), m[text[at]], [h[i] for i in at.tolist()])
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ids, salts = b.column("id").to_numpy(), b.column("salt").to_numpy()
+            d, m, start, size = flat(b.column("items"), "m", "start", "len")
+            raw = [units.split(t) for t in b.column("text").to_pylist()]
+            data = [raw[k][s : s + n] for k, s, n in zip(d.tolist(), start.tolist(), (size & 0xFFFF).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(ids[d]), pa.array(salts[d]), pa.array(start), pa.array(data, pa.binary())], names=["m", "id", "salt", "start", "data"])
 
+    items = by_document(compare, F.col("m"), F.col("start"), F.col("len"))
+    return texts.join(items, ["id", "salt"]).select("id", "salt", "text", "items").mapInArrow(run, "m long, id long, salt long, start long, data binary")
 
-def compared(texts: DataFrame, window: int, windows_of: Callable = repeats, every: Callable = byte_windows) -> DataFrame:
-    """(doc_id, pos, len): what repeats an earlier window, of texts (m, block, doc_id, pos, data) that meet under one m.
 
-    Texts of one m and block meet in one task. Blocks of a crowd meet by the windows that each of them saw first; a
-    window has as many rows there as it has blocks, at most.
-    """
+def compared(texts: DataFrame, window: int) -> DataFrame:
+    """(id, salt, start, len): what repeats an earlier window, of texts (m, id, salt, start, data) that meet under one m."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, bounds in runs(it, ["m", "block"]):
-            sizes = np.cumsum(np.diff(b.column("data").offsets.to_numpy() if hasattr(b.column("data"), "offsets") else np.cumsum([0, *(len(x.as_py()) for x in b.column("data"))])))
-            m, block, doc, pos = (b.column(x).to_numpy() for x in ("m", "block", "doc_id", "pos"))
+        for b, bounds in runs(it, ["m"]):
+            data = b.column("data").to_pylist()
+            sizes = np.cumsum([0, *map(len, data)])
+            doc, salt, start = (b.column(x).to_numpy() for x in ("id", "salt", "start"))
             lo = 0
             for g in range(1, len(bounds)):
                 hi = bounds[g]
-                if g < len(bounds) - 1 and block[lo] < 0 and block[hi] < 0 and sizes[bounds[g + 1] - 1] - (sizes[lo - 1] if lo else 0) <= SHARD:
+                if g < len(bounds) - 1 and sizes[bounds[g + 1]] - sizes[lo] <= SHARD:
                     continue
-                own = b.column("data").slice(lo, hi - lo).to_pylist()
-                group, text, offset = windows_of(own, window)
-                d, p = doc[lo + text], pos[lo + text] + (offset << 16)
-                if block[lo] >= 0:
-                    yield _firsts(m[lo:hi], doc[lo:hi], pos[lo:hi], own, window, every)
+                group, text, offset = repeats(data[lo:hi], window)
+                text = lo + text
+                d, x, s = doc[text], salt[text], start[text] + offset
                 lo = hi
-                at = np.nonzero(later(group, d, p))[0]
-                d, p = d[at], p[at]
-                o = np.lexsort((p, p & 0xFFFF, d))
-                d, p = d[o], p[o]
-                if not len(d):
+                at = np.nonzero(later(group, d, s))[0]
+                if not len(at):
                     continue
+                d, x, s = d[at], x[at], s[at]
+                o = np.lexsort((s, x, d))
+                d, x, s = d[o], x[o], s[o]
                 new = np.ones(len(d), bool)
-                new[1:] = (d[1:] != d[:-1]) | (p[1:] - p[:-1] != 1 << 16)
+                new[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1]) | (s[1:] - s[:-1] > 1)
                 first = np.nonzero(new)[0]
-                n = np.diff(np.append(first, len(d)))
-                yield _found(d[first], p[first], n + window - 1)
-
-    dealt = texts.repartition(partitions(texts), "m", "block").sortWithinPartitions("m", "block")
-    found = stage(dealt.mapInArrow(run, "doc_id long, pos long, len int, m long, h binary"), "compared")
-    place = F.struct("doc_id", F.shiftright("pos", 16).alias("start"))
-    firsts = found.where("h is not null").withColumn("least", F.min(place).over(Window.partitionBy("m", "h")))
-    return found.where("h is null").select("doc_id", "pos", "len").unionByName(firsts.where(place > F.col("least")).select("doc_id", "pos", "len"))
-
-
-def byte_units(k: int):
-    """units() of superwindows.rows for bytes."""
-
-    def units(texts: list) -> Iterator[tuple]:
-        data, which, size = [], [], 0
-        for i, t in enumerate([*texts, None]):
-            raw = t.encode("utf-8", "surrogatepass") if t else b""
-            if data and (size + len(raw) > PIECE or i == len(texts)):
-                yield _grams(b"".join(data), data, np.array(which), k)
-                data, which, size = [], [], 0
-            if raw:
-                data.append(raw)
-                which.append(i)
-                size += len(raw)
-
-    return units
-
-
-def _grams(joined: bytes, data: list[bytes], which: np.ndarray, k: int) -> tuple:
-    ends = np.cumsum([len(x) for x in data])
-    if len(joined) < k:
-        return which, None, joined, np.zeros(0, np.uint64), ends
-    eight = np.ndarray(len(joined) - 7, "<u8", joined, 0, (1,))
-    y = mixed(eight)
-    n = len(joined) - k + 1
-    h = y[:n].copy()
-    for j in range(8, k, 8):
-        h *= _M[3]
-        h += y[j : j + n]
-    return which, None, joined, mixed(h), ends
-
+                last = np.append(first[1:], len(d)) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(x[first]), pa.array(s[first]), pa.array((s[last] - s[first] + window).astype(np.int32))], names=["id", "salt", "start", "len"])
 
-def _cut(text: str | None, places: list) -> list[bytes]:
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    return [raw[s : s + n] for s, n in places]
+    dealt = texts.repartition(partitions(texts), "m").sortWithinPartitions("m")
+    return dealt.mapInArrow(run, "id long, salt long, start long, len int")
 
 
 def removed_bytes(docs: DataFrame, window: int = 100, k: int = 24, crowd: int = CROWD) -> DataFrame:
     """(doc_id, text, items): for every row of docs the spans (start, len) in bytes to remove; items is null if none."""
-    docs = with_salt(id_text(docs))
-    found = stage(settled(rows(docs, byte_units(k), window, k)), "substrings")
-    more = compared(texts_of(docs, found.where(f"kind = {COMPARE}"), _cut, crowd), window)
-    gone = found.where(f"kind = {REPEAT}").select("doc_id", "pos", "len").unionByName(more)
-    return on_document(docs, by_document(gone, F.col("len")), "left").select("doc_id", "text", "items")
+    units = Units(window, k, NODE, words=False)
+    texts = text_table(id_text(docs))
+    found = stage(settled(rows(texts, units)), "substrings")
+    freed(docs.sparkSession)
+    compare = found.where(F.col("kind") == COMPARE)
+    crowds = compare.groupBy("m").count().where(F.col("count") > crowd).select("m", F.lit(True).alias("crowd"))
+    compare = stage(compare.join(crowds, "m", "left"), "compare")
+    few, many = compare.where("crowd is null"), compare.where("crowd")
+    sorted_ = stage(compared(shards(texts, few, units), window), "compared")
+    claims = claims_of(found).unionByName(refined(texts, many, units))
+    gone = verified(texts, claims, units).unionByName(sorted_)
+    freed(docs.sparkSession)
+    return texts.join(by_document(gone, F.col("start"), F.col("len")), ["id", "salt"], "left").select("doc_id", "text", "items")
 
 
 def deduplicate(docs: DataFrame, window: int = 100, k: int = 24, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary, kept_sha256) for every row of docs.
 
     Every byte covered by a window-byte string that also starts earlier (smaller doc_id, or same document, earlier start)
-    goes. Null and empty texts have no bytes. A null doc_id counts as the smallest. Rows that share a doc_id share its
-    number: equal starts in them don't precede one another. An empty table gives an empty result.
+    goes. Null and empty texts have no bytes. A null doc_id counts as the smallest. Of rows that share a doc_id equal starts
+    don't precede one another, so repeated rows get one result. Other columns, whatever their names, are left out. An empty
+    table gives an empty result.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
