@@ -10,10 +10,11 @@ the cells it shares only, so counts are exact. Equal vectors of a label are one
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from math import ceil, log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 from corpuslode.llm.common import partitions, runs, stage
 from corpuslode.llm.components import connected
 
-TABLES, PROBES, SCALE, BLOCK = 10, 4, 1.0, 512
+PROBES, BLOCK, RECALL = 3, 2048, 0.998
+#: Scales of the lattice, the share of pairs of unrelated vectors that meet in a table at scale 1, and members of a cell
+#: that cost as much to compare as one more row.
+SCALES, CHANCE, FILL = (1.0, 1.2, 1.4, 1.6, 1.8, 2.0), 4e-4, 64
 
 
 def _nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -70,6 +74,29 @@ def cells(unit: np.ndarray, tables: int, probes: int, scale: float, seed: int) -
     return out
 
 
+@functools.cache
+def found_share(least: float, probes: int, scale: float, seed: int = 5) -> float:
+    """The share of pairs with the cosine `least` that meet in one table, by simulation; it hardly depends on the dimension."""
+    rng = np.random.default_rng(seed)
+    a, d = (rng.standard_normal((1000, 64)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    d -= (d * a).sum(axis=1)[:, None] * a
+    b = a * least + d / np.linalg.norm(d, axis=1)[:, None] * np.sqrt(1 - least**2)
+    x, y = (cells(v, 8, probes, scale, seed) for v in (a, b))
+    return float((x[:, :, :, None] == y[:, :, None, :]).any(axis=(2, 3)).mean())
+
+
+def settings(largest: int, least: float, probes: int = PROBES, recall: float = RECALL) -> tuple[float, int]:
+    """(scale, tables) of the least work for labels of up to `largest` vectors: rows, and what they meet in their cells."""
+    options = []
+    for scale in SCALES:
+        share = min(found_share(least, probes, scale), 1 - 1e-3)
+        tables = max(2, ceil(log(1 - recall) / log(1 - share))) if share > 0.01 else 1000
+        options.append((tables * (1 + largest * CHANCE / scale**8 / FILL), scale, tables))
+    _, scale, tables = min(options)
+    return scale, tables
+
+
 def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     """Which of the vectors are usable (not null or zero, all components finite), and those as unit rows."""
     ok, rows = [], []
@@ -90,32 +117,28 @@ def _shared(a: np.ndarray, b: np.ndarray, cell: int) -> np.ndarray:
     return ~both.any(axis=(1, 2))
 
 
-def _forest(found: pd.DataFrame) -> pd.DataFrame:
-    """Links (key, with) that keep the components of all the links in found: one fewer than members, at most."""
-    parent: dict = {}
-
-    def root(k: bytes) -> bytes:
-        while parent.setdefault(k, k) != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    kept = []
-    for k, w in zip(found["key"], found["with"]):
-        a, b = root(k), root(w)
-        if a != b:
-            parent[a] = b
-            kept.append((k, w))
-    return pd.DataFrame(kept, columns=["key", "with"])
+def _joined(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Makes parent, in place, name the least member of each row's component, with the links (u, v) added."""
+    while len(u):
+        a, b = parent[u], parent[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent[:] = up
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, block: int = BLOCK, seed: int = 7) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.98, recall: float = RECALL, probes: int = PROBES, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label).
 
     Only vectors of equal, non-null labels and equal dimension link. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, nor does one whose label is null: n_links 0, a component of its own.
     Repeated rows (equal vec_id, label and embedding) are copies that link with each other. A null vec_id takes part in
-    counts, and gets the component of its group. An empty table gives an empty result.
+    counts, and gets the component of its group. Other columns, whatever their names, are left out. An empty table gives an
+    empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("string").alias("label"))
@@ -124,6 +147,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
     halves = [F.unhex(F.lpad(F.hex(h), 16, "0")) for h in (F.xxhash64("label", "e"), F.xxhash64("e", "label"))]
     key = F.when(F.col("label").isNull() | F.col("e").isNull() | bad, None).otherwise(F.concat(*halves))
     rows = stage(rows.select("vec_id", "label", "e", key.alias("key")), "vectors")
+    largest = rows.where("key is not null").groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    scale, tables = settings(largest, least, probes, recall)
     groups = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("e").alias("e"))
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,24 +184,27 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
                 x = flat[at[lo] : at[hi]].reshape(hi - lo, -1)
                 first = np.nonzero(mine[lo:hi] == i[lo])[0] if i[lo] != j[lo] else np.arange(hi - lo)
                 second = np.nonzero(mine[lo:hi] == j[lo])[0]
-                hits = x[first] @ x[second].T >= least
-                if i[lo] == j[lo]:
-                    hits &= np.arange(hi - lo)[:, None] < np.arange(hi - lo)
-                p, q = np.nonzero(hits)
-                p, q = first[p], second[q]
-                for k in range(0, len(p), 4096):
-                    u, v = p[k : k + 4096] + lo, q[k : k + 4096] + lo
-                    whole = _shared(c[u], c[v], cell[lo])
-                    u, v = u[whole], v[whole]
-                    names += [*key[u], *key[v]]
-                    sums += [*copies[v], *copies[u]]
-                    ends += [*key[v], *key[v]]
+                linked, parent = np.zeros(hi - lo, np.int64), np.arange(hi - lo)
+                for some in np.array_split(first, -(-len(first) // 256)):
+                    hits = x[some] @ x[second].T >= least
+                    if i[lo] == j[lo]:
+                        hits &= some[:, None] < second
+                    p, q = np.nonzero(hits)
+                    p, q = some[p], second[q]
+                    for k in range(0, len(p), 1 << 15):
+                        u, v = p[k : k + (1 << 15)], q[k : k + (1 << 15)]
+                        whole = _shared(c[lo + u], c[lo + v], cell[lo])
+                        u, v = u[whole], v[whole]
+                        np.add.at(linked, u, copies[lo + v])
+                        np.add.at(linked, v, copies[lo + u])
+                        _joined(parent, u, v)
+                some = np.nonzero(linked)[0]
+                names.append(key[lo + some])
+                sums.append(linked[some])
+                ends.append(np.where(parent[some] == some, None, key[lo + parent[some]]))
             if names:
-                found = pd.DataFrame({"key": names, "linked": sums, "with": ends})
-                # the links of a vector in this block: their number, and the ends of a forest of them
-                n = found.groupby("key", as_index=False)["linked"].sum().merge(_forest(found), on="key", how="left")
-                n.loc[n["key"].duplicated(), "linked"] = 0
-                yield pa.RecordBatch.from_pandas(n, schema=pa.schema([("key", pa.binary()), ("linked", pa.int64()), ("with", pa.binary())]), preserve_index=False)
+                # the links of a vector in this block: their number, and another member of its component there
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names), pa.binary()), pa.array(np.concatenate(sums)), pa.array(np.concatenate(ends), pa.binary())], names=["key", "linked", "with"])
 
     dealt = met.repartition(partitions(met), *keys).sortWithinPartitions(*keys)
     found = stage(dealt.mapInArrow(verify, "key binary, linked long, with binary"), "vectors-links")

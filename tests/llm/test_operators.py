@@ -104,6 +104,42 @@ def test_embeddings(spark):
     assert lattice.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [16, 64])
+def test_recall_of_embeddings_against_brute_force(spark, dim):
+    """4,500 clustered vectors, many links just above the limit; no link is wrong, and components follow the links found."""
+    prepare(spark)
+    rng = np.random.default_rng(dim)
+    base = rng.standard_normal((300, dim))
+    x = np.repeat(base / np.linalg.norm(base, axis=1)[:, None], 15, axis=0)
+    x = x + rng.uniform(0.02, 0.17, (4500, 1)) * rng.standard_normal((4500, dim)) / np.sqrt(dim)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    label = np.arange(4500) % 3
+    true = (u @ u.T >= 0.98) & (label[:, None] == label) & ~np.eye(4500, dtype=bool)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = sorted(lattice.near_duplicates(df).collect())
+    found = np.array([r.n_links for r in got])
+    assert true.sum() > 5000 and (found <= true.sum(axis=1)).all() and found.sum() >= 0.98 * true.sum()
+    assert all(r.kept == (r.vec_id == r.component_id) and r.component_id <= r.vec_id for r in got)
+    near = [np.nonzero(true[i])[0] for i in range(4500)]
+    assert np.mean([all(got[j].component_id == got[i].component_id for j in near[i]) for i in range(4500)]) > 0.98
+
+
+def test_lattice_settings_follow_the_largest_label():
+    small, large = lattice.settings(1000, 0.98), lattice.settings(50_000_000, 0.98)
+    assert small[0] < large[0] and small[1] < large[1]
+    assert lattice.found_share(0.98, 3, 1.0) > 0.8
+
+
+def test_blocks_of_a_crowded_cell(spark):
+    """A group of near copies larger than a block: every link is counted once."""
+    prepare(spark)
+    rng = np.random.default_rng(2)
+    x = np.ones(16) + 0.01 * rng.standard_normal((150, 16))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = lattice.near_duplicates(df, block=16).collect()
+    assert all(r.n_links == 149 and r.component_id == 0 for r in got)
+
+
 def rows_label(rows, i):
     return next(x[2] for x in rows if x[0] == i)
 
