@@ -8,7 +8,7 @@ import hashlib
 import json
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 
 #: Rows and bytes that go to a Python worker at once; whole texts can be long.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Paths that new_path() has given out and result() has not deleted.
+_MADE: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -63,6 +65,7 @@ def write_json(spark: SparkSession, path: str, value: dict) -> None:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/corpuslode/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
 
     def end() -> None:
         try:
@@ -74,6 +77,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def result(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, written as a table; every table that make() stages on the way is deleted then."""
+    path, before = new_path(spark, name), len(_MADE)
+    df = make()
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    drop(spark, *_MADE[before:])
+    del _MADE[before:]
+    freed(spark)
+    return out
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it: cuts lineage, and survives lost executors."""
     return stage_at(df, name)[0]

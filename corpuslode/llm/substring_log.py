@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, _parse_datatype_string
 
-from corpuslode.llm.common import bucketed, drop, freed, id_ranges, id_text, new_path, partitions, read_json, stage_at, write_json
+from corpuslode.llm.common import bucketed, drop, freed, id_ranges, id_text, new_path, read_json, result, stage, stage_at, write_json
 from corpuslode.llm.superwindows import COMPARE, HISTORY, NEW, ROWS, Units, by_document, claims_of, refined, rows, settled, spans, verified, with_salt
 
 #: Windows of a node.
@@ -55,13 +55,13 @@ class WindowLog:
         """The rows of the index under minimisers that a batch has: a merge join in which only the batch's are dealt."""
         return self.index().join(found.where(F.col("kind") == NEW).select("m").distinct(), "m", "left_semi").select(*found.columns)
 
-    def add(self, docs: DataFrame) -> tuple[DataFrame, str]:
-        """Rows of kind REPEAT and COMPARE of docs (doc_id, text) against all before, and their path; docs become history."""
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Rows of kind REPEAT and COMPARE of docs (doc_id, text) against all before; docs become history."""
         docs = with_salt(id_text(docs))
         texts = self.texts()
         docs.repartition(self.state["buckets"], "id", "salt").select(*texts.columns).write.insertInto(bucketed(self.spark, f"{self.path}/{self.state['texts']}", TEXTS, ["id", "salt"], self.state["buckets"]))
         found, path = stage_at(rows(docs, self.units), "log-batch")
-        both, merged = stage_at(settled(found, self.met(found)), "log-merge")
+        both = stage(settled(found, self.met(found)), "log-merge")
         drop(self.spark, path)
         index = self.state["index"] or f"index-{uuid.uuid4().hex}"
         unseen = both.where(F.col("kind") == NEW).withColumn("kind", F.lit(HISTORY))
@@ -69,7 +69,7 @@ class WindowLog:
         self._keep(index, self.runs + 1)
         if self.runs >= self.state["most_runs"]:
             self.compact()
-        return both.where(F.col("kind") != NEW), merged
+        return both.where(F.col("kind") != NEW)
 
     def compact(self) -> None:
         """Merges all runs into one, bucket by bucket; each content keeps its first place."""
@@ -93,17 +93,18 @@ def removals(docs: DataFrame, log: WindowLog, batches: int = 1) -> DataFrame:
     """
     spark = docs.sparkSession
     ranged = id_ranges(id_text(docs), batches)
-    both, paths = None, []
-    for i in range(batches):
-        more, path = log.add(ranged.where(F.col("range_id") == i))
-        paths.append(path)
-        both = more if both is None else both.unionByName(more)
-        freed(spark)
-    compare = both.where(F.col("kind") == COMPARE).dropDuplicates(["m", "c", "id", "salt", "start"])
-    gone = verified(log.texts(), claims_of(both).unionByName(refined(log.texts(), compare, log.units)), log.units)
-    drop(spark, *paths)
-    freed(spark)
-    return by_document(gone, F.col("start"), F.col("len"))
+
+    def gone() -> DataFrame:
+        both = None
+        for i in range(batches):
+            more = log.add(ranged.where(F.col("range_id") == i))
+            both = more if both is None else both.unionByName(more)
+            freed(spark)
+        compare = both.where(F.col("kind") == COMPARE).dropDuplicates(["m", "c", "id", "salt", "start"])
+        claims = claims_of(both).unionByName(refined(log.texts(), compare, log.units))
+        return verified(log.texts(), claims, log.units)
+
+    return by_document(result(spark, "gone", gone), F.col("start"), F.col("len"))
 
 
 def deduplicate(docs: DataFrame, window: int = 20, k: int = 5, batches: int = 3, most_runs: int = 2, path: str | None = None) -> DataFrame:

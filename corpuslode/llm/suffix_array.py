@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import freed, id_text, partitions, runs, stage
+from corpuslode.llm.common import freed, id_text, partitions, result, runs, stage
 from corpuslode.llm.superwindows import COMPARE, _M, Units, by_document, claims_of, flat, mixed, refined, rows, settled, spans, text_table, verified
 
 #: Bytes of texts that are sorted together at most, unless one key has more.
@@ -27,7 +27,9 @@ SHARD = 1 << 20
 #: Different texts under one key that one shard sorts; the windows of more are settled by their nodes (superwindows.py).
 CROWD = 512
 #: Names up to which a name is one digit in the recursion.
-DIGIT = 1024
+DIGIT = 256
+#: Names that are sorted by rank doubling, at the recursion's end.
+SHORT = 4096
 #: Windows of a node.
 NODE = 8
 
@@ -50,15 +52,13 @@ def _ranks_doubled(names: np.ndarray) -> np.ndarray:
 
 
 def _order(names: np.ndarray, n: int) -> np.ndarray:
-    """The order of the suffixes of names, whose last is the only 0; by recursion where that is shorter than n."""
-    if len(names) <= 64:
-        own = names.tolist()
-        return np.array(sorted(range(len(own)), key=lambda i: own[i:]), np.int64)
+    """The order of the suffixes of names, whose last is the only 0, by recursion: it ends where the string is short, or where
+    names of two digits would not be a shorter string than the n before."""
     most = int(names.max()) + 1
+    if len(names) <= SHORT or most > DIGIT and 8 * len(names) > 3 * n:
+        return _ranks_doubled(names)
     if most <= DIGIT:
         return suffix_array(names[:-1])
-    if 8 * len(names) > 3 * n:
-        return _ranks_doubled(names)
     base = isqrt(most) + 1
     digits = np.stack([names // base, names % base], axis=1).ravel() + 1
     sa = suffix_array(digits)
@@ -304,19 +304,22 @@ def compared(texts: DataFrame, window: int) -> DataFrame:
 
 def removed_bytes(docs: DataFrame, window: int = 100, k: int = 24, crowd: int = CROWD) -> DataFrame:
     """(doc_id, text, items): for every row of docs the spans (start, len) in bytes to remove; items is null if none."""
-    units = Units(window, k, NODE, words=False)
+    spark, units = docs.sparkSession, Units(window, k, NODE, words=False)
     texts = text_table(id_text(docs))
-    found = stage(settled(rows(texts, units)), "substrings")
-    freed(docs.sparkSession)
-    compare = found.where(F.col("kind") == COMPARE)
-    crowds = compare.groupBy("m").count().where(F.col("count") > crowd).select("m", F.lit(True).alias("crowd"))
-    compare = stage(compare.join(crowds, "m", "left"), "compare")
-    few, many = compare.where("crowd is null"), compare.where("crowd")
-    sorted_ = stage(compared(shards(texts, few, units), window), "compared")
-    claims = claims_of(found).unionByName(refined(texts, many, units))
-    gone = verified(texts, claims, units).unionByName(sorted_)
-    freed(docs.sparkSession)
-    return texts.join(by_document(gone, F.col("start"), F.col("len")), ["id", "salt"], "left").select("doc_id", "text", "items")
+
+    def gone() -> DataFrame:
+        found = stage(settled(rows(texts, units)), "substrings")
+        freed(spark)
+        compare = found.where(F.col("kind") == COMPARE)
+        crowds = compare.groupBy("m").count().where(F.col("count") > crowd).select("m", F.lit(True).alias("crowd"))
+        compare = stage(compare.join(crowds, "m", "left"), "compare")
+        few, many = compare.where("crowd is null"), compare.where("crowd")
+        own = stage(compared(shards(texts, few, units), window), "compared")
+        claims = claims_of(found).unionByName(refined(texts, many, units))
+        return verified(texts, claims, units).unionByName(own)
+
+    items = by_document(result(spark, "gone", gone), F.col("start"), F.col("len"))
+    return texts.join(items, ["id", "salt"], "left").select("doc_id", "text", "items")
 
 
 def deduplicate(docs: DataFrame, window: int = 100, k: int = 24, crowd: int = CROWD) -> DataFrame:
