@@ -1,6 +1,9 @@
 """N-best segmentation into SentencePiece pieces, and decoding.
 
-A text's pieces form a lattice; a path's score is the sum of its pieces' scores. No piece holds a space mark behind another
+A text's pieces form a lattice; a path's score is the sum of its pieces' log-probabilities. The public model is a BPE model,
+whose scores are only the order of its merges: that order is read as ranks under Zipf's law, so a piece of rank r has a
+probability of 1 / (r H), H the harmonic number of all pieces. So the best path is not the merges' result that the library
+returns for this model, but the likeliest of all segmentations into its pieces. No piece holds a space mark behind another
 character, so the lattice falls apart into stretches that end before space marks, each solved once and kept. In a stretch a
 forward Viterbi pass gives the best score up to every place. Those scores are exact heuristics for an A* search from the end
 back to the start, which pops whole paths in descending order of score (Nagata, 1994). A document's n best are the stretches'
@@ -13,6 +16,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +41,11 @@ class Pieces(dict):
         n = p.get_piece_size()
         self.text = [p.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
-        self.vocab = {self.text[i]: (p.get_score(i), i) for i in plain}
+        ranked = sorted(plain, key=lambda i: (-p.get_score(i), i))
+        total = log(sum(1 / r for r in range(1, len(ranked) + 1)))
+        self.vocab = {self.text[i]: (-log(r) - total, i) for r, i in enumerate(ranked, 1)}
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(n) if p.is_byte(i)}
-        self.unknown = min(s for s, _ in self.vocab.values() if s > -1e8) - PENALTY
+        self.unknown = min(s for s, _ in self.vocab.values()) - PENALTY
         self.widest = max(map(len, self.vocab))
         if any(SPACE in x.lstrip(SPACE) for x in self.vocab):
             raise ValueError("a piece holds a space mark behind another character")
@@ -123,8 +129,8 @@ class Pieces(dict):
                 heapq.heappush(heap, (-(best[start] + score + behind), order, start, behind + score, (self.ids(s, start, piece), path)))
         return out
 
-    def encode(self, text: str | None, n: int = 4) -> tuple[bytes, list[float], list[list[tuple[int, tuple[int, ...]]]]]:
-        """(ids of the best segmentation as bytes, scores of the n best, each one's deviations (stretch, ids))."""
+    def encode(self, text: str | None, n: int = 4) -> list[tuple[float, bytes]]:
+        """(score, ids as bytes) of the n best segmentations, or of as many as there are, best first."""
         own = self.stretches(self.normal(text or ""))
         if len(self) > KEPT:
             self.clear()
@@ -139,7 +145,15 @@ class Pieces(dict):
             ways = self.paths(own[i], n)
             more = [(loss + ways[0][0] - score, [*dev, (int(i), ids)] if k else dev) for loss, dev in combos for k, (score, ids) in enumerate(ways)]
             combos = heapq.nsmallest(n, more, key=lambda x: x[0])
-        return b"".join([f[0] for f in found]), [total - loss for loss, _ in combos], [dev for _, dev in combos]
+        best, out = [f[0] for f in found], []
+        for loss, dev in combos:
+            data = best
+            if dev:
+                data = best.copy()
+                for i, ids in dev:
+                    data[i] = np.array(ids, "<u4").tobytes()
+            out.append((total - loss, b"".join(data)))
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
@@ -155,12 +169,14 @@ def model(path: str) -> Pieces:
     return _MODELS[path]
 
 
-def encode(docs: DataFrame, path: str | None = None, n: int = 4) -> DataFrame:
-    """(doc_id, n_pieces, score, ids_crc32, nbest_scores, decodes, ids) for every row of docs.
+def encode(docs: DataFrame, path: str | None = None, n: int = 4, ids: bool = True) -> DataFrame:
+    """(doc_id, n_pieces, score, ids_crc32, nbest_scores, nbest_crc32, decodes, nbest_ids) for every row of docs.
 
-    ids are those of the best segmentation; nbest_scores of the n best, or of as many as there are, descending. decodes:
-    whether decoding the ids gives the text back (a space mark in a text reads as a space). Null and empty texts have no
-    pieces, and one segmentation of score 0. An empty table gives an empty result.
+    n_pieces, score and ids_crc32 are of the best segmentation; nbest_ids has the ids of the n best, or of as many as there
+    are, by descending score; of equal scores any may come first, the same one each time. ids=False leaves nbest_ids out.
+    decodes: whether decoding the best ids gives the text back (a space mark in a text reads as a space). Null and empty
+    texts have no pieces, and one segmentation of score 0. Repeated rows are encoded as often as they come. Other columns,
+    whatever their names, are left out. An empty table gives an empty result.
     """
     place = path or public("piece_bpe_32k.model")
 
@@ -168,12 +184,19 @@ def encode(docs: DataFrame, path: str | None = None, n: int = 4) -> DataFrame:
         from corpuslode.llm.orc_tokens import lists
 
         m = model(place)
-        for ids, texts in batches(it, "doc_id", "text"):
-            for lo in range(0, len(ids), 500):
-                some = texts[lo : lo + 500]
+        for doc, texts in batches(it, "doc_id", "text"):
+            for lo in range(0, len(doc), 200):
+                some = texts[lo : lo + 200]
                 got = [m.encode(t, n) for t in some]
-                same = [m.decode(np.frombuffer(g[0], "<u4")) == (t or "").replace(SPACE, " ") for g, t in zip(got, some)]
-                columns = [pa.array(ids[lo : lo + 500], pa.int64()), pa.array([len(g[0]) // 4 for g in got], pa.int64()), pa.array([g[1][0] for g in got], pa.float64()), pa.array([zlib.crc32(g[0]) for g in got], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([g[1] for g in got], pa.list_(pa.float64())), pa.array(same, pa.bool_()), lists([g[0] for g in got])], names=["doc_id", "n_pieces", "score", "ids_crc32", "nbest_scores", "decodes", "ids"])
-
-    return id_text(docs).mapInArrow(run, "doc_id long, n_pieces long, score double, ids_crc32 long, nbest_scores array<double>, decodes boolean, ids array<int>")
+                same = [m.decode(np.frombuffer(g[0][1], "<u4")) == (t or "").replace(SPACE, " ") for g, t in zip(got, some)]
+                crc = [[zlib.crc32(x) for _, x in g] for g in got]
+                columns = [pa.array(doc[lo : lo + 200], pa.int64()), pa.array([len(g[0][1]) // 4 for g in got], pa.int64()), pa.array([g[0][0] for g in got], pa.float64()), pa.array([c[0] for c in crc], pa.int64())]
+                columns += [pa.array([[s for s, _ in g] for g in got], pa.list_(pa.float64())), pa.array(crc, pa.list_(pa.int64())), pa.array(same, pa.bool_())]
+                if ids:
+                    at = np.cumsum([0, *map(len, got)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(at, lists([x for g in got for _, x in g])))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = "doc_id long, n_pieces long, score double, ids_crc32 long, nbest_scores array<double>, nbest_crc32 array<long>, decodes boolean" + (", nbest_ids array<array<int>>" if ids else "")
+    names = [x.split()[0] for x in kinds.split(", ")]
+    return id_text(docs).mapInArrow(run, kinds)

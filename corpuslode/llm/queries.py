@@ -17,7 +17,7 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(documents(spark, sf_dir)).drop("ids")
+    return pieces.encode(documents(spark, sf_dir), ids=False)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
