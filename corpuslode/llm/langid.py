@@ -8,7 +8,6 @@ labelled rows set the score below which a text is rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +19,9 @@ from pyspark.sql import functions as F
 from corpuslode.llm.common import batches, id_text
 
 BUCKETS, DIM = 1 << 16, 16
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+#: Labels that are learnt, the commonest; characters of a text that is still learnt from.
+LABELS, LONGEST = 200, 200_000
 
 
 def grams(text: str, bits: int = 16, orders: tuple = (3, 4)) -> np.ndarray:
@@ -48,7 +48,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected)."""
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
         z = self.logits(text) / self.temperature
         p = np.exp(z - z.max())
@@ -103,23 +103,25 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5
     return model
 
 
-def sample_of(docs: DataFrame, keys: DataFrame, label: str, each: int) -> tuple[list, list]:
-    """Whole texts and labels of at most `each` rows of keys (doc_id, label) a label, the least by a hash of doc_id.
+def sample_of(docs: DataFrame, keys: DataFrame, label: str, each: int, labels: int = LABELS, longest: int = LONGEST) -> tuple[list, list]:
+    """Whole texts and labels of at most `each` ids of keys (doc_id, label) a label, the least by a hash of doc_id.
 
-    Only that bounded sample reaches the driver; ids are chosen before any text is read.
+    Only that bounded sample reaches the driver: of at most `labels` labels, the commonest; of rows with one doc_id the one
+    with the least text; no text of more than `longest` characters. Ids are chosen before any text is read.
     """
     # A label may hold most rows. Its rows are counted first; only those whose hash lies below the share of the hash range that
     # should hold `each` of them, and 8 standard deviations more, meet in its window. One count a label is broadcast.
+    keys = keys.distinct()
     at = F.shiftright(F.xxhash64("doc_id"), 11) / float(1 << 53) + 0.5
-    counts = keys.groupBy(label).agg(F.count("*").alias("_all"))
+    counts = keys.groupBy(label).agg(F.count("*").alias("_all")).orderBy(F.desc("_all"), label).limit(labels)
     low = keys.join(F.broadcast(counts), label).where(at * F.col("_all") <= each + 8 * each**0.5 + 64)
     w = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = low.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= each).select(F.col("doc_id").alias("_id"), F.col(label).alias("_label"))
     got = [(r[0], r[1]) for r in chosen.collect()]  # bounded: `each` rows a label
     ids = docs.sparkSession.createDataFrame(got or [(None, None)], chosen.schema)
-    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).select("doc_id", "text", "_label").collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[1] or "", str(r[2])))
-    return [r[1] or "" for r in rows], [r[2] for r in rows]
+    rows = docs.where(F.length("text") <= longest).join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).groupBy("doc_id", "_label").agg(F.min("text").alias("text")).collect()
+    rows = sorted(rows, key=lambda r: (r[0], str(r[1])))
+    return [r[2] for r in rows], [r[1] for r in rows]
 
 
 def held_out(column: str, parts: int, part: int) -> Column:
@@ -149,7 +151,9 @@ def identify(docs: DataFrame, parts: int = 3, part: int = 1, per_language: int =
     """(doc_id, held_out, lang_pred, score, rejected) for every row of docs.
 
     Rows whose crc32(doc_id as text) mod parts is part are never learnt from. A text that is null or has no letter is
-    `und` with score 0 and rejected; so is every text where there is nothing to learn from. A null doc_id is not held out.
+    `und` with score 0 and rejected; so is every text where there is nothing to learn from. A null doc_id is not held out,
+    nor learnt from. Repeated rows get one result each; of equal scores the first language by name wins. Other columns,
+    whatever their names, are left out. An empty table gives an empty result.
     """
     model = fit(docs, ~held_out("doc_id", parts, part), per_language)
     return predict(docs, model).select("doc_id", held_out("doc_id", parts, part).alias("held_out"), "lang_pred", "score", "rejected")
