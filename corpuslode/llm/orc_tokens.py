@@ -33,7 +33,9 @@ def lists(data: list[bytes]) -> pa.ListArray:
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 2, files: int | None = None) -> None:
     """Encodes every whole text of docs, adds `end` to each, and writes ORC files to path.
 
-    Null texts are empty. Null ids come first. Repeated rows are written as often as they come.
+    Null texts are empty. Null ids come first; rows of one id come by a hash of their texts, so their starts are the same each
+    time. Repeated rows are written as often as they come. Other columns, whatever their names, are left out. An empty
+    table gives files without rows.
     """
     place, last = tokenizer or public("word_bpe_49k.json"), np.array([end], "<u4").tobytes()
 
@@ -50,8 +52,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 2
                 start += int(n.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), b.column("doc_id").slice(lo, len(n)), pa.array(starts), pa.array(n), lists(data)], names=["part", "doc_id", "local_start", "n_tokens", "ids"])
 
-    rows = id_text(docs)
-    ordered = rows.repartitionByRange(files or partitions(rows), "doc_id").sortWithinPartitions("doc_id")
+    rows = id_text(docs).withColumn("h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(files or partitions(rows), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     ordered.mapInArrow(run, FILE).write.options(**OPTIONS).orc(path)
 
 
