@@ -158,20 +158,41 @@ def test_pieces_against_all_segmentations(docs, empty):
         t = "".join(R.choice(["the", " ", "a", "in", "\n", "日", "er", "  ", ",", "on "]) for _ in range(R.randint(0, 4)))
         s, every = m.normal(t), []
 
-        def go(at, score):
+        def go(at, score, ids):
             if at == 0:
-                every.append(score)
-            for start, more, _ in m.edges(s, at) if at else ():
-                go(start, score + more)
-
-        go(len(s), 0.0)
-        ids, scores, _ = m.encode(t, 4)
-        assert np.allclose(scores, sorted(every, reverse=True)[:4]) and m.decode(np.frombuffer(ids, "<u4")) == t
+                every.append((score, ids))
+            for start, more, piece in m.edges(s, at) if at else ():
+                go(start, score + more, m.ids(s, start, piece) + ids)
+
+        go(len(s), 0.0, ())
+        best = m.encode(t, 4)
+        assert np.allclose([x for x, _ in best], sorted((x for x, _ in every), reverse=True)[:4])
+        own = [tuple(np.frombuffer(x, "<u4").tolist()) for _, x in best]
+        assert len(set(own)) == len(own) and all(any(np.isclose(s, x) and ids == y for x, y in every) for (s, _), ids in zip(best, own))
+        assert all(m.decode(np.frombuffer(x, "<u4")) == t for _, x in best)
     got = pieces.encode(docs).collect()
     assert len(got) == len(ROWS) and all(r.decodes for r in got) and pieces.encode(empty).count() == 0
+    for r in got:
+        assert [zlib.crc32(np.array(x, "<u4").tobytes()) for x in r.nbest_ids] == r.nbest_crc32 and r.ids_crc32 == r.nbest_crc32[0]
+        assert r.n_pieces == len(r.nbest_ids[0]) and r.nbest_scores == sorted(r.nbest_scores, reverse=True) and r.score == r.nbest_scores[0]
+
+
+def test_pieces_against_the_library():
+    """The library merges (this is a BPE model); the likeliest segmentation decodes alike and needs no more pieces in all."""
+    import sentencepiece
 
+    m, p = pieces.Pieces(public("piece_bpe_32k.model")), sentencepiece.SentencePieceProcessor(model_file=public("piece_bpe_32k.model"))
+    texts = ["the house is large", "data in a lake", "naïve ähnlich", "日本 x,", LONG, PASSAGE]
+    own = [np.frombuffer(m.encode(t, 1)[0][1], "<u4").tolist() for t in texts]
+    library = p.encode(texts)
+    assert [p.decode(x) for x in own] == [p.decode(x) for x in library] == texts
+    assert own[0] == library[0] and sum(map(len, own)) <= sum(map(len, library))
+    assert all(m.vocab[x][0] <= 0 for x in m.vocab) and sum(np.exp(s) for s, _ in m.vocab.values()) == pytest.approx(1)
 
-def test_suffix_arrays():
+
+@pytest.mark.parametrize("short", [4, suffix_array.SHORT])
+def test_suffix_arrays(short, monkeypatch):
+    monkeypatch.setattr(suffix_array, "SHORT", short)
     for k in range(220):
         s = [R.randint(1, R.choice([1, 2, 20]) if k < 200 else 200) for _ in range(R.randint(1, 50) if k < 200 else 4000)] * (1 + k % 2)
         sa, t = suffix_array.suffix_array(np.array(s)), [*s, 0]
@@ -288,10 +309,11 @@ def test_log_is_compacted_and_outlives_its_job(spark, docs):
 
 def test_language_and_quality(spark):
     rows = [(i, " ".join(R.choice(a) for _ in range(30)), lang) for i in range(120) for lang, a in (("en", ["the", "house", "with"]), ("de", ["das", "straße", "mit"])) if i % 2 == (lang == "de")]
-    rows += [(500, None, "en"), (501, "123 .", "en"), (502, "the house", None), (None, "das", "de")]
+    rows += [(500, None, "en"), (501, "123 .", "en"), (502, "the house", None), (None, "das", "de"), (503, "½ ²", None), (504, "① ② ٣", None), (505, "x ½", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in langid.identify(docs).collect()}
-    assert all(got[i].lang_pred == lang for i, _, lang in rows[:120]) and got[500].lang_pred == got[501].lang_pred == "und"
+    assert all(got[i].lang_pred == lang for i, _, lang in rows[:120]) and all(got[i].lang_pred == "und" and got[i].score == 0 for i in (500, 501, 503, 504))
+    assert got[505].lang_pred in ("en", "de")
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in range(120))
     assert langid.identify(docs.limit(0)).count() == 0
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
@@ -300,6 +322,136 @@ def test_language_and_quality(spark):
     assert nbsvm.classify(docs, labels.limit(0)).count() == len(rows) and nbsvm.classify(docs.limit(0), labels).count() == 0
 
 
+def test_a_sample_is_bounded(spark):
+    """One doc_id in very many rows gives one text; labels and text lengths are bounded."""
+    rows = [(1, f"text {i}", "en") for i in range(300)] + [(i, "x", "en") for i in range(2, 40)] + [(i, "y", f"l{i}") for i in range(100, 130)] + [(50, "z" * 999, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = langid.sample_of(docs, docs.select("doc_id", "lang"), "lang", 10, labels=5, longest=500)
+    assert len(texts) <= 10 + 4 and langs.count("en") in (9, 10) and len(set(langs)) == 5 and max(map(len, texts)) <= 500
+
+
+def noisy(rng, words, n):
+    """A text of one vocabulary with some words of the others."""
+    return " ".join(rng.choice(words if rng.random() < 0.8 else rng.choice(list(TONGUES.values()))) for _ in range(n))
+
+
+TONGUES = {
+    "en": "the of and to in house water people which there would about time with".split(),
+    "de": "der die und nicht wasser haus leute welche dort würde über zeit mit".split(),
+    "fr": "le la et ne pas eau maison gens lequel là serait sur temps avec".split(),
+}
+
+
+def test_held_out_accuracy(spark):
+    """Texts of mixed vocabularies; quality as a share of words. What is held out is predicted well, and never learnt from."""
+    rng = random.Random(12)
+    rows = [(i, noisy(rng, TONGUES[x], rng.randint(3, 40)), x) for i in range(600) for x in [rng.choice(list(TONGUES))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs).collect()
+    true = {i: x for i, _, x in rows}
+    held = [r for r in got if r.held_out]
+    assert len(held) > 100 and np.mean([r.lang_pred == true[r.doc_id] for r in held]) >= 0.95
+    assert np.mean([r.score for r in held]) <= 1 and all(0 <= r.score <= 1 for r in got)
+    other = docs.withColumn("lang", F.when(langid.held_out("doc_id", 3, 1), F.lit("de")).otherwise(F.col("lang")))
+    assert sorted(langid.identify(other).collect()) == sorted(got)
+    labels = spark.createDataFrame([(i, int(x == "en"), 0) for i, _, x in rows], "doc_id long, quality int, toxic int")
+    got = [r for r in nbsvm.classify(docs, labels).collect() if r.held_out]
+    assert len(got) > 80 and np.mean([(r.score >= 0.5) == (true[r.doc_id] == "en") for r in got]) >= 0.95
+
+
+def test_orc_rows_of_one_id_come_in_one_order(spark):
+    rows = [(None if i % 2 else 7, f"text number {i} " * (i % 5)) for i in range(60)]
+    runs = []
+    for parts in (1, 5):
+        path = new_path(spark, "orc")
+        orc_tokens.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), path, files=3)
+        runs.append(sorted(tuple(r) for r in orc_tokens.digests(orc_tokens.read(spark, path)).select("start", "doc_id", "n_tokens", "ids_crc32").collect()))
+    assert runs[0] == runs[1] and runs[0][0][0] == 0 and all(a[0] + a[2] == b[0] for a, b in zip(runs[0], runs[0][1:]))
+
+
+def test_orc_metadata_prunes(spark):
+    """A row group's statistics skip ids out of its range, Bloom filters those that its range lacks; stripes are read apart."""
+    from pyarrow import orc
+
+    path = new_path(spark, "orc")
+    orc_tokens.write(spark.range(0, 40000, 2).selectExpr("id as doc_id", "concat('some words ', id) as text"), path, files=1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+
+    def scanned(ids):
+        df = orc_tokens.lookup(spark, path, ids)
+        n = df.count()
+        plan = orc_tokens.lookup(spark, path, ids)._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+        return n, plan.collectLeaves().head().metrics().get("numOutputRows").get().value()
+
+    try:
+        assert scanned([20000]) == (1, scanned([20000])[1]) and 1 <= scanned([20000])[1] <= 2000
+        assert scanned([20001])[0] == 0 and scanned([20001])[1] <= 1000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    import glob
+
+    file = orc.ORCFile(glob.glob(f"{path}/*.orc")[0])
+    assert file.nrows == 20000 and file.row_index_stride == 1000 and file.compression == "ZSTD"
+
+
+def test_orc_starts_by_a_join(spark, docs, monkeypatch):
+    """More files than are broadcast."""
+    path = new_path(spark, "orc")
+    orc_tokens.write(docs, path)
+    few = sorted(orc_tokens.digests(orc_tokens.read(spark, path)).collect(), key=repr)
+    monkeypatch.setattr(orc_tokens, "MOST_FILES", 0)
+    assert sorted(orc_tokens.digests(orc_tokens.read(spark, path)).collect(), key=repr) == few
+
+
+def test_packs_are_better_than_best_fit():
+    """On hard sizes the genetic search opens fewer bins than best fit decreasing; it never opens more."""
+    rng = np.random.default_rng(1)
+    gained = []
+    for low, high in ((200, 700), (250, 520), (300, 400), (1, 1023)):
+        sizes = rng.integers(low, high, 800)
+        first = packing.decreasing(sizes, 1024)
+        best = packing.evolve(sizes, 1024, [first], 40, 6, 3)
+        assert sorted(i for x in best for i in x) == list(range(800)) and packing.loads(best, sizes).max() <= 1024
+        gained.append(len(first) - len(best))
+        assert -(-int(sizes.sum()) // 1024) <= len(best)
+    assert min(gained) >= 0 and sum(gained) > 0
+
+
+def test_pieces_of_a_packing_against_the_library(docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public("byte_bpe_50k.json"))
+    want = []
+    for i, x in ROWS:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        cuts = [0, *range((len(ids) - 1) % 64 + 1, len(ids) + 1, 64)]
+        want += [(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    got = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packing.pack(docs, room=64, per_pack=8).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_likeness_over_a_corpus(spark):
+    """near_edited and near_next against the exact generalised Jaccard similarity of the bags of words."""
+    from collections import Counter
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e", "f", "g", f"w{rng.randint(0, 30)}"]) for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    got = {r.doc_id: r for r in cws.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+
+    def jaccard(x, y):
+        a, b = Counter(x.lower().split()), Counter(y.lower().split())
+        return sum((a & b).values()) / sum((a | b).values())
+
+    gaps = []
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        other = cws.edited(t, after)
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(other.encode()).hexdigest()
+        gaps += [got[i].near_edited - jaccard(t, other), got[i].near_next - jaccard(t, after)]
+    assert abs(np.mean(gaps)) < 0.03 and np.abs(gaps).max() < 0.25
+
+
 def test_orc_round_trip(spark, docs, empty):
     from tokenizers import Tokenizer
 
