@@ -69,3 +69,15 @@ def level_of_detail(doc_hits: DataFrame, sections: DataFrame, chunks: DataFrame,
     s = sections.join(d, ["query_id", "doc_id"], "left_semi").withColumnRenamed("section_id", "chunk_id")
     s = ranked(s, per).select("query_id", F.col("chunk_id").alias("section_id"))
     return ranked(chunks.join(s, ["query_id", "section_id"], "left_semi"), k)
+
+
+def keywords(docs: DataFrame, most: int = 10) -> DataFrame:
+    """(doc_id, keyword, score, rank): words that are frequent, early and often capitalised; a stand-in for a keyword library.
+
+    score: count * (1 + share of capitalised ones) / ln(3 + first place), words of four letters or more.
+    """
+    w = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("i", "w"))
+    big = F.count(F.when(F.col("w").rlike("^[A-Z]"), 1))
+    s = w.groupBy("doc_id", F.lower("w").alias("keyword")).agg(F.round(F.count("*") * (1 + big / F.count("*")) / F.log(F.min("i") + 4), 6).alias("score"))
+    order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "keyword")
+    return s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
