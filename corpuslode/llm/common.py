@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import hashlib
 import json
@@ -102,9 +104,16 @@ def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def trimmed() -> None:
+    """Gives the driver's freed Python memory back to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def freed(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that are done with; it does so once the driver collects its garbage."""
-    gc.collect()
+    trimmed()
     spark._jvm.System.gc()
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import batches, id_text
+from corpuslode.llm.common import batches, id_text, trimmed
 
 BUCKETS, DIM = 1 << 16, 16
 UNKNOWN = "und"
@@ -132,8 +132,9 @@ def fit(docs: DataFrame, usable: Column, per_language: int = 1500) -> Model:
     """Trains on at most per_language rows of each lang among the usable rows of docs (doc_id, text, lang)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), usable.alias("use"))
     keys = base.where("use and lang is not null and doc_id is not null").select("doc_id", "lang")
-    texts, langs = sample_of(id_text(docs), keys, "lang", per_language)
-    return train(texts, langs)
+    model = train(*sample_of(id_text(docs), keys, "lang", per_language))
+    trimmed()
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import batches, id_text
+from corpuslode.llm.common import batches, id_text, trimmed
 from corpuslode.llm.langid import grams, held_out, sample_of
 
 BITS = 18
@@ -122,8 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     own = own.where(usable).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     share = own.agg(F.avg("label")).first()[0]
-    texts, y = sample_of(id_text(docs), own.groupBy("doc_id").agg(F.max("label").alias("label")), "label", per_class)
-    return train(texts, y, share)
+    model = train(*sample_of(id_text(docs), own.groupBy("doc_id").agg(F.max("label").alias("label")), "label", per_class), share)
+    trimmed()
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -141,6 +142,8 @@ def classify(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0,
 
     Labels of rows whose crc32(doc_id as text) mod parts is part are never learnt from. Null and empty texts are scored by
     the model as texts without words. Without labels of both classes the score is constant. A null doc_id is not held out.
+    Repeated rows get one result each; of several labels of a doc_id the largest counts. Other columns, whatever their
+    names, are left out. An empty table gives an empty result.
     """
     out = held_out("doc_id", parts, part)
     model = fit(docs, labels, ~out)
