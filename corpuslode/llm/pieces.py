@@ -44,6 +44,8 @@ class Pieces(dict):
         ranked = sorted(plain, key=lambda i: (-p.get_score(i), i))
         total = log(sum(1 / r for r in range(1, len(ranked) + 1)))
         self.vocab = {self.text[i]: (-log(r) - total, i) for r, i in enumerate(ranked, 1)}
+        #: Every start of a piece; what is no piece itself has no score.
+        self.starts = {x[:k]: () for x in self.vocab for k in range(1, len(x))} | self.vocab
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(n) if p.is_byte(i)}
         self.unknown = min(s for s, _ in self.vocab.values()) - PENALTY
         self.widest = max(map(len, self.vocab))
@@ -75,27 +77,32 @@ class Pieces(dict):
 
     def forward(self, s: str) -> tuple[list[float], list[float], list[tuple]]:
         """The best and second-best score up to every place, and the best's last edge."""
-        none, get, widest = float("-inf"), self.vocab.get, self.widest
-        best, second, back = [0.0], [none], [()]
-        for end in range(1, len(s) + 1):
-            a = b = none
-            last = ()
-            for start in range(end - widest if end > widest else 0, end):
+        none, get, n = float("-inf"), self.starts.get, len(s)
+        best, second, back = [none] * (n + 1), [none] * (n + 1), [()] * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            x0, y0 = best[start], second[start]
+            for end in range(start + 1, n + 1):
                 found = get(s[start:end])
-                if found is None:
-                    if start < end - 1:
+                if not found:
+                    if end == start + 1:
+                        score, piece = self.unknown, -1
+                    elif found is None:
+                        break
+                    else:
                         continue
-                    found = self.unknown, -1
-                x = best[start] + found[0]
+                else:
+                    score, piece = found
+                x = x0 + score
+                a = best[end]
                 if x > a:
-                    y = second[start] + found[0]
-                    b = a if a > y else y
-                    a, last = x, (start, *found)
-                elif x > b:
-                    b = x
-            best.append(a)
-            second.append(b)
-            back.append(last)
+                    y = y0 + score
+                    second[end] = a if a > y else y
+                    best[end], back[end] = x, (start, score, piece)
+                elif x > second[end]:
+                    second[end] = x
+                if found is None:
+                    break
         return best, second, back
 
     def __missing__(self, s: str) -> tuple[bytes, float, float]:
@@ -134,9 +141,8 @@ class Pieces(dict):
         own = self.stretches(self.normal(text or ""))
         if len(self) > KEPT:
             self.clear()
-        found = list(map(self.__getitem__, own))
-        total = sum(f[1] for f in found)
-        gaps = np.fromiter((f[2] for f in found), np.float64, len(found))
+        best, scores, gaps = zip(*map(self.__getitem__, own)) if own else ((), (), ())
+        total, gaps = sum(scores), np.array(gaps)
         near = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) <= 4 * n else sorted(np.argpartition(gaps, n - 1)[:n].tolist(), key=lambda i: (gaps[i], i))[: n - 1]
         combos: list[tuple[float, list]] = [(0.0, [])]
         for i in near:
@@ -145,11 +151,11 @@ class Pieces(dict):
             ways = self.paths(own[i], n)
             more = [(loss + ways[0][0] - score, [*dev, (int(i), ids)] if k else dev) for loss, dev in combos for k, (score, ids) in enumerate(ways)]
             combos = heapq.nsmallest(n, more, key=lambda x: x[0])
-        best, out = [f[0] for f in found], []
+        out = []
         for loss, dev in combos:
             data = best
             if dev:
-                data = best.copy()
+                data = list(best)
                 for i, ids in dev:
                     data[i] = np.array(ids, "<u4").tobytes()
             out.append((total - loss, b"".join(data)))
