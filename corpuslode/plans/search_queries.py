@@ -59,7 +59,8 @@ def spr2(spark, sf):
     return S.bm25(chunks(spark, sf), asked(spark, sf), K)
 
 
-OKAPI = BM25.format(d=_T.format("text"), q=_T.format("text"), idf="ln((n - df + 0.5) / (df + 0.5))", num="2.5")
+_IDF = "ln((n - df + 0.5) / (df + 0.5))"
+OKAPI = BM25.replace("asked as (", "fl as (select 0.25 * avg(" + _IDF + ") as low from df, st), asked as (").replace("join dl using (chunk_id), st", "join dl using (chunk_id), st, fl").format(d=_T.format("text"), q=_T.format("text"), idf=f"(case when {_IDF} < 0 then low else {_IDF} end)", num="2.5")
 
 
 @query("spr6_okapi", f"with {OKAPI} select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from hit qualify rank <= {K}")
@@ -122,12 +123,12 @@ def dns9(spark, sf):
     return S.ranked(best, 5)
 
 
-LEGS = f"{DOT}, {COSINE.replace('v as', 'v2 as').replace('sc as', 'sc2 as').replace('dense as', 'other as').replace('from v a, v b', 'from v2 a, v2 b').replace('from sc ', 'from sc2 where label < 5 ')}"
+LEGS = f"{DOT}, {COSINE.replace('v as', 'v2 as').replace('sc as', 'sc2 as').replace('dense as', 'other as').replace('from v a, v b', 'from v2 a, v2 b').replace('from sc ', 'from sc2 ')}"
 
 
 def _legs(spark, sf) -> tuple[DataFrame, DataFrame]:
     q = vector_queries(spark, sf)
-    return S.dense(vectors(spark, sf), q, K), S.dense(vectors(spark, sf).where("label < 5"), q, K, cosine=True)
+    return S.dense(vectors(spark, sf), q, K), S.dense(vectors(spark, sf), q, K, cosine=True)
 
 
 @query("fus1_weighted_rrf", f"with {LEGS}, s as (select query_id, chunk_id, round(sum(p), 9) as score from (select query_id, chunk_id, 3.0 / (10 + rank - 1) as p from dense union all select query_id, chunk_id, 0.3 / (10 + rank - 1) from other) group by all) select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s qualify rank <= 10")
@@ -209,9 +210,13 @@ def hie3(spark, sf):
 
 @query("hie1_level_of_detail", "with v as (select vec_id, embedding::double[] as e from embeddings), sc as (select a.vec_id as query_id, b.vec_id as chunk_id, b.vec_id // 5 as section_id, b.vec_id // 50 as doc_id, round(list_dot_product(a.e, b.e), 6) as score from v a, v b where a.vec_id % 100 = 0), d as (select query_id, doc_id from (select query_id, doc_id, max(score) as s from sc group by all) qualify row_number() over (partition by query_id order by s desc, doc_id) <= 3), s as (select query_id, section_id from (select query_id, section_id, max(score) as s from sc semi join d using (query_id, doc_id) group by all) qualify row_number() over (partition by query_id order by s desc, section_id) <= 4) select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from sc semi join s using (query_id, section_id) qualify rank <= 5")
 def hie1(spark, sf):
-    n = table(spark, sf, "embeddings").count()
-    sc = S.dense(vectors(spark, sf), vector_queries(spark, sf), n).drop("rank").withColumns({"section_id": F.floor(F.col("chunk_id") / 5), "doc_id": F.floor(F.col("chunk_id") / 50)})
-    docs = sc.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    """Documents by their best vectors, then only the chosen ones' sections and vectors: no query meets every row as rows."""
+    doc, section = F.floor(F.col("chunk_id") / 50), F.floor(F.col("chunk_id") / 5)
+    v, q = vectors(spark, sf), vector_queries(spark, sf)
+    docs = S.dense(v.select(doc.alias("chunk_id"), "embedding"), q, 3).select("query_id", F.col("chunk_id").alias("doc_id"), "score")
+    own = v.select("chunk_id", doc.alias("doc_id"), section.alias("section_id"), "embedding").join(S.small(docs.select("query_id", "doc_id")), "doc_id")
+    own = own.join(S.small(q.select("query_id", F.col("embedding").alias("_q"))), "query_id")
+    sc = own.select("query_id", "doc_id", "section_id", "chunk_id", F.round(S.dot(F.col("_q"), F.col("embedding")), 6).alias("score"))
     sections = sc.groupBy("query_id", "doc_id", "section_id").agg(F.max("score").alias("score"))
     return R.level_of_detail(docs, sections, sc.select("query_id", "section_id", "chunk_id", "score"), 3, 4, 5).drop("section_id")
 
@@ -281,18 +286,20 @@ def met2(spark, sf):
     return _results(spark, sf).select("event_id", "rank").orderBy(F.desc_nulls_first("rank"), "event_id").limit(20)
 
 
-@query("met3_first_hit", f"with {DOT.replace('<= 10', '<= 50')}, rel as (select a.vec_id as query_id, b.vec_id as chunk_id from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 100 = 0) select query_id, min(dense.rank) as rank from rel left join dense using (query_id, chunk_id) group by query_id")
+@query("met3_first_hit", f"with {DOT.replace('<= 10', '<= 50')}, rel as (select a.vec_id as query_id, b.vec_id as chunk_id from embeddings a join embeddings b on a.vec_id // 25 = b.vec_id // 25 and a.vec_id <> b.vec_id where a.vec_id % 100 = 0) select query_id, min(dense.rank) as rank from rel left join dense using (query_id, chunk_id) group by query_id")
 def met3(spark, sf):
     return M.first_hit(S.dense(vectors(spark, sf), vector_queries(spark, sf), 50), _relevant(spark, sf))
 
 
 def _relevant(spark, sf) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    return e.join(q, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("chunk_id"))
+    """Relevant to a query: the other vectors of its own section of 25, so that few rows stand for each query."""
+    section = F.floor(F.col("vec_id") / 25).alias("section")
+    e = table(spark, sf, "embeddings").select("vec_id", section)
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "section")
+    return e.join(q, "section").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("chunk_id"))
 
 
-@query("met6_ndcg", f"with {DOT}, rel as (select a.vec_id as query_id, b.vec_id as chunk_id from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 100 = 0), d as (select query_id, sum(1 / log2(rank + 1)) as dcg from dense join rel using (query_id, chunk_id) group by all), i as (select query_id, count(*) as n from rel group by all) select query_id, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda k: 1 / log2(k + 1))), 6) as ndcg from i left join d using (query_id)")
+@query("met6_ndcg", f"with {DOT}, rel as (select a.vec_id as query_id, b.vec_id as chunk_id from embeddings a join embeddings b on a.vec_id // 25 = b.vec_id // 25 and a.vec_id <> b.vec_id where a.vec_id % 100 = 0), d as (select query_id, sum(1 / log2(rank + 1)) as dcg from dense join rel using (query_id, chunk_id) group by all), i as (select query_id, count(*) as n from rel group by all) select query_id, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda k: 1 / log2(k + 1))), 6) as ndcg from i left join d using (query_id)")
 def met6(spark, sf):
     return M.ndcg(S.dense(vectors(spark, sf), vector_queries(spark, sf), K), _relevant(spark, sf), K)
 
