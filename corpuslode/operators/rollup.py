@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -81,3 +81,46 @@ def keywords(docs: DataFrame, most: int = 10) -> DataFrame:
     s = w.groupBy("doc_id", F.lower("w").alias("keyword")).agg(F.round(F.count("*") * (1 + big / F.count("*")) / F.log(F.min("i") + 4), 6).alias("score"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "keyword")
     return s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def distinct_entities(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """(by, entities) of rows (by, label, term): for each label its terms, one a lower-cased form, sorted; labels sorted."""
+    w = Window.partitionBy(*by, "label", F.lower("term")).orderBy(order)
+    first = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    labels = first.groupBy(*by, "label").agg(F.sort_array(F.collect_list("term")).alias("texts"))
+    return labels.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("label", "texts"))).alias("entities"))
+
+
+def labels_of(entities: Column) -> Column:
+    """label and texts of entities (label, text), each text once; labels and texts in the order they are first seen."""
+    every = F.array_distinct(F.transform(entities, lambda e: F.coalesce(e["label"], F.lit("unknown"))))
+    own = lambda label: F.array_distinct(F.transform(F.filter(entities, lambda e: F.coalesce(e["label"], F.lit("unknown")) == label), lambda e: e["text"]))
+    return F.transform(every, lambda label: F.struct(label.alias("label"), own(label).alias("texts")))
+
+
+def headings(chunks: DataFrame) -> DataFrame:
+    """Chunks (doc_id, heading_id, start_char, end_char, keywords, entities, embedding) rolled up to their headings.
+
+    Spans as their ends, keywords and entities once each in sorted order, vectors as means that are not normalised again.
+    """
+    by = ["doc_id", "heading_id"]
+    return _rolled(chunks, by)
+
+
+def documents(rolled: DataFrame) -> DataFrame:
+    """Rolled-up headings as documents: the mean of the headings' means, whatever their numbers of chunks."""
+    return _rolled(rolled.drop("heading_id", "n"), ["doc_id"])
+
+
+def _rolled(rows: DataFrame, by: list[str]) -> DataFrame:
+    place = rows.withColumn("_o", F.struct("start_char", "end_char"))
+    words = distinct_terms(place.select(*by, "_o", F.explode("keywords").alias("term")), by, "term", "_o").withColumnRenamed("terms", "keywords")
+    labels = place.select(*by, "_o", F.explode("entities").alias("e")).select(*by, "_o", "e.label", F.explode("e.texts").alias("term"))
+    out = spans_of(rows, by).join(words, by, "left").join(distinct_entities(labels, by, "_o"), by, "left")
+    return out.join(mean_vectors(rows, by), by, "left")
+
+
+def run_totals(files: DataFrame) -> DataFrame:
+    """One row for a batch of (path, n_chunks, n_entities, n_keywords, seconds, low_confidence)."""
+    s = F.col("seconds")
+    return files.agg(F.count("*").alias("files"), F.sum("n_chunks").alias("chunks"), F.sum("n_entities").alias("entities"), F.sum("n_keywords").alias("keywords"), F.sum(F.col("low_confidence").cast("int")).alias("low_confidence"), F.round(F.avg(s), 6).alias("mean_seconds"), F.min(s).alias("min_seconds"), F.max(s).alias("max_seconds"))

@@ -159,11 +159,15 @@ def fus5(spark, sf):
     return out
 
 
-@query("fus8_leg_overlap", f"with {LEGS} select query_id, count(a.score) as n_dense, count(b.score) as n_other, count(*) filter (a.score is not null and b.score is not null) as n_both, round(avg(a.score), 6) as mean_dense, round(stddev_pop(a.score), 6) as sd_dense from dense a full join other b using (query_id, chunk_id) group by query_id")
+@query("fus8_leg_overlap", f"with {LEGS} select query_id, count(a.score) as n_dense, count(b.score) as n_other, count(*) filter (a.score is not null and b.score is not null) as n_both, round(avg(a.score), 4) as mean_dense, round(stddev_pop(a.score), 4) as sd_dense, min(a.score) as min_dense, max(a.score) as max_dense, round(coalesce(covar_pop(a.score, b.score) / nullif(stddev_pop(a.score) filter (b.score is not null) * stddev_pop(b.score) filter (a.score is not null), 0), 0), 4) as correlation from dense a full join other b using (query_id, chunk_id) group by query_id")
 def fus8(spark, sf):
     a, b = _legs(spark, sf)
     j = a.select("query_id", "chunk_id", F.col("score").alias("a")).join(b.select("query_id", "chunk_id", F.col("score").alias("b")), ["query_id", "chunk_id"], "full")
-    return j.groupBy("query_id").agg(F.count("a").alias("n_dense"), F.count("b").alias("n_other"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("n_both"), F.round(F.avg("a"), 6).alias("mean_dense"), F.round(F.stddev_pop("a"), 6).alias("sd_dense"))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    sd = lambda c: F.stddev_pop(F.when(both, F.col(c)))
+    related = F.covar_pop(F.when(both, F.col("a")), F.when(both, F.col("b"))) / F.nullif(sd("a") * sd("b"), F.lit(0.0))
+    r = lambda c, name: F.round(c, 4).alias(name)
+    return j.groupBy("query_id").agg(F.count("a").alias("n_dense"), F.count("b").alias("n_other"), F.count(F.when(both, 1)).alias("n_both"), r(F.avg("a"), "mean_dense"), r(F.stddev_pop("a"), "sd_dense"), F.min("a").alias("min_dense"), F.max("a").alias("max_dense"), r(F.coalesce(related, F.lit(0.0)), "correlation"))
 
 
 @query("fus9_alpha_sweep", f"with {LEGS} select alpha, round(sum(round(alpha * coalesce(a.score, 0) + (1 - alpha) * coalesce(b.score, 0), 6)), 4) as total from (select unnest([0.0, 0.25, 0.5, 0.75, 1.0])::double as alpha) cross join (dense a full join other b using (query_id, chunk_id)) group by alpha")

@@ -123,20 +123,27 @@ def str27(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.enriched(F.col("text"), keywords, F.array(label("source"), label("lang"))).alias("enriched"))
 
 
-_EXP = {"the": "determiner Article the definite", "ention": "suffix Article noun", "zzz": "never seen"}
+_EXP = X.EXPANSIONS
+#: Some of the queries ask for what the dictionary knows.
+EXPANDABLE = "text || case item_id % 4 when 0 then ' tokens of the Database Stack' when 1 then ' HPA and autoscalers' when 2 then ' monitoring' else '' end"
+
+
+def expandable(spark, sf) -> DataFrame:
+    more = F.when(F.col("item_id") % 4 == 0, " tokens of the Database Stack").when(F.col("item_id") % 4 == 1, " HPA and autoscalers").when(F.col("item_id") % 4 == 2, " monitoring").otherwise("")
+    return table(spark, sf, "benchmark").select("item_id", F.concat("text", more).alias("text"))
 
 
 @query(
     "str28_expansion",
     f"""with e as (select * from (values {', '.join(f"({i}, {quoted(k)}, {quoted(v)})" for i, (k, v) in enumerate(_EXP.items()))}) e(i, k, v)),
-h as (select item_id, text, i, k, v from benchmark join e on contains(lower(text), k)),
+q as (select item_id, {EXPANDABLE} as text from benchmark), h as (select item_id, text, i, k, v from q join e on contains(lower(text), k)),
 t as (select distinct item_id, text, unnest(string_split(v, ' ')) as t from h)
 select b.item_id, coalesce((select string_agg(k, ',' order by i) from h where h.item_id = b.item_id), '') as keys,
-b.text || coalesce((select ' ' || coalesce(string_agg(t, ' ' order by encode(t)) filter (not list_contains({TOKENS.replace('text', 't.text')}, lower(t))), '') from t where t.item_id = b.item_id having count(*) > 0), '') as expanded from benchmark b""",
+b.text || coalesce((select ' ' || coalesce(string_agg(t, ' ' order by encode(t)) filter (not list_contains({TOKENS.replace('text', 't.text')}, lower(t))), '') from t where t.item_id = b.item_id having count(*) > 0), '') as expanded from q b""",
 )
 def str28(spark, sf):
-    keys, text = X.expansions(F.col("text"), _EXP)
-    return table(spark, sf, "benchmark").select("item_id", F.array_join(keys, ",").alias("keys"), text.alias("expanded"))
+    keys, text = X.expansions(F.col("text"))
+    return expandable(spark, sf).select("item_id", F.array_join(keys, ",").alias("keys"), text.alias("expanded"))
 
 
 _USER = "conversations where role = 'user'"
