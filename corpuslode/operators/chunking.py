@@ -7,7 +7,9 @@ of the text, so offsets are exact. Null, empty and blank texts give no rows. Siz
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from math import sqrt
 from typing import NamedTuple
 
 import pandas as pd
@@ -18,6 +20,9 @@ HEADING = re.compile(r"^(#{1,6})[ \t]+(\S.*?)[ \t]*$", re.M)
 BLANK = re.compile(r"\n\s*\n")
 SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+")
 TOKEN = re.compile(r"\w+(?:[-_]\w+)*|\S")
+# What ends a sentence, and where windows and recursive pieces are cut, in this order.
+ENDS = (".", "!", "?", '."', '?"', '!"')
+STOPS = (". ", ".\n", "! ", "? ", "\n\n")
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ", "")
 
 Span = tuple[int, int]
@@ -74,14 +79,14 @@ def sections(text: str, deepest: int = 6) -> list[Section]:
     return out
 
 
-def word_cuts(text: str, start: int, end: int, most: int, back: float, overlap: int = 0) -> Iterator[Span]:
+def word_cuts(text: str, start: int, end: int, most: int, back: float, overlap: int = 0, ends: tuple[str, ...] = (".", "!", "?")) -> Iterator[Span]:
     """Spans of at most `most` words; each ends a sentence where one ends past the share `back` of it."""
     at = [(m.start() + start, m.end() + start) for m in re.finditer(r"\S+", text[start:end])]
     i = 0
     while i < len(at):
         j = min(i + most, len(at))
         if j < len(at):
-            j = next((q for q in range(j, i + max(1, int(most * back)), -1) if text[at[q - 1][1] - 1] in ".!?"), j)
+            j = next((q for q in range(j, i + max(1, int(most * back)), -1) if text[at[q - 1][0] : at[q - 1][1]].endswith(ends)), j)
         yield at[i][0], at[j - 1][1]
         i = j if j == len(at) else max(j - overlap, i + 1)
 
@@ -155,7 +160,7 @@ def sentences(text: str, most_tokens: int = 200, floor: int = 20) -> list[Chunk]
 
 def fixed_size(text: str, size: int = 512, overlap: int = 0) -> list[Chunk]:
     """Windows of 0.75 * size words; ends move back to a sentence end in their second half."""
-    return [Chunk(text[i:j], None, 0, i, j) for i, j in word_cuts(text, 0, len(text), max(1, int(size * 0.75)), 0.5, int(overlap * 0.75))]
+    return [Chunk(text[i:j], None, 0, i, j) for i, j in word_cuts(text, 0, len(text), max(1, int(size * 0.75)), 0.5, int(overlap * 0.75), ENDS)]
 
 
 def _pieces(text: str, start: int, end: int, size: int, separators: tuple[str, ...]) -> Iterator[Span]:
@@ -203,22 +208,107 @@ def heading_paragraph(text: str, deepest: int = 3) -> list[Chunk]:
 
 
 def windows(text: str, size: int = 1000, overlap: int = 200) -> list[Chunk]:
-    """Character windows per section; each ends after the last sentence or paragraph end past half of it."""
+    """Character windows of each section; a window ends after the last of the first stop that it has past half of it.
+
+    The next window starts `overlap` before that end, also behind a section's end: a last window may repeat the tail.
+    """
     out = []
     for s in sections(text):
-        at = s.start
-        while at < s.end:
-            to = min(at + size, s.end)
-            if to < s.end:
-                cut = max(text.rfind(x, at, to) + len(x) if text.rfind(x, at, to) >= 0 else -1 for x in (". ", ".\n", "! ", "? ", "\n\n"))
-                to = cut if cut > at + size // 2 else to
-            i, j = trimmed(text, at, to)
+        first, last = trimmed(text, s.start, s.end)
+        at = first
+        while at < last:
+            to = at + size
+            if to < last:
+                cuts = ((text.rfind(x, at, to), len(x)) for x in STOPS)
+                to = next((i + n for i, n in cuts if i - at > size // 2), to)
+            i, j = trimmed(text, at, min(to, last))
             if i < j:
                 out.append(Chunk(text[i:j], s.heading, s.level, i, j))
-            at = to if to == s.end else max(to - overlap, at + 1)
+            at = max(to - overlap, at + 1)
     return out
 
 
+def markdown_semantic(text: str, least: int = 50, most: int = 800, target: int = 400) -> list[Chunk]:
+    """Sections, short neighbours joined in pairs, long ones cut at paragraphs around `target` words; code fences stay whole.
+
+    Cut sections go on with their heading and "(continued)" and the last sentence before the cut.
+    """
+    own = [(s, *trimmed(text, s.start, s.end)) for s in sections(text)]
+    own = [list(x) for x in own if x[1] < x[2]]
+    joined: list[list] = []
+    for s, i, j in own:
+        if joined and n_words(text[joined[-1][1] : joined[-1][2]]) < least and n_words(text[i:j]) < least:
+            joined[-1][2] = j
+        else:
+            joined.append([s, i, j])
+    out = []
+    for s, i, j in joined:
+        if n_words(text[i:j]) <= most:
+            out.append(Chunk(text[i:j], s.heading, s.level, i, j))
+            continue
+        fences = [(m.start(), m.end()) for m in re.finditer(r"```.*?(?:```|\Z)", text[i:j], re.S)]
+        gaps = [m for m in BLANK.finditer(text, i, j) if not any(a <= m.start() - i < b for a, b in fences)]
+        edges = [i, *(m.end() for m in gaps), j]
+        parts = [trimmed(text, a, b) for a, b in zip(edges, edges[1:])]
+        for k, (a, b) in enumerate(filled(text, [p for p in parts if p[0] < p[1]], n_words, target)):
+            before = between(text, SENTENCE_GAP, i, a)[-1:] if k else []
+            start = before[0][0] if before else a
+            head = f"{s.heading} (continued)\n\n" if k and s.heading else ""
+            out.append(Chunk(head + text[start:b], s.heading, s.level, start, b))
+    return out
+
+
+def cluster_semantic(text: str, target: int = 200, most: int = 400) -> list[Chunk]:
+    """Sentences up to `most` words a chunk; past `target` words the cut is where neighbours are least alike.
+
+    Likeness is the cosine of bags of words, a stand-in for sentence vectors.
+    """
+    parts = between(text, SENTENCE_GAP)
+    bags = [Counter(text[i:j].lower().split()) for i, j in parts]
+    norm = [sqrt(sum(v * v for v in b.values())) or 1.0 for b in bags]
+    alike = [sum(n * b[w] for w, n in a.items()) / (x * y) for a, b, x, y in zip(bags, bags[1:], norm, norm[1:])]
+    out, at = [], 0
+    while at < len(parts):
+        words, k, options = 0, at, []
+        while k < len(parts) and (words + n_words(text[parts[k][0] : parts[k][1]]) <= most or k == at):
+            words += n_words(text[parts[k][0] : parts[k][1]])
+            if words >= target and k + 1 < len(parts):
+                options.append((alike[k], k))
+            k += 1
+        to = k if k == len(parts) or not options else min(options)[1] + 1
+        out.append(Chunk(text[parts[at][0] : parts[to - 1][1]], None, 0, parts[at][0], parts[to - 1][1]))
+        at = to
+    return out
+
+
+def hierarchical(text: str, deepest: int = 6) -> list[Chunk]:
+    """The leaves of the tree of sections, each with the headings above it and their own text's first line as context."""
+    all_ = sections(text, deepest)
+    out = []
+    for k, s in enumerate(all_):
+        i, j = trimmed(text, s.start, s.end)
+        if i < j and (k + 1 == len(all_) or all_[k + 1].level <= s.level or s.level == 0):
+            above = [f"{'#' * (n + 1)} {p}" for n, p in enumerate(s.path)]
+            out.append(Chunk("\n".join([*above, text[i:j]]), " > ".join(s.path) or None, s.level, i, j))
+    return out
+
+
+def fields(text: str) -> dict[str, str]:
+    """heading, first paragraph, body and code of a chunk, for search by weighted fields."""
+    code = "\n".join(m[1].strip() for m in re.finditer(r"```[^\n]*\n(.*?)```", text, re.S))
+    plain = re.sub(r"```.*?```", "", text, flags=re.S)
+    head = HEADING.search(plain)
+    body = HEADING.sub("", plain).strip()
+    return {"heading": head[2] if head else "", "first": body[: body.find("\n\n")] if "\n\n" in body else body, "body": body, "code": code}
+
+
+def outline(text: str, summary: int = 500, deepest: int = 4) -> list[tuple[str, int, str, str]]:
+    """(title, level, heading, summary) of each section; title: the document's first top heading."""
+    all_ = sections(text, deepest)
+    title = next((s.path[0] for s in all_ if s.level == 1), "")
+    return [(title, s.level, s.path[-1] if s.path else "", text[slice(*trimmed(text, s.start, s.end))][:summary]) for s in all_]
+
+
 def clauses(text: str, most_tokens: int = 100) -> list[Chunk]:
     """Sentences, and clauses of longer ones, packed up to a size in words; one sentence of overlap where it fits."""
     parts: list[Span] = []
@@ -227,7 +317,7 @@ def clauses(text: str, most_tokens: int = 100) -> list[Chunk]:
     return [Chunk(text[i:j], None, 0, i, j) for i, j in filled(text, parts, n_words, most_tokens, most_tokens // 4)]
 
 
-CHUNKERS: dict[str, Callable[..., list[Chunk]]] = {f.__name__: f for f in (whole, heading, paragraphs, sentences, fixed_size, recursive, heading_based, heading_limited, heading_paragraph, windows, clauses)}
+CHUNKERS: dict[str, Callable[..., list[Chunk]]] = {f.__name__: f for f in (whole, heading, paragraphs, sentences, fixed_size, recursive, heading_based, heading_limited, heading_paragraph, windows, clauses, markdown_semantic, cluster_semantic, hierarchical)}
 
 
 def chunker(name: str) -> Callable[..., list[Chunk]]:

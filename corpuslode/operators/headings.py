@@ -14,3 +14,20 @@ def with_parents(headings: DataFrame, by: str, deepest: int = 6) -> DataFrame:
     before = Window.partitionBy(by).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     last = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("pos")), True).over(before)) for k in range(1, deepest)]
     return headings.withColumn("parent_pos", F.greatest(*last))
+
+
+def with_ancestors(headings: DataFrame, by: str, deepest: int = 6) -> DataFrame:
+    """Adds `ancestors` (positions, outermost first) and `leaf` (no deeper heading follows) to headings (by, pos, level).
+
+    A level's last heading before a place is an ancestor if no heading of a smaller level came after it.
+    """
+    order = Window.partitionBy(by).orderBy("pos")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.last(F.when(F.col("level") == k, F.col("pos")), True).over(before) for k in range(1, deepest)]
+    rows = headings.withColumns({f"_l{k}": c for k, c in enumerate(last, 1)})
+    kept = []
+    for k in range(1, deepest):
+        above = F.greatest(*[F.coalesce(f"_l{j}", F.lit(-1)) for j in range(1, k)], F.lit(-1), F.lit(-1))
+        kept.append(F.when((F.col("level") > k) & (F.col(f"_l{k}") > above), F.col(f"_l{k}")))
+    out = rows.withColumns({"ancestors": F.array_compact(F.array(*kept)), "leaf": F.coalesce(F.lead("level").over(order) <= F.col("level"), F.lit(True))})
+    return out.drop(*[f"_l{k}" for k in range(1, deepest)])
