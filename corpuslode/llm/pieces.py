@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpuslode.llm.common import batches, id_text
-from corpuslode.llm.tokens import KEPT, LONG, public
+from corpuslode.llm.tokens import LONG, public
 
 SPACE = "▁"
+#: Stretches whose best paths a worker keeps; it starts anew when they are full.
+KEPT = 1_200_000
 #: A character without a piece becomes its bytes' pieces; its score is this much below the lowest of a piece.
 PENALTY = 10.0
 
