@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from corpuslode.plans import chunk_queries, extraction_queries, hybrid_queries, judgement_queries, search_queries, signal_queries, text_queries  # noqa: F401  register their queries
+from corpuslode.plans import chunk_queries, engine_queries, extraction_queries, hybrid_queries, judgement_queries, search_queries, signal_queries, text_queries  # noqa: F401  register their queries
 from corpuslode.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "hyb1_hybrid_search"

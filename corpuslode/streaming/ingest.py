@@ -6,6 +6,9 @@ so one that is run again after a failure replaces its own rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,8 +42,41 @@ def rejected(rows: DataFrame) -> DataFrame:
     return rows.withColumn("error", problem()).where("error is not null").select("source", "raw", "error")
 
 
-def ingest(records: DataFrame, table: str, quarantine: str, checkpoint: str) -> StreamingQuery:
-    """Appends the chunks of incoming() to table/batch=N and the dead letters to quarantine/batch=N until none are left."""
+def attempted(rows: DataFrame, process: Callable[[str], str | None], retries: int = 3) -> DataFrame:
+    """rows (source, raw) with `result` and `error`: process(raw) is tried up to `retries` times, the last error is kept."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            results, errors = [], []
+            for raw in pdf["raw"]:
+                result = error = None
+                for _ in range(retries):
+                    try:
+                        result, error = process(raw), None
+                        break
+                    except Exception as e:  # noqa: BLE001  whatever a message brings about is its own error
+                        error = f"{type(e).__name__}: {e}"
+                results.append(result)
+                errors.append(error)
+            yield pdf.assign(result=results, error=errors)[["source", "raw", "result", "error"]]
+
+    return rows.select("source", "raw").mapInPandas(run, "source string, raw string, result string, error string")
+
+
+def dead_letters(tried: DataFrame, stream: str, consumer: str) -> DataFrame:
+    """What failed every time, as dead letters."""
+    kind = F.regexp_extract("error", "^([^:]*): ?", 1)
+    message = F.regexp_replace("error", "^[^:]*: ?", "")
+    return tried.where("error is not null").select(F.lit(stream).alias("stream"), F.col("source").alias("id"), F.col("raw").alias("data"), kind.alias("error_type"), message.alias("error_message"), F.lit(consumer).alias("consumer"))
+
+
+def ingest(records: DataFrame, table: str, quarantine: str, checkpoint: str, every: str | None = None, after: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Appends the chunks of incoming() to table/batch=N and the dead letters to quarantine/batch=N.
+
+    every: the time between micro-batches ("1 second" debounces as a watcher does); without it, it ends when no record is
+    left. after(N) runs once a batch is written, with or without new rows: an index is rebuilt there. The checkpoint is
+    what a consumer group's pending list is: a batch that was begun and not ended comes first after a restart.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
@@ -51,8 +87,24 @@ def ingest(records: DataFrame, table: str, quarantine: str, checkpoint: str) ->
             rejected(batch).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
         finally:
             batch.unpersist()
+        if after:
+            after(number)
+
+    out = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
+def messages(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """(source, raw, record) of the lines of files below path, one message each, bare or in an envelope."""
+    raw = spark.readStream.format("text").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_trigger).load(path)
+    return read_messages(raw.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("raw")))
+
 
-    return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def read_messages(rows: DataFrame) -> DataFrame:
+    """(source, raw, record) of rows (source, raw), stream or not; bad JSON has a null record."""
+    options = {"columnNameOfCorruptRecord": "_bad"}
+    inner = F.coalesce(F.get_json_object("raw", "$.payload"), F.col("raw"))
+    return rows.withColumn("record", F.from_json(inner, f"{EXTRACTION}, _bad string", options))
 
 
 def current(spark: SparkSession, table: str) -> DataFrame:
