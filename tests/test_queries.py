@@ -5,9 +5,16 @@ import pytest
 SF = "/root/testdata/sf0.001"
 
 
+def names():
+    from corpuslode.plans import catalog
+
+    return sorted(catalog.oracle_sql())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["spr2_bm25", "hyb1_hybrid_search", "fus1_weighted_rrf", "met1_summary", "agg13_vocabulary", "str33_query_complexity", "met9_fact_match", "met18_precision", "met19_weighted_grades", "sbt11_case_checks", "chk12_heading_parents"])
+@pytest.mark.parametrize("name", names())
 def test_against_sql(spark, name):
+    """Every query that SQL can express, on the smallest tables."""
     import duckdb
 
     from corpuslode.plans import catalog
