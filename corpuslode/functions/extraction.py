@@ -83,7 +83,7 @@ def structural_terms(text: Column) -> Column:
     excluded = {"caps": lambda t: t.isin(NOT_ACRONYMS), "dotted": lambda t: t.rlike(NUMBER_DOTS), "path": lambda t: t.rlike(r"^/\d+(/\d+)*$")}
 
     def of(kind: str, pattern: str, group: int, least: int) -> Column:
-        terms = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.trim)
+        terms = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda t: F.trim(t))
         kept = F.filter(terms, lambda t: F.length(t) >= least)
         if kind in excluded:
             kept = F.filter(kept, lambda t: ~excluded[kind](t))

@@ -103,6 +103,6 @@ def str36(spark, sf):
     """Answers as JSON (even turns) or as lists of lines: the same terms come back."""
     from corpuslode.functions.extraction import parsed_terms
 
-    lines = F.transform(F.split("text", "\n"), F.trim)
+    lines = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
     answer = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Here: "), F.to_json(F.struct(lines.alias("terms"))))).otherwise(F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n"))
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(parsed_terms(answer), "|").alias("terms"))

@@ -144,14 +144,14 @@ def hyb5(spark, sf):
     return S.ranked(one.groupBy("query_id", "chunk_id").agg(F.round(F.sum("p"), 9).alias("score")), 10)
 
 
-@query("spr8_weighted_queries", f"with {VARIANTS}, " + BM25.format(d=_T.format("text"), q=_T.format("text"), idf="ln(1 + (n - df + 0.5) / (df + 0.5))", num="1").replace("select item_id as query_id", "select query_id").replace("from benchmark)", "from va where query_id % 10 < 2)") + ", r as (select * from hit qualify row_number() over (partition by query_id order by score desc, chunk_id) <= 50), f as (select query_id // 10 as query_id, chunk_id, round(sum((case query_id % 10 when 0 then 0.7 else 0.3 end)::double * score), 6) as score from r group by all) select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from f qualify rank <= 10")
+@query("spr8_weighted_queries", f"with {VARIANTS}, " + BM25.format(d=_T.format("text"), q=_T.format("text"), idf="ln(1 + (n - df + 0.5) / (df + 0.5))", num="1").replace("select item_id as query_id", "select query_id").replace("from benchmark)", "from va where query_id % 10 < 2)") + ", r as (select * from hit qualify row_number() over (partition by query_id order by score desc, chunk_id) <= 50), f as (select query_id // 10 as query_id, chunk_id, round(sum((case query_id % 10 when 0 then 0.7 else 0.3 end)::double * score), 4) as score from r group by all) select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from f qualify rank <= 10")
 def spr8(spark, sf):
     """A query and a variant, their sparse scores weighted .7 and .3."""
     q = asked(spark, sf)
     va = q.select((F.col("query_id") * 10).alias("query_id"), "text").unionByName(q.select((F.col("query_id") * 10 + 1).alias("query_id"), F.substring("text", 1, 40).alias("text")))
     r = S.bm25(chunks(spark, sf), va, 50, pad=False)
     one = r.select(F.floor(F.col("query_id") / 10).alias("query_id"), "chunk_id", (F.when(F.col("query_id") % 10 == 0, 0.7).otherwise(0.3) * F.col("score")).alias("p"))
-    return S.ranked(one.groupBy("query_id", "chunk_id").agg(F.round(F.sum("p"), 6).alias("score")), 10)
+    return S.ranked(one.groupBy("query_id", "chunk_id").agg(F.round(F.sum("p"), 4).alias("score")), 10)
 
 
 @query("hyb7_routed", f"with {TWO} select query_id, chunk_id, score, rank, 'dot' as strategy from dense where query_id % 200 = 0 union all select query_id, chunk_id, score, rank, 'cosine' from other where query_id % 200 <> 0")

@@ -207,7 +207,7 @@ def met2b(spark, sf):
 def met8(spark, sf):
     """Facts: the sentences of the first turn; the text: what comes after it."""
     c = table(spark, sf, "conversations")
-    facts = F.filter(F.array_distinct(F.transform(F.split("text", r"[.\n]"), F.trim)), lambda x: x != "")
+    facts = F.filter(F.array_distinct(F.transform(F.split("text", r"[.\n]"), lambda x: F.trim(x))), lambda x: x != "")
     f = c.where("role = 'user' and turn = 0").select("conv_id", facts.alias("facts"))
     body = F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n"))
     j = f.join(c.where("turn > 0").groupBy("conv_id").agg(body.alias("body")), "conv_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
