@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil, exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +23,9 @@ from corpuslode.llm.common import partitions, runs, stage
 from corpuslode.llm.components import connected
 
 PROBES, BLOCK, RECALL = 3, 2048, 0.998
-#: Scales of the lattice, the share of pairs of unrelated vectors that meet in a table at scale 1, and members of a cell
-#: that cost as much to compare as one more row.
-SCALES, CHANCE, FILL = (1.0, 1.2, 1.4, 1.6, 1.8, 2.0), 4e-4, 64
+#: Scales of the lattice, the share of pairs of unrelated vectors that meet in a table at scale 1, how much more a row with its
+#: vector costs than one of a cell's key, and the members of a cell that cost as much to compare as such a row.
+SCALES, CHANCE, VECTOR, FILL = (1.0, 1.2, 1.4, 1.6, 1.8, 2.0), 4e-4, 3, 64
 
 
 def _nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -87,12 +87,13 @@ def found_share(least: float, probes: int, scale: float, seed: int = 5) -> float
 
 
 def settings(largest: int, least: float, probes: int = PROBES, recall: float = RECALL) -> tuple[float, int]:
-    """(scale, tables) of the least work for labels of up to `largest` vectors: rows, and what they meet in their cells."""
+    """(scale, tables) of the least work for labels of up to `largest` vectors: cells, rows in shared ones, and what they meet."""
     options = []
     for scale in SCALES:
         share = min(found_share(least, probes, scale), 1 - 1e-3)
         tables = max(2, ceil(log(1 - recall) / log(1 - share))) if share > 0.01 else 1000
-        options.append((tables * (1 + largest * CHANCE / scale**8 / FILL), scale, tables))
+        others = largest * CHANCE / scale**8
+        options.append((tables * (1 + VECTOR * (1 - exp(-others) + others / FILL)), scale, tables))
     _, scale, tables = min(options)
     return scale, tables
 
