@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import batches, id_text, stage
+from corpuslode.llm.common import batches, id_text, partitions, stage
 from corpuslode.llm.components import connected
 
 SEGMENTS, WIDTH = 16, 4
@@ -60,7 +60,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): nodes of distinct fingerprints (node, fp) at 2 or fewer differing bits; chains of them keep every component."""
     counts = [F.bit_count(F.shiftrightunsigned("fp", WIDTH * i).bitwiseAND((1 << WIDTH) - 1)).cast("long") for i in range(SEGMENTS)]
-    grid = fps.select("node", "fp", F.array(*counts).alias("p"))
+    # a few small files hold all fingerprints: dealt out before each becomes 33 rows
+    grid = fps.repartition(partitions(fps), "fp").select("node", "fp", F.array(*counts).alias("p"))
     at = sum((F.shiftleft(c, 3 * i) for i, c in enumerate(counts[1:], 1)), counts[0])
     grid = grid.withColumn("at", at)
     near = [F.struct(F.lit(-1).alias("seg"), F.lit(False).alias("up"), F.col("at").alias("cell"))]
@@ -83,7 +84,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     Null and empty texts have fingerprint zero and link like any other. Rows with a null doc_id are returned; they take
     part in links through the others of the same fingerprint, and have a null component if there are none. Repeated rows
-    are returned as often as they come. An empty table gives an empty result.
+    are returned as often as they come. Other columns, whatever their names, are left out. An empty table gives an empty
+    result.
     """
     fps = stage(fingerprints(docs, shingle), "simhash")
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
