@@ -171,3 +171,18 @@ def normalize_answer(text: Column) -> Column:
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+FENCE = r"(?s)```.*?```"
+
+
+def code_ratio(text: Column) -> Column:
+    """The share of a text's characters within code fences."""
+    total = F.aggregate(F.regexp_extract_all(text, F.lit(FENCE), F.lit(0)), F.lit(0), lambda a, x: a + F.length(x))
+    return F.coalesce(total / F.nullif(F.length(text), F.lit(0)), F.lit(0.0))
+
+
+def without_code(text: Column, most: float = 0.3, least: int = 50) -> Column:
+    """The text that keywords are taken from: without code if there is too much of it; null if too little is left."""
+    kept = F.trim(F.when(code_ratio(text) > most, F.regexp_replace(text, FENCE, " ")).otherwise(text))
+    return F.when(F.length(kept) >= least, kept)

@@ -106,3 +106,40 @@ def str36(spark, sf):
     lines = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
     answer = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Here: "), F.to_json(F.struct(lines.alias("terms"))))).otherwise(F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n"))
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(parsed_terms(answer), "|").alias("terms"))
+
+
+_FENCED = "case doc_id % 3 when 0 then '```' || left(text, 900) || '```' || substr(text, 901, 200) when 1 then text || ' ```x = 1```' else left(text, 30) end"
+
+
+@query("str23_code_rule", f"with t as (select doc_id, {_FENCED} as t from documents), r as (select doc_id, t, coalesce(list_sum(list_transform(regexp_extract_all(t, '(?s)```.*?```'), lambda x: length(x))), 0) / nullif(length(t), 0) as ratio from t) select doc_id, round(coalesce(ratio, 0), 6) as ratio, case when length(k) >= 50 then md5(k) end as kept from (select *, trim(case when coalesce(ratio, 0) > 0.3 then regexp_replace(t, '(?s)```.*?```', ' ', 'g') else t end) as k from r)")
+def str23b(spark, sf):
+    """Code fences of texts made to hold some: their share, and what is left for keywords."""
+    from corpuslode.functions import text as X
+
+    i = F.col("doc_id") % 3
+    t = F.when(i == 0, F.concat(F.lit("```"), F.substring("text", 1, 900), F.lit("```"), F.substring("text", 901, 200))).when(i == 1, F.concat("text", F.lit(" ```x = 1```"))).otherwise(F.substring("text", 1, 30))
+    d = table(spark, sf, "documents").select("doc_id", t.alias("t"))
+    return d.select("doc_id", F.round(X.code_ratio(F.col("t")), 6).alias("ratio"), F.md5(X.without_code(F.col("t"))).alias("kept"))
+
+
+_KEY = "'d' || doc_id || '_' || left(md5(doc_id::varchar), 6)"
+
+
+@query("snk3_cascade", f"with d as (select {_KEY} as doc_id, doc_id as n from documents) select (select count(*) from d where n % 10 <> 0) as documents, (select count(*) from d where n % 10 <> 0) * 2 as headings, (select count(*) from d where n % 10 <> 0) * 6 as chunks, (select count(*) from d where n % 10 = 0) as deleted")
+def snk3b(spark, sf):
+    """Documents by the hash that ends their ids, with their headings and chunks."""
+    key = F.concat(F.lit("d"), "doc_id", F.lit("_"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 6))
+    d = table(spark, sf, "documents").select(key.alias("doc_id"), F.col("doc_id").alias("n"))
+    several = lambda n: d.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k"))
+    hashes = d.where("n % 10 = 0").select(F.expr("right(doc_id, 6)").alias("hash"))
+    docs, heads, chunks, deleted = tables.delete_cascade(d, several(2), several(6), hashes)
+    count = lambda t, name: t.agg(F.count("*").alias(name))
+    return count(docs, "documents").join(count(heads, "headings")).join(count(chunks, "chunks")).join(deleted)
+
+
+@query("met15_weighted_sums", "with w as (select i / 5.0::double as a, 1 - i / 5.0::double as b from range(6) r(i)), s as (select a, event_id % 2 as y, a * value + (1.0 - a) * user_id as s from events, w), k as (select a, y, rank() over (partition by a order by round(s, 6)) + (count(*) over (partition by a, round(s, 6)) - 1) / 2 as r from s) select round(a, 1) as weight, round((sum(r * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 4) as auc from k group by a")
+def met15c(spark, sf):
+    from corpuslode.operators import judgement as J
+
+    e = table(spark, sf, "events").select((F.col("event_id") % 2).alias("y"), F.col("value").alias("a"), F.col("user_id").cast("double").alias("b"))
+    return J.weighted_sums(e, ["a", "b"], "y").select(F.round(F.col("weights")[0], 1).alias("weight"), F.round("auc", 4).alias("auc"))

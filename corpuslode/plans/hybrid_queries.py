@@ -266,3 +266,13 @@ def agg15(spark, sf):
     words = F.regexp_extract_all("text", F.lit("[A-Z][a-z]{8,}"), F.lit(0))
     f = table(spark, sf, "documents").select(F.size(F.split("text", "\n")).cast("long").alias("n_chunks"), F.size(words).cast("long").alias("n_entities"), F.size(F.array_distinct(words)).cast("long").alias("n_keywords"), (F.col("n_chars") / 1000).alias("seconds"), (F.col("n_chars") < 500).alias("low_confidence"))
     return R.run_totals(f)
+
+
+CONTEXT = SPARSE.replace("from documents)", "from cx)").replace("from documents),", "from cx),").replace("as dl from documents", "as dl from cx")
+
+
+@query("hyb6_contextual", f"with cx as (select doc_id, 'A text in ' || lang || ' of ' || source || ': ' || left(text, 60) || ' ' || text as text from documents), {CONTEXT} select query_id, chunk_id, score, rank from sparse")
+def hyb6(spark, sf):
+    """Chunks searched with a sentence of context before them: what they are of, and how they begin."""
+    context = F.concat(F.lit("A text in "), "lang", F.lit(" of "), "source", F.lit(": "), F.substring("text", 1, 60), F.lit(" "), "text")
+    return S.bm25(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), context.alias("text")), asked(spark, sf), 10)

@@ -62,3 +62,10 @@ def dump_rows(lines: DataFrame, columns: list[str], key: str) -> DataFrame:
     rows = rows.select(F.explode(tuples).alias("row")).select(F.transform(fields, lambda x: F.trim(x)).alias("f"))
     plain = lambda x: F.when(F.upper(x) == "NULL", None).when(x.startswith("'"), F.regexp_replace(F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), "''", "'"), r"\\(.)", "$1")).otherwise(x)
     return rows.select(*[plain(F.get("f", F.lit(i))).alias(c) for i, c in enumerate(columns)]).dropDuplicates([key])
+
+
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(term, list) of JSON files that hold lists of terms under their names."""
+    raw = spark.read.option("wholetext", True).text(path)
+    lists = raw.select(F.from_json("value", "map<string,array<string>>").alias("m"))
+    return lists.select(F.explode("m").alias("list", "terms")).select(F.explode("terms").alias("term"), "list").distinct()

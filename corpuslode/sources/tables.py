@@ -32,3 +32,11 @@ def migrate(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """rows with the columns (name: type) that they lack, null; running it again changes nothing."""
     have = {c.lower() for c in rows.columns}
     return rows.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c.lower() not in have})
+
+
+def delete_cascade(documents: DataFrame, headings: DataFrame, chunks: DataFrame, hashes: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The three tables without the documents of those hashes and what belongs to them, and one row: how many documents went."""
+    kept = delete_by_hash(documents, hashes, key)
+    gone = documents.select(key).join(kept.select(key), key, "left_anti").distinct()
+    rest = [t.join(gone, key, "left_anti") for t in (headings, chunks)]
+    return kept, *rest, gone.agg(F.count("*").alias("deleted"))

@@ -162,3 +162,19 @@ def test_caches_and_grids(spark):
     assert {(r.id, r.value) for r in out.collect()} == {(1, "X"), (2, "X"), (3, "Y")} and calls == [2]
     G.cached(rows, new, "k", "m", enrich)
     assert calls == [2, 0] and G.grid(spark, a=[1, 2], b=["x"]).count() == 2
+
+
+def test_vocabularies_and_classifiers(spark, tmp_path):
+    from corpuslode.operators import judgement as J
+    from corpuslode.sources.readers import vocabulary
+
+    (tmp_path / "v.json").write_text(json.dumps({"seeds": ["pod", "api"], "bypass": ["pod"]}))
+    assert sorted(tuple(r) for r in vocabulary(spark, str(tmp_path / "v.json")).collect()) == [("api", "seeds"), ("pod", "bypass"), ("pod", "seeds")]
+    rows = spark.range(400).select(((F.col("id") * 37) % 100 / 100.0).alias("a"), ((F.col("id") * 11) % 7 / 7.0).alias("b")).withColumn("y", (F.col("a") > 0.5).cast("int"))
+    for kind in ("logistic", "forest", "boosted"):
+        out, area = J.classified(rows, ["a", "b"], "y", kind)
+        assert area > 0.95 and out.count() == 400
+    best = J.weighted_sums(rows, ["a", "b"], "y").orderBy(F.desc("auc")).first()
+    assert best.weights[0] == 1.0 and best.auc == 1.0
+    with pytest.raises(ValueError):
+        J.classified(rows, ["a"], "y", "none")
