@@ -8,6 +8,7 @@ import ctypes
 import gc
 import hashlib
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,9 +31,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only on one machine whose session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="corpuslode-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
