@@ -51,7 +51,6 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 2
                 starts = start + np.concatenate([[0], np.cumsum(n)[:-1]])
                 start += int(n.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), b.column("doc_id").slice(lo, len(n)), pa.array(starts), pa.array(n), lists(data)], names=["part", "doc_id", "local_start", "n_tokens", "ids"])
-        code.ended()
 
     rows = id_text(docs).withColumn("h", F.xxhash64("text"))
     ordered = rows.repartitionByRange(files or partitions(rows), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")

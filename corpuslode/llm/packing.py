@@ -43,7 +43,6 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end: int = 2, room: in
                 cuts = [0, *range((n - 1) % room + 1, n + 1, room)]
                 out += [(doc, row, k, i, j - i, zlib.crc32(data[4 * i : 4 * j])) for k, (i, j) in enumerate(zip(cuts, cuts[1:]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, _PIECE.types)], schema=_PIECE)
-        code.ended()
 
     return id_text(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
 

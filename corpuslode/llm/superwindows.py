@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslode.llm.common import bucketed, new_path, partitions, stage
+from corpuslode.llm.tokens import released
 
 #: Units that are hashed at once; longer documents are cut into pieces that overlap by a window less one unit.
 PIECE = 1 << 19
@@ -208,6 +209,7 @@ def rows(docs: DataFrame, units: Units) -> DataFrame:
     """Rows of the super-windows of docs (id, salt, text), settled within each batch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for b in it:
             ids, salts = _ids(b)
             got: list[tuple] = []

@@ -10,8 +10,10 @@ import re
 
 import numpy as np
 
-#: Stretches whose ids a worker keeps in each of two generations.
-KEPT = 400_000
+from corpuslode.llm.common import trimmed
+
+#: Stretches whose ids a worker keeps; it starts anew when they are full.
+KEPT = 1_200_000
 #: Characters of one stretch that are worth keeping.
 LONG = 64
 
@@ -38,17 +40,12 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.spaces = self.tokenizer.model, spaces
         self.stretches = (STRETCH if spaces else WORD).findall
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = self.older.get(stretch)
-        if ids is not None:
-            self[stretch] = ids
-            return ids
         cut = TAIL.search(stretch)
         if cut:  # letters and the marks behind them are split before any merge
             ids = self[stretch[: cut.start()]] + self[cut.group()]
@@ -67,19 +64,13 @@ class Encoder(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if len(self) > KEPT:  # what is used again comes back from the older generation
-            self.older = dict(self)
+        if len(self) > KEPT:
             self.clear()
         if not self.spaces and latin(text):
             text = text.lower()  # as the vocabulary's normaliser does; fewer stretches differ
         return b"".join(map(self.__getitem__, self.stretches(text)))
 
 
-    def ended(self) -> None:
-        """At a partition's end: one generation stays, so that an idle worker holds little."""
-        self.older = {}
-
-
 _ENCODERS: dict = {}
 
 
@@ -90,6 +81,13 @@ def encoder(path: str, spaces: bool) -> Encoder:
     return _ENCODERS[path, spaces]
 
 
+def released() -> None:
+    """Frees what a worker holds for encoding, when it goes on to another operator."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        trimmed()
+
+
 def public(name: str) -> str:
     """The default place of a public vocabulary; every operator takes another path as a parameter."""
     import public_tokenizers
