@@ -131,8 +131,8 @@ def deduplicate(docs: DataFrame, window: int = 20, k: int = 5, batches: int = 3,
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array([x.decode("utf-8", "surrogatepass") for x in kept], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])], names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
     log = WindowLog(docs.sparkSession, path or new_path(docs.sparkSession, "log"), window, k, most_runs)
-    before = log.runs
     items = removals(docs, log, batches)
-    own = with_salt(id_text(docs)) if before else log.texts()
+    # a log of its own has these texts only, bucketed; one at a path may hold more, also of a job that broke off
+    own = with_salt(id_text(docs)) if path else log.texts()
     joined = own.join(items, ["id", "salt"], "left").select("doc_id", "text", "items")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
