@@ -4,11 +4,13 @@ A prefix-filtered set join (Chaudhuri et al., 2006; Bayardo et al., 2007). The s
 is the same for all sets, rare ones first; two sets that are similar enough share a shingle among the first few of each, so
 only those are dealt out. The order decides how many sets meet, not which pairs count; a sample tells the common shingles.
 
-SimHash fingerprints of the sets (simhash.py) give the first candidates, by the grid join of operator 1: what lies within its
-two bits. Sets that meet under a shingle are held against a few centres there as well, and components made of what links;
-then all pairs that meet and lie in different components are: at a similarity of 0.8 most fingerprints differ in more bits. A large group of near copies is so mostly settled by its centres. Pairs are ruled
-out by size, by how many shingles are left after the shared one, by the bits in which parity bitmaps differ (each such bit
-takes a shingle that only one of the two has), and last by counting the shingles that both have.
+SimHash fingerprints of the sets (simhash.py) come first: the grid join of operator 1 finds the pairs within two bits, which
+are counted, and what links makes the first components. At a similarity of 0.8 most fingerprints differ in more bits, so the
+set join does the rest, and only that: it leaves out pairs that the fingerprints answer for and pairs in one component. Sets
+that meet under a shingle are held against a few centres there, which mostly settles a large group of near copies, and
+components made of what links; then all pairs that meet and lie in different components are. Pairs are ruled out by size, by
+how many shingles are left after the shared one, by the bits in which parity bitmaps differ (each such bit takes a shingle
+that only one of the two has), and last by counting the shingles that both have.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslode.llm.common import batches, freed, id_text, partitions, result, runs, stage
@@ -157,8 +159,11 @@ def across(met: DataFrame, share: Fraction) -> DataFrame:
     return _by_token(met).mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, share: Fraction) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have the share in common."""
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, share: Fraction, only: Column) -> DataFrame:
+    """The pairs (a, b) of nodes (node, n, fp, bits, lead, root, at) that are to be counted and have the share in common.
+
+    `only` tells from both nodes' n, fp, lead and root (n_a, n_b, ...) which are to be counted.
+    """
     p, q = share.numerator, share.denominator
 
     def alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +189,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     side = lambda t, c, own: t.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in own])
 
     def linked() -> DataFrame:
-        likely = pairs.join(side(nodes, "a", ["n", "bits"]), "a").join(side(nodes, "b", ["n", "bits"]), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+        own = ["n", "fp", "bits", "lead", "root"]
+        likely = pairs.join(side(nodes, "a", own), "a").join(side(nodes, "b", own), "b").where(only).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
         likely = stage(likely.mapInArrow(alike, "a long, b long"), "set-pairs")
         freed(docs.sparkSession)
         needed = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "at.*")
@@ -198,11 +204,17 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
 
 
 def within_two_bits(nodes: DataFrame) -> DataFrame:
-    """(a, b): sets whose fingerprints differ in at most two bits, or are equal; of equal ones each with the first."""
-    distinct = stage(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("first")), "set-fingerprints")
-    apart = grid_links(distinct.select(F.col("first").alias("node"), "fp"))
-    equal = nodes.where("n > 0").join(distinct, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    return apart.unionByName(equal)
+    """(a, b), a < b: all pairs of leads (nodes that are the first of their fingerprint) at 2 or fewer differing bits, and every
+    other node with the lead of its fingerprint."""
+    apart = grid_links(nodes.where("lead").select("node", "fp"), every=True)
+    leads = nodes.where("lead").select("fp", F.col("node").alias("a"))
+    return apart.unionByName(nodes.where("n > 0 and not lead").select("fp", F.col("node").alias("b")).join(leads, "fp").select("a", "b"))
+
+
+def beyond_two_bits() -> Column:
+    """Whether within_two_bits() leaves the pair of nodes a and b to others."""
+    answered = F.when(F.col("lead_a") & F.col("lead_b"), 2).when(F.col("lead_a") | F.col("lead_b"), 0).otherwise(-1)
+    return F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) > answered
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -217,16 +229,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     def groups() -> DataFrame:
         table = stage(described(docs, shingle, share, common_shingles(docs, shingle)), "sets")
-        nodes = stage(table.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("bits").alias("bits"), F.min("few").alias("few")), "sets-distinct")
+        sets = stage(table.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("bits").alias("bits"), F.min("few").alias("few")), "sets-distinct")
+        leads = stage(sets.where("n > 0").groupBy("fp").agg(F.min("node").alias("node")), "set-fingerprints").select("node", F.lit(True).alias("lead"))
+        nodes = sets.join(leads, "node", "left").withColumns({"lead": F.coalesce("lead", F.lit(False)), "root": F.col("node")})
+
+        def rooted(links: DataFrame) -> DataFrame:
+            roots = stage(connected(links, "a", "b"), "set-roots")
+            freed(docs.sparkSession)
+            return nodes.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+        links = verified(within_two_bits(nodes), nodes, docs, shingle, share, F.lit(True))
+        named = rooted(links)
         met = stage(meetings(table.select("node", "n", F.posexplode("prefix").alias("i", "token")), share), "set-meetings")
         freed(docs.sparkSession)
+        rest = (F.col("root_a") != F.col("root_b")) & beyond_two_bits()
         star = met.select("node", F.explode("centres").alias("centre")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-        links = verified(star.unionByName(within_two_bits(nodes)).distinct(), nodes, docs, shingle, share)
-        roots = stage(connected(links, "a", "b"), "set-roots")
-        freed(docs.sparkSession)
-        named = nodes.select("node", "few").join(roots, "node", "left").select("node", "few", F.coalesce("root", "node").alias("root"))
-        rest = across(met.drop("centres").join(named, "node"), share)
-        links = links.unionByName(verified(rest, nodes, docs, shingle, share))
+        links = links.unionByName(verified(star.distinct(), named, docs, shingle, share, rest))
+        named = rooted(links)
+        pairs = across(met.drop("centres").join(named.select("node", "few", "root"), "node"), share)
+        links = links.unionByName(verified(pairs, named, docs, shingle, share, rest))
         found = connected(links, "a", "b")
         return table.join(found, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("component"))
 

@@ -57,8 +57,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b): nodes of distinct fingerprints (node, fp) at 2 or fewer differing bits; chains of them keep every component."""
+def links(fps: DataFrame, every: bool = False) -> DataFrame:
+    """(a, b): nodes of distinct fingerprints (node, fp) at 2 or fewer differing bits; chains of them keep every component.
+
+    With `every`, all such pairs, a < b: at most 2,080 a fingerprint.
+    """
     counts = [F.bit_count(F.shiftrightunsigned("fp", WIDTH * i).bitwiseAND((1 << WIDTH) - 1)).cast("long") for i in range(SEGMENTS)]
     # a few small files hold all fingerprints: dealt out before each becomes 33 rows
     grid = fps.repartition(partitions(fps), "fp").select("node", "fp", F.array(*counts).alias("p"))
@@ -76,6 +79,8 @@ def links(fps: DataFrame) -> DataFrame:
     flips = F.transform(F.filter(offsets, lambda j: F.bit_get(F.col("fp"), F.col("seg") * WIDTH + j) == F.when(F.col("up"), 0).otherwise(1)), lambda j: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("seg") * WIDTH + j)))
     mid = cells.select("node", F.explode(F.when(F.col("seg") < 0, F.array("fp")).otherwise(flips)).alias("mid"))
     around = mid.groupBy("mid").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)
+    if every:
+        return around.select(F.explode("nodes").alias("a"), "nodes").select("a", F.explode("nodes").alias("b")).where("a < b").distinct()
     return around.select(F.array_min("nodes").alias("a"), F.explode("nodes").alias("b")).where("a <> b").distinct()
 
 

@@ -53,8 +53,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the smallest doc_id of each component, once; rows without a doc_id belong to no group and stay.
 
     Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more link: operator 1's SimHash fingerprints and
-    grid join give the first candidates, a set join finds what its two bits miss, and all links are counted exactly. Of rows with one doc_id, only those
-    go whose own text is a copy.
+    grid join answer for the pairs within two bits, a set join for all others, and all links are counted exactly. Of rows with
+    one doc_id, only those go whose own text is a copy.
     """
     prepare(spark)
     found = set_join.near_duplicates(docs, 5, 0.8)
