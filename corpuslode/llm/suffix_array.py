@@ -68,49 +68,47 @@ def _order(names: np.ndarray, n: int) -> np.ndarray:
 def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Suffixes in the order that sorted LMS suffixes induce: larger ones left to right, then smaller ones right to left."""
     n, k = len(s), len(sizes)
-    heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    sa = np.empty(n, np.int64)
-    filled = np.zeros(k, np.int64)  # of each bucket's larger suffixes
+    heads = np.cumsum(sizes) - sizes
+    tails = heads + sizes - 1
+    sa, count_up = np.empty(n, np.int32), np.arange(n)
     by = np.argsort(s[lms], kind="stable")
-    lms = lms[by]
+    lms = lms[by].astype(np.int32)
     cuts = np.searchsorted(s[lms], np.arange(k + 1))
-
-    def put(j: np.ndarray, tops: np.ndarray, up: int) -> None:
-        c = s[j]
-        o = np.argsort(c, kind="stable")
-        c, j = c[o], j[o]
-        new = np.nonzero(np.append(True, c[1:] != c[:-1]))[0]
-        sizes_here = np.diff(np.append(new, len(c)))
-        within = np.arange(len(c)) - np.repeat(new, sizes_here)
-        sa[tops[c] + up * (filled[c] + within)] = j
-        filled[c[new]] += sizes_here
-
-    def spread(i: np.ndarray, larger: bool, tops: np.ndarray, up: int) -> None:
-        j = i[i > 0] - 1
-        j = j[small[j] != larger]
-        if len(j):
-            put(j, tops, up)
-
-    for c in range(k):
-        if not sizes[c]:
-            continue
-        done = 0
-        while done < filled[c]:
-            batch = sa[heads[c] + done : heads[c] + filled[c]].copy()
-            done = filled[c]
-            spread(batch, True, heads, 1)
-        spread(lms[cuts[c] : cuts[c + 1]], True, heads, 1)
-    large, filled = filled, np.zeros(k, np.int64)
-    tails = heads + sizes - 1
-    for c in range(k - 1, -1, -1):
-        if not sizes[c]:
-            continue
-        done = 0
-        while done < filled[c]:
-            batch = sa[tails[c] - filled[c] + 1 : tails[c] - done + 1][::-1].copy()
-            done = filled[c]
-            spread(batch, False, tails, -1)
-        spread(sa[heads[c] : heads[c] + large[c]][::-1].copy(), False, tails, -1)
+    # of each place the unit before it, 0 where that one's suffix is not of the kind a scan induces
+    before_large, before_small = np.zeros(n, np.uint16), np.zeros(n, np.uint16)
+    np.copyto(before_large[1:], s[:-1], where=~small[:-1])
+    np.copyto(before_small[1:], s[:-1], where=small[:-1])
+
+    def spread(i: np.ndarray, before: np.ndarray, free: np.ndarray, up: int) -> None:
+        """free: the next free place of each bucket."""
+        c = before[i]
+        at = c.nonzero()[0]
+        if not len(at):
+            return
+        c, j = c[at], i[at] - 1
+        o = c.argsort(kind="stable")
+        c = c[o]
+        count = np.bincount(c, minlength=k)
+        sa[(free - up * (count.cumsum() - count))[c] + up * count_up[: len(c)]] = j[o]
+        free += up * count
+
+    buckets = np.nonzero(sizes)[0].tolist()
+    free = heads.copy()
+    for c in buckets:
+        done = heads[c]
+        while done < free[c]:
+            batch = sa[done : free[c]]
+            done = free[c]
+            spread(batch, before_large, free, 1)
+        spread(lms[cuts[c] : cuts[c + 1]], before_large, free, 1)
+    large, free = free, tails.copy()
+    for c in reversed(buckets):
+        done = tails[c]
+        while done > free[c]:
+            batch = sa[free[c] + 1 : done + 1][::-1]
+            done = free[c]
+            spread(batch, before_small, free, -1)
+        spread(sa[heads[c] : large[c]][::-1], before_small, free, -1)
     return sa
 
 
@@ -193,7 +191,8 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
 def repeats(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, text, offset) of every window that occurs at least twice in the texts, by group.
 
-    Only the stretches whose windows' hashes occur twice are sorted; equal windows have equal hashes.
+    Only the stretches whose windows' hashes occur twice are sorted; equal windows have equal hashes. Equal stretches are
+    sorted once and count as often as they occur.
     """
     pieces, whose, base = [], [], []
     joined = b"".join(texts)
@@ -224,11 +223,18 @@ def repeats(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np
         base = starts - np.concatenate([[0], ends])[whose]
     if not pieces:
         return (np.zeros(0, np.int64),) * 3
-    group, piece, offset = _sorted_repeats(pieces, window)
-    return group, whose[piece], base[piece] + offset
-
-
-def _sorted_repeats(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    seen: dict[bytes, int] = {}
+    which = np.array([seen.setdefault(p, len(seen)) for p in pieces])
+    times = np.bincount(which)
+    group, piece, offset = _sorted_repeats(list(seen), times, window)
+    n = times[piece]
+    copy = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat((np.cumsum(times) - times)[piece], n)
+    piece = np.argsort(which, kind="stable")[copy]
+    return np.repeat(group, n), whose[piece], base[piece] + np.repeat(offset, n)
+
+
+def _sorted_repeats(texts: list[bytes], times: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, text, offset) of every window that occurs at least twice, where each text counts as often as times says."""
     lengths = np.array([len(t) + 1 for t in texts])
     s = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8).astype(np.uint16) + 2
     ends = np.cumsum(lengths) - 1
@@ -239,7 +245,7 @@ def _sorted_repeats(texts: list[bytes], window: int) -> tuple[np.ndarray, np.nda
     text = np.searchsorted(ends, sa, "left")
     group = np.cumsum(lcp[sa] < window)
     fits = ends[text] - sa >= window
-    fits &= np.bincount(group[fits], minlength=group[-1] + 1)[group] > 1
+    fits &= np.bincount(group[fits], times[text[fits]], group[-1] + 1)[group] > 1
     return group[fits], text[fits], (sa - (ends - lengths + 1)[text])[fits]
 
 

@@ -205,6 +205,27 @@ def test_suffix_arrays(short, monkeypatch):
             assert lcp[b] == n
 
 
+def test_a_shard_sorts_equal_stretches_once(monkeypatch):
+    """40 texts have one stretch, two of them a longer one, one has it twice: what is sorted doesn't grow with the copies."""
+    sorted_lengths, sort = [], suffix_array.suffix_array
+    monkeypatch.setattr(suffix_array, "suffix_array", lambda s: sorted_lengths.append(len(s)) or sort(s))
+    rng = random.Random(7)
+    edge = iter(range(123, 256))  # no two stretches have one byte beside them
+    side = lambda: bytes([next(edge), *(rng.randrange(97, 123) for _ in range(60)), next(edge)])
+    stretch, more = PASSAGE.encode(), side()
+    texts = [side() + stretch for _ in range(37)] + [side() + more + stretch for _ in range(2)] + [stretch + side() + stretch]
+    group, text, offset = suffix_array.repeats(texts, 100)
+    windows = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 99):
+            windows.setdefault(t[k : k + 100], []).append((i, k))
+    found = {}
+    for g, i, k in zip(group.tolist(), text.tolist(), offset.tolist()):
+        found.setdefault(g, []).append((i, k))
+    assert sorted(map(sorted, found.values())) == sorted(x for x in windows.values() if len(x) > 1)
+    assert max(sorted_lengths) < 4 * len(stretch)
+
+
 def test_substrings_of_bytes(docs, empty):
     want = removed([(i, (t or "").encode()) for i, t in ROWS], 100, lambda x: bytes(x))
     assert bytes_result(suffix_array.deduplicate(docs)) == want and suffix_array.deduplicate(empty).count() == 0
