@@ -37,8 +37,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end: int = 2, room: in
         code = encoder(place, True)
         for b in it:
             out: list[tuple] = []
-            for doc, row, text in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), b.column("text").to_pylist()):
-                data = memoryview(code.encode(text) + last)
+            for doc, row, ids in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), code.encode_all(b.column("text"))):
+                data = memoryview(ids + last)
                 n = len(data) // 4
                 cuts = [0, *range((n - 1) % room + 1, n + 1, room)]
                 out += [(doc, row, k, i, j - i, zlib.crc32(data[4 * i : 4 * j])) for k, (i, j) in enumerate(zip(cuts, cuts[1:]))]

@@ -3,10 +3,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslode.llm import cws, langid, lattice, nbsvm, orc_tokens, packing, pieces, simhash, stages, substring_log, suffix_array
+from corpuslode.llm import cws, langid, lattice, nbsvm, orc_tokens, packing, pieces, simhash, stages, substring_log, suffix_array, tokens
 from corpuslode.llm.common import new_path, prepare
 from corpuslode.llm.components import connected
 from corpuslode.llm.tokens import public
@@ -452,6 +453,32 @@ def test_pieces_of_a_packing_against_the_library(docs):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_many_texts_encode_as_the_library_and_each_stretch_is_looked_up_once(monkeypatch):
+    class Counting(tokens.Encoder):
+        looked_up = 0
+
+        def __getitem__(self, stretch):
+            Counting.looked_up += 1
+            return super().__getitem__(stretch)
+
+    code = Counting(public("byte_bpe_50k.json"), True)
+    parts = ["a", "Ab", "é", "ß", "ñandú", " ", "  ", "\t", "\r\n", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "\u200b", "\x1c", ",", "!?", "$$$", "'s", "'", "12", "½", "ª", "ſ", "ƀ", "日本", "😀", "\u2019", "<|endoftext|>", "\0"]
+    r = random.Random(9)
+    texts = [None, "", "", " ", "\u3000", "x\u3000", LONG, *("".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(3000))]
+    want = [np.array(code.tokenizer.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    for together, kept in ((tokens.TOGETHER, tokens.KEPT), (50, 200), (1, 0)):
+        monkeypatch.setattr(tokens, "TOGETHER", together)
+        monkeypatch.setattr(tokens, "KEPT", kept)
+        assert list(code.encode_all(pa.array(texts))) == want
+    assert list(code.encode_all(pa.array(texts).slice(3, 90))) == want[3:93] and list(code.encode_all(pa.array([None, ""], pa.string()))) == [b"", b""]
+    assert list(code.encode_all(pa.array([], pa.string()))) == []
+    monkeypatch.undo()
+    Counting.looked_up = 0
+    assert len(set(code.encode_all(pa.array(["so many words, so many\n"] * 500)))) == 1
+    # "so", " so", " many", " words", "," and "\n", and the few that those look up themselves
+    assert Counting.looked_up <= 12
+
+
 def test_likeness_over_a_corpus(spark):
     """near_edited and near_next against the exact generalised Jaccard similarity of the bags of words."""
     from collections import Counter
