@@ -19,6 +19,9 @@ from pyspark.sql.types import StructType
 
 #: Rows and bytes that go to a Python worker at once; whole texts can be long.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Of tables that only their own job reads: on a local file system no checksum file and no program for permissions beside each
+#: file. (Without Hadoop's native library that file system starts programs for every file; other file systems ignore this.)
+SCRATCH = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: Paths that new_path() has given out and result() has not deleted.
 _MADE: list[str] = []
 
@@ -86,7 +89,7 @@ def result(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Dat
     """What make() returns, written as a table; every table that make() stages on the way is deleted then."""
     path, before = new_path(spark, name), len(_MADE)
     df = make()
-    df.write.parquet(path)
+    df.write.options(**SCRATCH).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
     drop(spark, *_MADE[before:])
@@ -103,7 +106,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**SCRATCH).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -126,7 +129,8 @@ def bucketed(spark: SparkSession, path: str, schema: StructType, keys: list[str]
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     by = ", ".join(keys)
     inside = f" SORTED BY ({', '.join(order)})" if order else ""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY ({by}){inside} INTO {n} BUCKETS LOCATION '{path}'")
+    options = ", ".join(f"'{k}' '{v}'" for k, v in {"compression": "zstd", **SCRATCH}.items())
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet OPTIONS ({options}) CLUSTERED BY ({by}){inside} INTO {n} BUCKETS LOCATION '{path}'")
     return name
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslode.llm.common import id_text, partitions, stage
-from corpuslode.llm.tokens import encoder, public
+from corpuslode.llm.tokens import encoder, public, released
 
 ROOM, PACK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1024, 4096, 2, 2, 4, 4
 
@@ -166,6 +166,7 @@ def _solved(parts: DataFrame, room: int, islands: int, epochs: int, generations:
 
     def island_run(epoch: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            released()
             pack, island = int(pdf["pack"].iloc[0]), int(pdf["island"].iloc[0])
             pdf = pdf.sort_values(["row", "piece"])
             sizes = pdf["size"].to_numpy()

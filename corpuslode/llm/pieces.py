@@ -121,21 +121,29 @@ class Pieces(dict):
         return out
 
     def paths(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids) of a stretch: A* from its end, guided by the forward scores."""
+        """The n best (score, ids) of a stretch: A* from its end, guided by the forward scores.
+
+        The heap is ordered by what a partial path loses against the best one, which the forward scores give exactly. Of
+        equal losses the path nearest the start goes on, so equally good paths are finished one after the other. A place is
+        on at most n of the n best paths' ways from the end, so it is taken up n times at most.
+        """
         best, _, _ = self.forward(s)
-        heap, out, order = [(-best[-1], 0, len(s), 0.0, None)], [], 0
+        heap, out, order, taken = [(0.0, len(s), 0, None)], [], 0, [0] * (len(s) + 1)
         while heap and len(out) < n:
-            total, _, at, behind, path = heapq.heappop(heap)
+            loss, at, _, path = heapq.heappop(heap)
             if at == 0:
                 ids: list[int] = []
                 while path:
                     ids += path[0]
                     path = path[1]
-                out.append((-total, tuple(ids)))
+                out.append((best[-1] - loss, tuple(ids)))
+                continue
+            taken[at] += 1
+            if taken[at] > n:
                 continue
             for start, score, piece in self.edges(s, at):
                 order += 1
-                heapq.heappush(heap, (-(best[start] + score + behind), order, start, behind + score, (self.ids(s, start, piece), path)))
+                heapq.heappush(heap, (loss + best[at] - (best[start] + score), start, order, (self.ids(s, start, piece), path)))
         return out
 
     def encode(self, text: str | None, n: int = 4) -> list[tuple[float, bytes]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,14 +55,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more link: operator 1's SimHash fingerprints and
     grid join answer for the pairs within two bits, a set join for all others, and all links are counted exactly. Of rows with
-    one doc_id, only those go whose own text is a copy.
+    one doc_id, only those go whose own text is a copy. All columns stay as they are, whatever their names. Null and empty
+    texts have no shingles and link with nothing else than equal texts. An empty table gives an empty one.
     """
     prepare(spark)
     found = set_join.near_duplicates(docs, 5, 0.8)
-    key = F.struct("doc_id", "text_hash")
+    key, own_id, own_hash = F.struct("doc_id", "text_hash"), *(f"{x}_{uuid.uuid4().hex}" for x in ("id", "hash"))  # names that no table has
     first = found.groupBy("component").agg(F.min(key).alias("first"))
-    gone = found.join(first, "component").where(key != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    out = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left_anti")
+    gone = found.join(first, "component").where(key != F.col("first")).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
+    out = docs.join(gone, (F.col("doc_id").cast("long") == F.col(own_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(own_hash)), "left_anti")
     again = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     return out.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(out.where("doc_id is null")) if again else out
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -178,6 +179,22 @@ def test_pieces_against_all_segmentations(docs, empty):
         assert r.n_pieces == len(r.nbest_ids[0]) and r.nbest_scores == sorted(r.nbest_scores, reverse=True) and r.score == r.nbest_scores[0]
 
 
+@pytest.mark.parametrize("text", ["x" * 100_000, "ab" * 3000, "x" * 500, "aaab" * 200])
+@pytest.mark.parametrize("n", [1, 4, 10])
+def test_many_equally_good_paths(text, n):
+    """Long runs have exponentially many equally good segmentations; the n best scores are those of a k-best forward pass."""
+    m = pieces.Pieces(public("piece_bpe_32k.model"))
+    s = m.normal(text)
+    kept = [[0.0]]
+    for end in range(1, len(s) + 1):
+        kept.append(sorted((x + score for start, score, _ in m.edges(s, end) for x in kept[start]), reverse=True)[:n])
+    began = time.time()
+    best = m.encode(text, n)
+    assert time.time() - began < 20  # seconds; without an order among equals it would not end
+    assert np.allclose([x for x, _ in best], kept[-1], rtol=1e-12, atol=1e-6) and len({x for _, x in best}) == n
+    assert all(m.decode(np.frombuffer(x, "<u4")) == text for _, x in best)
+
+
 def test_pieces_against_the_library():
     """The library merges (this is a BPE model); the likeliest segmentation decodes alike and needs no more pieces in all."""
     import sentencepiece
