@@ -1,10 +1,10 @@
-"""The queries op1_ to op10_: each applies its operator, with production parameters, to its whole table."""
+"""The queries op1_ to op13_: each applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslode.llm import cws, langid, lattice, nbsvm, orc_tokens, packing, pieces, simhash, substring_log, suffix_array
+from corpuslode.llm import cws, divergence, first_fit, langid, lattice, nbsvm, orc_tokens, packing, pieces, simhash, substring_log, suffix_array
 from corpuslode.llm.common import documents, new_path, prepare
 
 
@@ -50,6 +50,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
+def op13_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_fit.pack(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
@@ -74,5 +82,38 @@ root as (select a, min(b) as component_id from reach group by a),
 degree as (select a, count(*) as n from pairs group by a)
 select v.vec_id, coalesce(degree.n, 0)::bigint as n_links, root.component_id, v.vec_id = root.component_id as kept
 from v join root on root.a = v.vec_id left join degree on degree.a = v.vec_id
+""",
+        "op12_source_divergence": r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents),
+w as (select r, lang, source, unnest(terms) as term from d),
+kept as (select lang, term from (select distinct r, lang, term from w) group by all having count(*) >= 30),
+vocab as (select lang, count(*) as v from kept group by lang),
+n as (select lang, source, term, count(*) as n from w join kept using (lang, term) group by all),
+g as (select distinct lang, source from d),
+sized as (select g.lang, g.source, coalesce(sum(n.n), 0)::hugeint + 5 * coalesce(any_value(v), 0) as size from g left join n using (lang, source) left join vocab using (lang) group by all),
+lang_sized as (select lang, sum(n)::hugeint + 5 * any_value(v) as size from n join vocab using (lang) group by lang),
+p as (
+  select s.lang, s.source, kept.term, coalesce(n.n, 0) as n, 1 + (1000000000 * (coalesce(n.n, 0) + 5)::hugeint) // s.size as p
+  from sized s join kept using (lang) left join n on n.lang = s.lang and n.source = s.source and n.term = kept.term),
+q as (
+  select n.lang, n.term, 1 + (1000000000 * (sum(n.n) + 5)::hugeint) // any_value(l.size) as q
+  from n join lang_sized l using (lang) group by n.lang, n.term),
+pair as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(any_value(f.value), 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join (
+    select x.lang, x.source as a, y.source as b, sum(abs(x.p - y.p)) as value
+    from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) f
+    on f.lang = a.lang and f.a = a.source and f.b = b.source
+  group by all),
+term as (
+  select lang, source, 'term' as part, term as item, (p.p - q.q)::bigint as value
+  from p join q using (lang, term) where p.n > 0 and p.p > q.q)
+select lang, source, part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from pair
+union all
+select *, row_number() over (partition by lang, source order by value desc, item)::int as rank from term qualify rank <= 50
 """,
     }
