@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Postings of a block; documents and postings of a shard, which end it; (query, term) of a query set that go to every task.
 BLOCK, SHARD_DOCS, SHARD_POSTINGS, MOST_TERMS = 128, 1 << 14, 1 << 22, 200_000
+#: Blocks of a term in a shard up to which its postings are read before any range is bounded.
+FEW = 2
 #: Stands for a null id within a shard's row; it comes first and comes back as null.
 NULL_ID = -(1 << 63)
 #: total: a term's occurrences in the block, or the sum of the shard's lengths. docs, freqs: see packed(); of a shard's row
@@ -225,11 +227,27 @@ class Blocks:
     def search(self, q: Query, k: int, places: int | None, slack: float) -> int:
         """Adds the shard's documents to q that are among its k best so far; the number of blocks that it had to open."""
         lists = [(w, *self.at[t]) for t, w in q.terms if t in self.at]
-        if not lists:
+        if not lists or sum(w * self.bound[lo:hi].max() for w, lo, hi in lists) + slack < q.least:
             return 0
+        kind = np.result_type(self.bound, np.asarray([w for w, _, _ in lists]))
+        scores, opened = np.zeros(len(self.ids), kind), 0
+        # a term with few blocks here: its block would bound a wide range, so its own places do
+        few, borders = [], []
+        for w, lo, hi in lists:
+            if hi - lo <= FEW:
+                for block in range(lo, hi):
+                    docs, impacts = self.open(block)
+                    scores[docs] += w * impacts
+                    few.append(docs)
+                    opened += 1
+            else:
+                borders += [self.first[lo:hi], self.last[lo:hi] + 1]
+        lists = [x for x in lists if x[2] - x[1] > FEW]
+        alone = np.unique(np.concatenate(few)) if few else np.zeros(0, np.int64)
         # shallow moves: for every range between two borders, the block of each term that covers it, and the bound
-        edges = np.unique(np.concatenate([x for _, lo, hi in lists for x in (self.first[lo:hi], self.last[lo:hi] + 1)]))
-        over = np.zeros(len(edges), np.result_type(self.bound, np.asarray([w for w, _, _ in lists])))
+        edges = np.unique(np.concatenate([*borders, alone, alone + 1]))
+        over = np.zeros(len(edges), kind)
+        over[np.searchsorted(edges, alone)] = scores[alone]
         under = np.full((len(lists), len(edges)), -1)
         for row, (w, lo, hi) in zip(under, lists):
             j = lo + np.searchsorted(self.last[lo:hi], edges)
@@ -238,12 +256,11 @@ class Blocks:
             row[ok] = j[ok]
             over[ok] += w * self.bound[j[ok]]
         order = np.argsort(-over, kind="stable")
-        scores, done = np.zeros(len(self.ids), over.dtype), np.zeros(len(self.first), bool)
-        weight = np.zeros(len(self.first), over.dtype)
+        done, weight = np.zeros(len(self.first), bool), np.zeros(len(self.first), kind)
         for w, lo, hi in lists:
             weight[lo:hi] = w
         ends = np.append(edges[1:], len(self.ids))
-        opened, at, step = 0, 0, 8
+        at, step = 0, 8
         while at < len(order):
             some = order[at : at + step]
             live = some[(over[some] + slack >= q.least) & (over[some] > 0)]
@@ -264,7 +281,7 @@ class Blocks:
                 good &= ~self.dead[own]
             if good.any():
                 q.take(self.ids[own[good]], got[good], k)
-            at, step = at + step, 2 * step
+            at, step = at + step, 4 * step
         return opened
 
 
