@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslode.llm import cws, divergence, first_fit, langid, lattice, nbsvm, orc_tokens, packing, pieces, simhash, substring_log, suffix_array
+from corpuslode.llm import block_max, cws, divergence, first_fit, langid, lattice, nbsvm, orc_tokens, packing, pieces, simhash, substring_log, suffix_array
 from corpuslode.llm.common import documents, new_path, prepare
 
 
@@ -50,6 +50,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "block-max")
+    block_max.write(documents(spark, sf_dir), path)
+    return block_max.search(spark, path, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(documents(spark, sf_dir))
 
@@ -82,6 +88,26 @@ root as (select a, min(b) as component_id from reach group by a),
 degree as (select a, count(*) as n from pairs group by a)
 select v.vec_id, coalesce(degree.n, 0)::bigint as n_links, root.component_id, v.vec_id = root.component_id as kept
 from v join root on root.a = v.vec_id left join degree on degree.a = v.vec_id
+""",
+        "op11_block_max_search": r"""
+with d as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents where text is not null),
+n as (select r, doc_id, len(terms)::bigint as n from d where len(terms) > 0),
+stats as (select count(*)::bigint as docs, sum(n)::bigint as total from n),
+tf as (select r, term, count(*)::bigint as tf from (select r, unnest(terms) as term from d) group by all),
+item as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark where text is not null),
+w as (
+  select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from tf, stats where term in (select term from item) group by term),
+s as (
+  select item_id, r, any_value(n.doc_id) as doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n.n * docs) // total))))::bigint as score
+  from item join w using (term) join tf using (term) join n using (r), stats group by item_id, r)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls first)::int as rank, doc_id, score
+from s where score > 0 qualify rank <= 10
 """,
         "op12_source_divergence": r"""
 with d as (
