@@ -89,6 +89,31 @@ class _Shard:
         self.docs += len(ids)
         self.held += len(key)
 
+    def add_blocks(self, rows: pa.Table, dead: list[int] | None) -> None:
+        """The documents and postings of a shard's rows, without the places that are dead."""
+        terms = rows.column("term").cast(pa.binary()).to_pylist()
+        head = terms.index(None)
+        ids = np.frombuffer(rows.column("docs")[head].as_py(), np.int64)
+        lengths = np.frombuffer(rows.column("freqs")[head].as_py(), "<u4").astype(np.int64)
+        alive = np.ones(len(ids), bool)
+        alive[dead or []] = False
+        number = np.cumsum(alive) - 1
+        codes, doc, term, freq = self.codes, [], [], []
+        for t, first, n, docs, freqs in zip(terms, *(rows.column(c).to_pylist() for c in ("first", "n", "docs", "freqs"))):
+            if t is not None:
+                places = first + np.cumsum(unpacked(docs, n))
+                stay = alive[places]
+                if stay.any():
+                    doc.append(number[places[stay]])
+                    freq.append(unpacked(freqs, n)[stay])
+                    term.append(np.full(len(doc[-1]), codes.setdefault(t, len(codes)), np.int64))
+        if doc:
+            self.parts.append((self.docs + np.concatenate(doc), np.concatenate(term), np.concatenate(freq)))
+            self.held += len(self.parts[-1][0])
+        self.ids.append(ids[alive])
+        self.lengths.append(lengths[alive])
+        self.docs += int(alive.sum())
+
     def rows(self, shard: int, impact: Impact | None) -> Iterator[pa.RecordBatch]:
         ids, lengths = np.concatenate(self.ids), np.concatenate(self.lengths)
         order = np.lexsort((ids, lengths))
@@ -96,7 +121,7 @@ class _Shard:
         zero, no = pa.array([0], pa.int32()), pa.array([0], pa.int64())
         first = [pa.array([shard]), pa.array([None], pa.binary()), zero, pa.array([len(ids) - 1], pa.int32()), pa.array([len(ids)], pa.int32()), no, no, no, pa.array([int(lengths.sum())]), pa.array([ids.tobytes()], pa.binary()), pa.array([lengths.astype("<u4").tobytes()], pa.binary())]
         yield pa.RecordBatch.from_arrays(first, names=_COLUMNS)
-        doc, term, freq = (np.concatenate(x) for x in zip(*self.parts))
+        doc, term, freq = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else [np.zeros(0, np.int64)] * 3
         if not len(doc):
             return
         place = np.empty(len(ids), np.int64)
@@ -150,6 +175,64 @@ def build(rows: DataFrame, split: Splitter = listed, impact: Impact | None = Non
     return out.withColumn("term", F.col("term").cast("string"))
 
 
+def merged(index: DataFrame, gone: DataFrame | None = None, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """The rows of index as fewer, larger shards, without the documents of gone (shard, places).
+
+    Shards are dealt by a hash, about as many to a group as make one of shard_docs documents; a task holds the postings of
+    one new shard. Texts are not needed.
+    """
+    docs = index.where("term is null").agg(F.sum("n")).first()[0] or 0
+    groups = max(1, -(-docs // shard_docs))
+    own = index.withColumn("deal", F.pmod(F.xxhash64("shard"), F.lit(groups)))
+    own = own.join(gone.select("shard", F.col("places").alias("dead")), "shard", "left") if gone is not None else own.withColumn("dead", F.lit(None).cast("array<int>"))
+    tasks = min(groups, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = own.repartition(tasks, "deal").sortWithinPartitions("deal", "shard", "term", "first")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, held, deal = TaskContext.get().partitionId() << 20, _Shard(), None
+        for rows in by_shard(it):
+            own = rows.column("deal")[0].as_py()
+            if held.docs and (own != deal or held.docs >= shard_docs or held.held >= SHARD_POSTINGS):
+                yield from held.rows(number, None)
+                number, held = number + 1, _Shard()
+            deal = own
+            held.add_blocks(rows, rows.column("dead")[0].as_py())
+        if held.docs:
+            yield from held.rows(number, None)
+
+    out = dealt.mapInArrow(run, SCHEMA.replace("term string", "term binary"))
+    return out.withColumn("term", F.col("term").cast("string"))
+
+
+def places(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """(shard, place, id, length) of the documents with those ids (id)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for shard, docs, freqs in zip(*(b.column(c).to_pylist() for c in ("shard", "docs", "freqs"))):
+                own, lengths = np.frombuffer(docs, np.int64), np.frombuffer(freqs, "<u4").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), shard)), pa.array(np.arange(len(own), dtype=np.int32)), pa.array(own), pa.array(lengths)], names=["shard", "place", "id", "length"])
+
+    every = index.where("term is null").select("shard", "docs", "freqs").mapInArrow(run, "shard long, place int, id long, length long")
+    return every.join(ids.select(F.coalesce(F.col("id").cast("long"), F.lit(NULL_ID)).alias("id")).distinct(), "id", "left_semi")
+
+
+def lowest(index: DataFrame, n: int, gone: DataFrame | None = None) -> DataFrame:
+    """(id) of the n documents with the smallest ids; a shard leaves n rows at most."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for docs, dead in zip(b.column("docs").to_pylist(), b.column("dead").to_pylist()):
+                ids = np.delete(np.frombuffer(docs, np.int64), dead or [])
+                yield pa.RecordBatch.from_arrays([pa.array(np.sort(ids)[:n])], names=["id"])
+
+    own = index.where("term is null").select("shard", "docs")
+    own = own.join(gone.select("shard", F.col("places").alias("dead")), "shard", "left") if gone is not None else own.withColumn("dead", F.lit(None).cast("array<int>"))
+    return own.mapInArrow(run, "id long").orderBy("id").limit(n)
+
+
 def statistics(index: DataFrame) -> DataFrame:
     """One row: documents, documents with terms, terms with repeats, and the mean length."""
     own = index.where("term is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("docs"), F.coalesce(F.sum("total"), F.lit(0)).alias("terms"))

@@ -14,7 +14,7 @@ from corpuslode.plans.registry import query, table
 K = 10
 _T = "list_filter(string_split_regex(lower({}), '\\s+'), lambda t: t <> '')"
 BM25 = """tok as (select doc_id as chunk_id, unnest({d}) as term from documents), tf as (select term, chunk_id, count(*) as tf from tok group by all),
-dl as (select doc_id as chunk_id, len({d}) as dl from documents), st as (select count(*) as n, avg(dl) as avgdl from dl), df as (select term, count(*) as df from tf group by term),
+dl as (select doc_id as chunk_id, coalesce(len({d}), 0) as dl from documents), st as (select count(*) as n, avg(dl) as avgdl from dl), df as (select term, count(*) as df from tf group by term),
 asked as (select item_id as query_id, unnest({q}) as term from benchmark), qf as (select query_id, term, count(*) as qf from asked group by all),
 hit as (select query_id, chunk_id, round(sum(qf * {idf} * tf * {num} / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from qf join tf using (term) join df using (term) join dl using (chunk_id), st group by all)"""
 LUCENE = BM25.format(d=_T.format("text"), q=_T.format("text"), idf="ln(1 + (n - df + 0.5) / (df + 0.5))", num="1")
@@ -49,7 +49,7 @@ def spr1(spark, sf):
     return S.postings(chunks(spark, sf)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
-@query("agg14_corpus_stats", f"select count(*) as n, round(avg(len({_T.format('text')})), 6) as avgdl, sum(len({_T.format('text')}))::bigint as total from documents")
+@query("agg14_corpus_stats", f"select count(*) as n, round(avg(coalesce(len({_T.format('text')}), 0)), 6) as avgdl, sum(coalesce(len({_T.format('text')}), 0))::bigint as total from documents")
 def agg14(spark, sf):
     return S.lengths(chunks(spark, sf)).agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"), F.sum("dl").alias("total"))
 
