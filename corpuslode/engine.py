@@ -21,6 +21,7 @@ from corpuslode.operators import index as I
 from corpuslode.operators import rollup as R
 from corpuslode.operators import search as S
 from corpuslode.operators.chunking import chunked
+from corpuslode.sources.versions import Manifests, VersionedTable
 
 log = logging.getLogger("corpuslode")
 
@@ -147,33 +148,100 @@ def grid(spark: SparkSession, **options: list) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(f"{n} string" for n in ["config_id", *names]))
 
 
+#: Chunks that a document can have.
+ID_CHUNKS = 1_000_000
+
+
 class SearchEngine:
-    """Chunks, headings and documents in tables below a path, a sparse index beside them, and batches of queries over both."""
+    """Chunks, headings and documents in versioned tables below a path, a sparse index beside them, and batches of queries over both.
+
+    The engine's own manifest names one version of each table and of the index, so a reader never sees a part of an ingest.
+    """
+
+    TABLES = ("chunks", "headings", "documents")
 
     def __init__(self, spark: SparkSession, path: str, chunker: str = "heading", embed: Callable[[Column], Column] = S.embedded, rewrite: TextModel = identity) -> None:
         self.spark, self.path, self.chunker, self.embed, self.rewrite = spark, path.rstrip("/"), chunker, embed, rewrite
-        self.sparse = I.opened(spark, f"{self.path}/index")
+        self.manifests = Manifests(spark, f"{self.path}/engine")
+
+    def _versions(self, name: str) -> VersionedTable:
+        """A table as the engine names it, so that what a broken-off ingest left is not built upon."""
+        return VersionedTable(self.spark, f"{self.path}/{name}", ["doc_id"], version=self.manifests.read().get(name))
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self._versions(name).read()
 
-    def ingest(self, docs: DataFrame, rebuild: bool = True) -> None:
-        """docs (doc_id, text), chunked, enriched, embedded, and rolled up to headings and documents; replaces what was there."""
+    @property
+    def sparse(self) -> I.Bm25Index:
+        return I.Bm25Index(self.spark, f"{self.path}/index", version=self.manifests.read().get("index"))
+
+    def _chunks(self, docs: DataFrame) -> DataFrame:
         rows = processed(docs, self.chunker).withColumn("embedding", self.embed(F.col("enriched")))
-        pos = F.col("doc_id") * F.lit(1_000_000) + F.col("chunk_index")
-        rows = rows.withColumns({"chunk_id": pos, "heading_id": F.concat_ws("#", F.col("doc_id").cast("string"), F.coalesce("heading", F.lit("(root)")))})
-        rows.write.mode("overwrite").parquet(f"{self.path}/chunks")
-        heads = R.headings(self._table("chunks").select("doc_id", "heading_id", "start_char", "end_char", "keywords", "entities", "embedding"))
-        heads.write.mode("overwrite").parquet(f"{self.path}/headings")
-        R.documents(self._table("headings")).write.mode("overwrite").parquet(f"{self.path}/documents")
-        if rebuild:
-            self.rebuild_index()
+        fits = (F.col("chunk_index") < ID_CHUNKS) & (F.abs("doc_id") < (1 << 63) // ID_CHUNKS - 1)
+        pos = F.when(fits, F.col("doc_id") * F.lit(ID_CHUNKS) + F.col("chunk_index")).otherwise(F.raise_error(F.lit("a doc_id or a number of chunks is too large for a chunk_id")).cast("long"))
+        return rows.withColumns({"chunk_id": pos, "heading_id": F.concat_ws("#", F.col("doc_id").cast("string"), F.coalesce("heading", F.lit("(root)")))})
+
+    @staticmethod
+    def _headings(chunks: DataFrame) -> DataFrame:
+        return R.headings(chunks.select("doc_id", "heading_id", "start_char", "end_char", "keywords", "entities", "embedding"))
+
+    @staticmethod
+    def _indexed(chunks: DataFrame) -> DataFrame:
+        return chunks.select("chunk_id", F.col("enriched").alias("text"))
+
+    def _put(self, docs: DataFrame, put: Callable[[VersionedTable, DataFrame], int], into: Callable[[I.Bm25Index, DataFrame], None], only: bool) -> None:
+        """Writes docs' rows to the three tables and the index, then names all four new versions at once.
+
+        only: docs are all that the tables then have; else their rows are read back by their ids.
+        """
+        base, names = self.manifests.latest(), {}
+        ids = docs.select("doc_id").distinct()
+
+        def written(name: str, rows: DataFrame) -> DataFrame:
+            t = self._versions(name)
+            names[name] = put(t, rows)
+            return t.read(names[name]) if only else t.read(names[name]).join(ids, "doc_id", "left_semi")
+
+        chunks = written("chunks", self._chunks(docs))
+        written("documents", R.documents(written("headings", self._headings(chunks))))
+        index = self.sparse
+        into(index, self._indexed(chunks))
+        self.manifests.publish(base, {**names, "index": index.manifests.latest()})
+
+    def ingest(self, docs: DataFrame) -> None:
+        """docs (doc_id, text), chunked, enriched, embedded, and rolled up to headings and documents; replaces what was there."""
+        self._put(docs, lambda t, rows: t.replace(rows), lambda index, rows: index.index(rows), True)
+
+    def batch_ingest(self, docs: DataFrame) -> None:
+        """Adds docs (doc_id, text), or puts them in place of those with their ids.
+
+        Only buckets with these documents are written again, and the index gets a segment of their chunks.
+        """
+        if not self.manifests.latest():
+            return self.ingest(docs)
+        ids = docs.select("doc_id")
+        old = self._table("chunks").join(ids.distinct(), "doc_id", "left_semi").select("chunk_id")
+        return self._put(docs, lambda t, rows: t.upsert(rows, ids), lambda index, rows: index.add(rows, old), False)
+
+    def ingest_document(self, doc_id: int, text: str) -> None:
+        self.batch_ingest(self.spark.createDataFrame([(doc_id, text)], "doc_id long, text string"))
+
+    def delete(self, ids: DataFrame) -> None:
+        """The documents of ids (doc_id) go, with all that belongs to them."""
+        base, index = self.manifests.latest(), self.sparse
+        old = self._table("chunks").join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("chunk_id")
+        index.delete(old)
+        names = {name: self._versions(name).delete(ids) for name in self.TABLES}
+        self.manifests.publish(base, {**names, "index": index.manifests.latest()})
 
     def rebuild_index(self) -> None:
-        self.sparse.index(self._table("chunks").select("chunk_id", F.col("enriched").alias("text")))
+        """The index as one segment."""
+        base, index = self.manifests.latest(), self.sparse
+        index.index(self._indexed(self._table("chunks")))
+        self.manifests.publish(base, {**self.manifests.read(base), "index": index.manifests.latest()})
 
     def is_indexed(self) -> bool:
-        return self.sparse.is_ready() and self.sparse.document_count() > 0
+        return self.manifests.latest() > 0 and self.sparse.document_count() > 0
 
     def status(self) -> dict:
         ready = self.is_indexed()

@@ -67,9 +67,10 @@ class Bm25Index(_OnDisk):
 
     fan, smallest = 4, 1000
 
-    def __init__(self, spark: SparkSession, path: str, k1: float = 1.5, b: float = 0.75) -> None:
+    def __init__(self, spark: SparkSession, path: str, k1: float = 1.5, b: float = 0.75, version: int | None = None) -> None:
+        """version: the one that a read or the next write starts from, whatever came after it."""
         super().__init__(spark, path)
-        self.k1, self.b, self.manifests = k1, b, Manifests(spark, path)
+        self.k1, self.b, self.version, self.manifests = k1, b, version, Manifests(spark, path)
 
     def is_ready(self) -> bool:
         return self.manifests.latest() > 0
@@ -81,7 +82,7 @@ class Bm25Index(_OnDisk):
         return self._state()["segments"] if self.is_ready() else []
 
     def _state(self) -> dict:
-        found = self.manifests.read()
+        found = self.manifests.read(self.version)
         if not found:
             raise RuntimeError(f"no index at {self.path}")
         return found
@@ -108,7 +109,7 @@ class Bm25Index(_OnDisk):
 
     def index(self, chunks: DataFrame) -> None:
         """chunks (chunk_id, text) as all that the index has; one segment."""
-        base = self.manifests.latest()
+        base, self.version = self.manifests.latest(), None
         number = self.manifests.read().get("next", 1) if base else 1
         one = self._segment(self._built(chunks), number)
         self.manifests.publish(base, {"next": number + 1, "segments": [one], "gone": None, "dead": 0, "docs": one["docs"], "terms": one["terms"]})
@@ -136,7 +137,7 @@ class Bm25Index(_OnDisk):
         """Adds chunks (chunk_id, text); they take the place of those with their ids, and of the ids of replaced (chunk_id)."""
         if not self.is_ready():
             return self.index(chunks)
-        base, state = self.manifests.latest(), self._state()
+        base, state, self.version = self.manifests.latest(), self._state(), None
         ids = chunks.select(F.col("chunk_id").alias("id"))
         state = self._buried(state, ids if replaced is None else ids.unionByName(replaced.select(F.col("chunk_id").alias("id"))))
         one = self._segment(self._built(chunks), state["next"])
@@ -145,8 +146,8 @@ class Bm25Index(_OnDisk):
 
     def delete(self, ids: DataFrame) -> None:
         """Documents of ids (chunk_id) no longer count."""
-        base = self.manifests.latest()
-        self.manifests.publish(base, self._tiered(self._buried(self._state(), ids.select(F.col("chunk_id").alias("id")))))
+        base, state, self.version = self.manifests.latest(), self._state(), None
+        self.manifests.publish(base, self._tiered(self._buried(state, ids.select(F.col("chunk_id").alias("id")))))
 
     def _tier(self, segment: dict) -> int:
         return int(math.log(max(1, segment["docs"]) / self.smallest, self.fan)) if segment["docs"] > self.smallest else 0

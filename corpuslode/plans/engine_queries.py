@@ -122,6 +122,31 @@ def str23b(spark, sf):
     return d.select("doc_id", F.round(X.code_ratio(F.col("t")), 6).alias("ratio"), F.md5(X.without_code(F.col("t"))).alias("kept"))
 
 
+@query(
+    "snk1_versions",
+    "with one as (select doc_id, source, n_chars from documents), two as (select doc_id, case when doc_id % 3 = 0 then 'new' else source end as source, n_chars from documents union all select doc_id + 1000000, 'new', null from documents where doc_id % 10 = 0), "
+    "three as (select doc_id, source, case when doc_id % 4 = 0 then -1 else n_chars end as n_chars from two where doc_id % 7 <> 0) "
+    "select 1 as version, count(*) as n, count(n_chars) as known, sum(doc_id)::bigint as ids, count(*) filter (source = 'new') as new, sum(n_chars)::bigint as chars from one union all select 2, count(*), count(n_chars), sum(doc_id)::bigint, count(*) filter (source = 'new'), sum(n_chars)::bigint from two union all select 4, count(*), count(n_chars), sum(doc_id)::bigint, count(*) filter (source = 'new'), sum(n_chars)::bigint from three",
+)
+def snk1b(spark, sf):
+    """A table with versions: written, upserted, then partly deleted and updated; three of its versions read at the end."""
+    from corpuslode.operators.scratch import scratch
+    from corpuslode.sources.versions import VersionedTable
+
+    t, d = VersionedTable(spark, scratch(spark, "versions"), ["doc_id"], 16), table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    t.replace(d)
+    changed = d.where("doc_id % 3 = 0").withColumn("source", F.lit("new"))
+    t.upsert(changed.unionByName(d.where("doc_id % 10 = 0").select((F.col("doc_id") + 1000000).alias("doc_id"), F.lit("new").alias("source")), allowMissingColumns=True))
+    t.delete(t.read().where("doc_id % 7 = 0").select("doc_id"))
+    t.update(t.read().where("doc_id % 4 = 0").select("doc_id", F.lit(-1).cast("long").alias("n_chars")))
+    out = None
+    for v in (1, 2, 4):
+        new = F.col("source") == "new"
+        one = t.read(v).agg(F.count("*").alias("n"), F.count("n_chars").alias("known"), F.sum("doc_id").alias("ids"), F.count_if(new).alias("new"), F.sum("n_chars").alias("chars")).select(F.lit(v).alias("version"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _KEY = "'d' || doc_id || '_' || left(md5(doc_id::varchar), 6)"
 
 

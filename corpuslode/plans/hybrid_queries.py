@@ -10,7 +10,7 @@ from corpuslode.operators import index as I
 from corpuslode.operators import rollup as R
 from corpuslode.operators import search as S
 from corpuslode.plans.registry import query, table
-from corpuslode.plans.search_queries import _T, BM25, COSINE, DOT, HYBRID, LUCENE, SPARSE, asked, chunks, vector_queries, vectors
+from corpuslode.plans.search_queries import _T, BM25, COSINE, DOT, HYBRID, LUCENE, SPARSE, asked, chunks, indexed, vector_queries, vectors
 from corpuslode.plans.text_queries import _EXP, EXPANDABLE, TOKENS, expandable, quoted
 
 E_SQL = f"""ek as (select * from (values {', '.join(f"({i}, {quoted(k)}, {quoted(v)})" for i, (k, v) in enumerate(_EXP.items()))}) ek(i, k, v)),
@@ -40,7 +40,7 @@ def _with_vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
 def hyb1b(spark, sf):
     """Expansion decides the constants of each query: rank constant, weights and candidates."""
     c, q = _with_vectors(spark, sf)
-    return S.adaptive(c, q, 10)
+    return S.adaptive(c, q, 10, indexed(spark, sf).search)
 
 
 @query("hyb2_sparse_only", f"with {SPARSE} select query_id, chunk_id, score as bm25_score, rank - 1 as bm25_rank, null::double as semantic_score, null::int as semantic_rank, score as rrf_score, rank from sparse")
@@ -72,6 +72,21 @@ def spr3(spark, sf):
     return I.opened(spark, path).search(asked(spark, sf), 10)
 
 
+_LATER = "later as (select doc_id, case when doc_id % 3 = 0 then text || ' zeta zeta' else text end as text from documents where (doc_id % 2 = 0 or doc_id % 3 = 0) and doc_id % 5 <> 0)"
+
+
+@query("spr3_segments", f"with {_LATER}, {SPARSE.replace('from documents', 'from later').replace('benchmark, documents', 'benchmark, later')} select query_id, chunk_id, score, rank from sparse")
+def spr3b(spark, sf):
+    """An index that grows by segments: even ids, then every third one anew with more words, then every fifth one goes."""
+    from corpuslode.operators.scratch import scratch
+
+    index, c = I.Bm25Index(spark, scratch(spark, "segments")), chunks(spark, sf)
+    index.add(c.where("chunk_id % 2 = 0"))
+    index.add(c.where("chunk_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" zeta zeta"))))
+    index.delete(c.where("chunk_id % 5 = 0"))
+    return index.search(asked(spark, sf), 10)
+
+
 OVERLAP = f"round(len(list_intersect(list_distinct({_T.format('q.text')}), {_T.format('d.text')})) / len(list_distinct({_T.format('q.text')})), 6)"
 
 

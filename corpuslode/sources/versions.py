@@ -95,13 +95,19 @@ class Manifests:
 
 
 class VersionedTable:
-    """Rows in `buckets` buckets by their keys. Keys may be null; rows may share keys."""
+    """Rows in `buckets` buckets by their keys. Keys may be null; rows may share keys.
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 64) -> None:
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+    version: the one that reads and writes start from, whatever came after it; a write is the latest version then.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 64, version: int | None = None) -> None:
+        self.spark, self.path, self.keys, self.version = spark, path.rstrip("/"), keys, version
         self.manifests = Manifests(spark, path)
         self.buckets = self.manifests.read().get("buckets", buckets)
 
+    def _base(self) -> int:
+        return self.manifests.latest() if self.version is None else self.version
+
     def exists(self) -> bool:
         return self.manifests.latest() > 0
 
@@ -122,7 +128,7 @@ class VersionedTable:
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, the current one unless another is named. The data frame stays with that version."""
-        version = self.manifests.latest() if version is None else version
+        version = self._base() if version is None else version
         if not version:
             raise RuntimeError(f"no table at {self.path}")
         return self._rows(sorted(self.files(version).values()), self.schema(version))
@@ -132,7 +138,7 @@ class VersionedTable:
 
     def _put(self, base: int, rows: DataFrame, replaced: list[int] | None) -> int:
         """Publishes rows in place of those of the replaced buckets, or of all."""
-        folder = self.manifests.folder()
+        folder, before = self.manifests.folder(), self.manifests.latest()
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         own = rows.withColumn("_bucket", self._bucket())
         # where there are more tasks than buckets, a bucket is dealt to several
@@ -141,11 +147,12 @@ class VersionedTable:
         at = self.manifests._at(folder)
         made = {int(x.getPath().getName().split("=")[1]): f"{folder}/{x.getPath().getName()}" for x in self.manifests.fs.listStatus(at) if "=" in x.getPath().getName()}
         kept = {} if replaced is None else {k: v for k, v in self.files(base).items() if k not in replaced}
-        return self.manifests.publish(base, {"schema": json.loads(rows.schema.json()), "keys": self.keys, "buckets": self.buckets, "files": kept | made})
+        self.version = None
+        return self.manifests.publish(before, {"schema": json.loads(rows.schema.json()), "keys": self.keys, "buckets": self.buckets, "files": kept | made})
 
     def replace(self, rows: DataFrame) -> int:
         """rows as all that the table has."""
-        return self._put(self.manifests.latest(), rows, None)
+        return self._put(0, rows, None)
 
     def _without(self, old: DataFrame, keys: DataFrame) -> DataFrame:
         """old without the rows of those keys; null keys are equal."""
@@ -159,27 +166,29 @@ class VersionedTable:
     def _touched(self, keys: DataFrame) -> list[int]:
         return [r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect()]  # as many as there are buckets
 
-    def upsert(self, rows: DataFrame) -> int:
-        """rows in place of those with their keys. Columns that one side lacks are null there."""
-        base = self.manifests.latest()
+    def upsert(self, rows: DataFrame, replaced: DataFrame | None = None) -> int:
+        """rows in place of those with their keys, and of the keys of replaced. Columns that one side lacks are null there."""
+        base = self._base()
         if not base:
             return self.replace(rows)
-        files, touched = self.files(base), self._touched(rows)
+        keys = rows.select(*self.keys)
+        keys = keys if replaced is None else keys.unionByName(replaced.select(*self.keys))
+        files, touched = self.files(base), self._touched(keys)
         old = self._rows([files[b] for b in touched if b in files], self.schema(base))
-        return self._put(base, self._without(old, rows).unionByName(rows, allowMissingColumns=True), touched)
+        return self._put(base, self._without(old, keys).unionByName(rows, allowMissingColumns=True), touched)
 
     def update(self, changes: DataFrame) -> int:
         """The non-null values of changes (keys and some columns, a row a key) in the rows with their keys."""
         from corpuslode.sources.tables import updated
 
-        base = self.manifests.latest()
+        base = self._base()
         files, touched = self.files(base), self._touched(changes)
         old = self._rows([files[b] for b in touched if b in files], self.schema(base))
         return self._put(base, updated(old, changes, self.keys), touched)
 
     def delete(self, keys: DataFrame) -> int:
         """The table without the rows of those keys (the key columns)."""
-        base = self.manifests.latest()
+        base = self._base()
         files, touched = self.files(base), self._touched(keys)
         old = self._rows([files[b] for b in touched if b in files], self.schema(base))
         return self._put(base, self._without(old, keys), touched)

