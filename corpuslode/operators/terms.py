@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslode.functions import extraction as E
 from corpuslode.functions import text as X
+from corpuslode.operators.patterns import within
 
 
 @dataclass(frozen=True)
@@ -68,17 +69,13 @@ def tier(s: Strategy, voted: Column, seeded: Column, contextual: Column, in_cont
 def suppressed(terms: DataFrame, protected: Column | None = None) -> DataFrame:
     """terms (doc_id, term) without those within a longer term of the same document.
 
-    Terms of three or fewer characters, protected ones, and single words within two-word terms stay. Longer terms give
-    their substrings, which meet the others by equality: no pairs of a document's terms are made.
+    Terms of three or fewer characters, protected ones, and single words within two-word terms stay. One automaton of a
+    document's terms finds those that lie within others (patterns.within()): no pairs, no substrings are made.
     """
     own = terms.withColumns({"_low": F.lower("term"), "_safe": F.coalesce(F.lit(False) if protected is None else protected, F.lit(False))})
     words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
-    longer = own.select("doc_id", F.col("_low").alias("_other")).distinct().where(F.length("_other") > 4)
-    n = F.length("_other")
-    at = F.sequence(F.lit(1), n - 3)
-    parts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(4), n - i + 1), lambda k: F.substring(F.col("_other"), i, k)))))
-    inside = longer.select("doc_id", "_other", F.explode(parts).alias("_low")).where(F.col("_low") != F.col("_other"))
-    gone = inside.where(~((words(F.col("_low")) == 1) & (words(F.col("_other")) == 2))).select("doc_id", "_low").distinct().withColumn("_gone", F.lit(True))
+    inside = within(own.select("doc_id", F.col("_low").alias("term"))).where(F.length("inner") > 3)
+    gone = inside.where(~((words(F.col("inner")) == 1) & (words(F.col("outer")) == 2))).select("doc_id", F.col("inner").alias("_low")).distinct().withColumn("_gone", F.lit(True))
     out = own.join(gone, ["doc_id", "_low"], "left").where(F.col("_gone").isNull() | F.col("_safe") | (F.length("term") <= 3))
     return out.select(*terms.columns)
 
@@ -93,9 +90,11 @@ def term_index(docs: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame
     words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b[\w#+.]+\b"), F.lit(0)))).alias("term")).where(F.length("term") >= 2)
     w = Window.partitionBy("term").orderBy("doc_id")
     generic = words.join(gt, ["doc_id", "term"], "left_anti").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
-    both = gt.withColumn("n", F.row_number().over(w)).withColumn("entity", F.lit(1)).unionByName(generic.withColumn("entity", F.lit(0)))
-    counts = both.groupBy("term").agg(F.sum("entity").alias("entity_count"), F.sum(1 - F.col("entity")).alias("generic_count"))
-    shown = both.where("n <= 3").join(docs, "doc_id").select("term", "entity", "n", X.snippet(F.col("term"), F.col("text")).alias("s"))
+    # rows below a rank are cut in every task before they are dealt, so a frequent term is never one task's work
+    count = lambda df, e: df.groupBy("term").agg(F.count("*").alias("c")).withColumn("entity", F.lit(e))
+    counts = count(gt, 1).unionByName(count(generic, 0)).groupBy("term").agg(F.sum(F.col("c") * F.col("entity")).alias("entity_count"), F.sum(F.col("c") * (1 - F.col("entity"))).alias("generic_count"))
+    first = gt.withColumn("n", F.row_number().over(w)).where("n <= 3").withColumn("entity", F.lit(1))
+    shown = first.unionByName(generic.where("n <= 3").withColumn("entity", F.lit(0))).join(docs, "doc_id").select("term", "entity", "n", X.snippet(F.col("term"), F.col("text")).alias("s"))
     pick = lambda e: F.transform(F.array_sort(F.collect_list(F.when(F.col("entity") == e, F.struct("n", "s")))), lambda x: x["s"])
     shown = shown.groupBy("term").agg(pick(1).alias("positive"), pick(0).alias("negative"))
     ratio = F.round(F.col("entity_count") / (F.col("entity_count") + F.col("generic_count")), 6)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslode.functions import extraction as E
 from corpuslode.functions import text as X
+from corpuslode.operators import patterns as P
 from corpuslode.operators import terms as T
 from corpuslode.plans.registry import query, table
 from corpuslode.plans.text_queries import _SPAN, quoted
@@ -49,8 +50,22 @@ SEEDS = ["the", "ention", "of", "dans", "la", "und", "data set", "a.b"]
     f"with d as (select doc_id, {PLAIN.format('text')} as text from documents) select doc_id, seed, surface from (select doc_id, seed, regexp_extract(text, '(?i)\\b' || regexp_replace(seed, '([^A-Za-z0-9_ ])', '\\\\\\1', 'g') || '\\b') as surface from d, (values {', '.join(f'({quoted(s)})' for s in SEEDS)}) s(seed)) where surface <> ''",
 )
 def str9(spark, sf):
-    d = documents(spark, sf).withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
-    return d.select("doc_id", "seed", E.seed_surface(F.col("seed"), F.col("text")).alias("surface")).where("surface is not null")
+    """All seeds in one pass over each text."""
+    return P.first_surfaces(documents(spark, sf), spark.createDataFrame([(x,) for x in SEEDS], "seed string"))
+
+
+_LETTERS = "regexp_extract_all({}, '[A-Za-z0-9_]+')"
+
+
+@query(
+    "str9_vocabulary",
+    f"with s as (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z]{{4,}}'))) as seed from conversations), d as (select doc_id, {_LETTERS.format(PLAIN.format('text'))} as w from documents), "
+    "t as (select doc_id, unnest(w) as surface, unnest(range(len(w))) as i from d) select doc_id, seed, arg_min(surface, i) as surface from t join s on lower(surface) = seed group by doc_id, seed",
+)
+def str9b(spark, sf):
+    """The whole vocabulary of the conversations, every word of four or more letters, in all documents."""
+    seeds = table(spark, sf, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("w"))
+    return P.first_surfaces(documents(spark, sf), seeds.select(F.lower("w").alias("seed")).distinct())
 
 
 CAND = f"{PAGES}, c as (select doc_id, text, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_./:+-]{{1,30}}(?: [a-z]{{3,12}}){{0,2}}'))) as term from p)"

@@ -10,6 +10,7 @@ from corpuslode.functions import text as X
 from corpuslode.operators import evaluate as M
 from corpuslode.operators import judgement as J
 from corpuslode.operators import rollup as R
+from corpuslode.operators import similar as SIM
 from corpuslode.operators import search as S
 from corpuslode.plans.registry import query, table
 from corpuslode.plans.search_queries import COSINE, DOT, VOTES, _votes, vector_queries, vectors
@@ -240,9 +241,18 @@ def met13(spark, sf):
 
 @query("str13_fuzzy_terms")
 def str13(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0))), 1, 8)).alias("term"))
-    pairs = c.where("turn = 0").select("conv_id", F.col("term").alias("a")).join(c.where("turn = 1").select("conv_id", F.col("term").alias("b")), "conv_id")
-    return pairs.select("conv_id", "a", "b", M.fuzzy_matches(F.col("a"), F.col("b")).alias("match"))
+    """The terms of each first turn that those of the second name too; all terms of both, which share a rare part."""
+    term = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0)))).alias("term")
+    c = table(spark, sf, "conversations")
+    return SIM.fuzzy(c.where("turn = 0").select("conv_id", term), c.where("turn = 1").select("conv_id", term), ["conv_id"])
+
+
+@query("str13_vocabularies")
+def str13b(spark, sf):
+    """Words of the benchmark's texts and of the conversations that are 85 alike: a similarity join of two vocabularies."""
+    term = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0)))).alias("term")
+    own = lambda name: table(spark, sf, name).select(term).distinct()
+    return SIM.similar(own("benchmark"), own("conversations"))
 
 
 @query("met5_sign_flip")
@@ -279,15 +289,10 @@ def exp2(spark, sf):
 
 @query("exp4_fuzzy_spans")
 def exp4(spark, sf):
-    c = table(spark, sf, "conversations").where("turn < 2")
-    term = F.regexp_extract("text", "([A-Za-z]+ [A-Za-z]+)", 1)
-
-    @F.pandas_udf("boolean")
-    def near(t, x):
-        return t.combine(x, lambda a, b: M.fuzzy_span(a, b))
-
-    two = c.where("turn = 0").select("conv_id", term.alias("term")).join(c.where("turn = 1").select("conv_id", "text"), "conv_id")
-    return two.select("conv_id", "term", near("term", "text").alias("found"))
+    """Every pair of neighbouring words in capitals of the first turn, found or not in the whole second turn."""
+    c = table(spark, sf, "conversations")
+    term = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+ [A-Za-z]+"), F.lit(0)))).alias("term")
+    return SIM.spans_like(c.where("turn = 0").select("conv_id", term), c.where("turn = 1").select("conv_id", "text"), ["conv_id"])
 
 
 @query("str37_smart_dedup", "select doc_id, term from (select doc_id, term, row_number() over (partition by doc_id, case when k like '%ies' and length(k) > 4 then k[:-4] || 'y' when k like '%es' and length(k) > 4 then k[:-3] when k like '%s' and length(k) > 3 then k[:-2] else k end order by length(term), term) as n from (select distinct conv_id as doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) as term, translate(trim(lower(term)), '-_', '  ') as k from conversations)) where n = 1")
