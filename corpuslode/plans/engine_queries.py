@@ -82,7 +82,7 @@ def api14(spark, sf):
 
 
 def _leaves(spark, sf):
-    t = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 300).alias("text"))
+    t = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return e.join(t, "vec_id", "left").select(F.col("vec_id").alias("node_id"), F.coalesce("text", F.lit("")).alias("text"), "embedding")
 
@@ -108,7 +108,7 @@ def str36(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(parsed_terms(answer), "|").alias("terms"))
 
 
-_FENCED = "case doc_id % 3 when 0 then '```' || left(text, 900) || '```' || substr(text, 901, 200) when 1 then text || ' ```x = 1```' else left(text, 30) end"
+_FENCED = "case doc_id % 3 when 0 then '```' || text || '```' || text when 1 then text || ' ```x = 1```' else text end"
 
 
 @query("str23_code_rule", f"with t as (select doc_id, {_FENCED} as t from documents), r as (select doc_id, t, coalesce(list_sum(list_transform(regexp_extract_all(t, '(?s)```.*?```'), lambda x: length(x))), 0) / nullif(length(t), 0) as ratio from t) select doc_id, round(coalesce(ratio, 0), 6) as ratio, case when length(k) >= 50 then md5(k) end as kept from (select *, trim(case when coalesce(ratio, 0) > 0.3 then regexp_replace(t, '(?s)```.*?```', ' ', 'g') else t end) as k from r)")
@@ -117,7 +117,7 @@ def str23b(spark, sf):
     from corpuslode.functions import text as X
 
     i = F.col("doc_id") % 3
-    t = F.when(i == 0, F.concat(F.lit("```"), F.substring("text", 1, 900), F.lit("```"), F.substring("text", 901, 200))).when(i == 1, F.concat("text", F.lit(" ```x = 1```"))).otherwise(F.substring("text", 1, 30))
+    t = F.when(i == 0, F.concat(F.lit("```"), "text", F.lit("```"), "text")).when(i == 1, F.concat("text", F.lit(" ```x = 1```"))).otherwise(F.col("text"))
     d = table(spark, sf, "documents").select("doc_id", t.alias("t"))
     return d.select("doc_id", F.round(X.code_ratio(F.col("t")), 6).alias("ratio"), F.md5(X.without_code(F.col("t"))).alias("kept"))
 

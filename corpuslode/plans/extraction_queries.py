@@ -145,12 +145,12 @@ def str17(spark, sf):
 
 @query(
     "str19_subspans",
-    f"""with {CAND}, t as (select distinct doc_id, term, lower(term) as low from c where length(term) <= 24)
+    f"""with {CAND}, t as (select distinct doc_id, term, lower(term) as low from c)
 select doc_id, term from t where length(term) <= 3 or not exists (select 1 from t o where o.doc_id = t.doc_id and contains(o.low, t.low) and length(t.low) < length(o.low)
 and not (len(list_filter(string_split_regex(t.low, '\\s+'), lambda w: w <> '')) = 1 and len(list_filter(string_split_regex(o.low, '\\s+'), lambda w: w <> '')) = 2))""",
 )
 def str19(spark, sf):
-    return T.suppressed(_candidates(spark, sf).where(F.length("term") <= 24).select("doc_id", "term"))
+    return T.suppressed(_candidates(spark, sf).select("doc_id", "term"))
 
 
 ENTITY_SQL = ", ".join(f"list_distinct_first(regexp_extract_all(html, {quoted(p)})) as {k}" for k, p in E.ENTITY_KINDS.items())
@@ -304,13 +304,13 @@ def exp9(spark, sf):
 
 @query(
     "exp8_vocabulary_signal",
-    f"""with {CAND}, t as (select distinct doc_id, lower(term) as term from c where length(term) <= 24), x as (select *, regexp_extract(term, '^(?:the|a|an|la|le|der|die) (.*)$', 1) as rest from t),
+    f"""with {CAND}, t as (select distinct doc_id, lower(term) as term from c), x as (select *, regexp_extract(term, '^(?:the|a|an|la|le|der|die) (.*)$', 1) as rest from t),
 y as (select x.*, regexp_matches(term, '^[0-9.,%]+$') as numeric, rest <> '' and exists (select 1 from t where t.doc_id = x.doc_id and t.term = x.rest) as covered from x)
 select doc_id, term, case when length(term) <= 1 then 'reject' when replace(term, ' ', '-') in ('utf-8', 'a-b') or replace(term, ' ', '.') in ('example.com', 'and.of') or term in ('the', 'nav') then 'vocabulary' else 'unknown' end as signal from y where not numeric and not covered""",
 )
 def exp8(spark, sf):
     """Numbers, and terms with a determiner whose rest is a candidate too, are dropped; a tag list tells known terms, spaces as - or dots."""
-    t = _candidates(spark, sf).where(F.length("term") <= 24).select("doc_id", F.lower("term").alias("term")).distinct()
+    t = _candidates(spark, sf).select("doc_id", F.lower("term").alias("term")).distinct()
     rest = t.withColumn("rest", F.regexp_extract("term", "^(?:the|a|an|la|le|der|die) (.*)$", 1))
     have = t.select("doc_id", F.col("term").alias("rest"), F.lit(True).alias("covered"))
     kept = rest.where(~F.col("term").rlike("^[0-9.,%]+$")).join(have, ["doc_id", "rest"], "left").where("covered is null or rest = ''")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from corpuslode.functions import text as X
 from corpuslode.operators import index as I
+from corpuslode.operators import patterns as P
 from corpuslode.operators import rollup as R
 from corpuslode.operators import search as S
+from corpuslode.operators import vectors as V
+from corpuslode.operators.scratch import scratch
 from corpuslode.plans.registry import query, table
 from corpuslode.plans.search_queries import _T, BM25, COSINE, DOT, HYBRID, LUCENE, SPARSE, asked, chunks, indexed, vector_queries, vectors
 from corpuslode.plans.text_queries import _EXP, EXPANDABLE, TOKENS, expandable, quoted
@@ -65,8 +68,6 @@ def hyb3(spark, sf):
 @query("spr3_index_search", f"with {SPARSE} select query_id, chunk_id, score, rank from sparse")
 def spr3(spark, sf):
     """The same search through an index on disk: built, reopened by its path, searched."""
-    from corpuslode.operators.scratch import scratch
-
     path = scratch(spark, "bm25")
     I.opened(spark, path).index(chunks(spark, sf))
     return I.opened(spark, path).search(asked(spark, sf), 10)
@@ -78,8 +79,6 @@ _LATER = "later as (select doc_id, case when doc_id % 3 = 0 then text || ' zeta
 @query("spr3_segments", f"with {_LATER}, {SPARSE.replace('from documents', 'from later').replace('benchmark, documents', 'benchmark, later')} select query_id, chunk_id, score, rank from sparse")
 def spr3b(spark, sf):
     """An index that grows by segments: even ids, then every third one anew with more words, then every fifth one goes."""
-    from corpuslode.operators.scratch import scratch
-
     index, c = I.Bm25Index(spark, scratch(spark, "segments")), chunks(spark, sf)
     index.add(c.where("chunk_id % 2 = 0"))
     index.add(c.where("chunk_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" zeta zeta"))))
@@ -205,14 +204,70 @@ def agg2(spark, sf):
 _GRAMS = "case when length({0}) >= 13 then list_distinct(list_transform(range(1, length({0}) - 11), lambda i: substr({0}, i, 13))) else [] end"
 
 
-@query("dns6_near_filtered", f"with {DOT.replace('<= 10', '<= 30')}, t as (select doc_id, left(text, 400) as text from documents), g as (select doc_id, {_GRAMS.format('text')} as g from t), f as (select query_id, chunk_id, score, dense.rank as r from dense join g a on a.doc_id = query_id join g b on b.doc_id = chunk_id where coalesce(len(list_intersect(a.g, b.g)) / nullif(len(list_distinct(list_concat(a.g, b.g))), 0), 0) < 0.8) select query_id, chunk_id, score, row_number() over (partition by query_id order by r) as rank from f qualify rank <= 10")
+@query("dns6_near_filtered", f"with {DOT.replace('<= 10', '<= 30')}, t as (select doc_id, text from documents where doc_id in (select query_id from dense union select chunk_id from dense)), g as (select doc_id, {_GRAMS.format('text')} as g from t), f as (select query_id, chunk_id, score, dense.rank as r from dense join g a on a.doc_id = query_id join g b on b.doc_id = chunk_id where coalesce(len(list_intersect(a.g, b.g)) / nullif(len(list_distinct(list_concat(a.g, b.g))), 0), 0) < 0.8) select query_id, chunk_id, score, row_number() over (partition by query_id order by r) as rank from f qualify rank <= 10")
 def dns6(spark, sf):
-    """The best 3 k by vectors, without those whose text starts nearly like the query's own: the first k of the rest."""
-    t = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 400).alias("text"))
+    """The best 3 k by vectors, without those whose text is nearly the query's own: the first k of the rest."""
+    t = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     hits = S.dense(vectors(spark, sf), vector_queries(spark, sf), 30)
     return S.not_near(hits, t, t.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id"), 10)
 
 
+def vector_index(spark, sf, cosine: bool = False) -> V.VectorIndex:
+    """The index of all embeddings of sf, in the folder that driver and executors share."""
+    index = V.VectorIndex(spark, scratch(spark, "vectors"))
+    index.build(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), cosine)
+    return index
+
+
+@query("src15_vector_index")
+def src15(spark, sf):
+    """The best ten of every vector whose id is divisible by 100, from an index on disk; recall: tests/test_vectors.py."""
+    return vector_index(spark, sf).search(vector_queries(spark, sf), 10)
+
+
+@query("dns6_indexed")
+def dns6b(spark, sf):
+    """dns6 with the index on disk in place of a search of all vectors."""
+    t = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    hits = vector_index(spark, sf).search(vector_queries(spark, sf), 30)
+    return S.not_near(hits, t, t.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id"), 10)
+
+
+_UNIT = "list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y))))"
+_EMBED = "select id, " + _UNIT + " as e from (select id, list_transform(range(64), lambda d: len(list_filter(h, lambda x: x = d))::double) as c from (select id, {h} as h from {t}) where len(h) > 0)"
+_H = _DIMS.format(t=_T.format("text"))
+
+
+@query(
+    "dns11_baselines",
+    f"with q as ({_EMBED.format(h=_H, t='(select item_id as id, text from benchmark)')}), raw as ({_EMBED.format(h=_H, t='(select doc_id as id, text from documents)')}), "
+    f"rich as ({_EMBED.format(h=_H, t="(select doc_id as id, lang || ' ' || source || ' ' || text as text from documents)")}), "
+    "s as (select 'raw' as baseline, q.id as query_id, raw.id as chunk_id, round(list_dot_product(q.e, raw.e), 6) as score from q, raw union all select 'enriched', q.id, rich.id, round(list_dot_product(q.e, rich.e), 6) from q, rich), "
+    "r as (select *, row_number() over (partition by baseline, query_id order by score desc, chunk_id) as rank from s qualify rank <= 10), "
+    "rel as (select item_id as query_id, doc_id as chunk_id from benchmark b join documents d on contains(d.text, b.text) where b.text <> ''), "
+    "f as (select baseline, query_id, min(rank) filter (rel.chunk_id is not null) as first from r left join rel using (query_id, chunk_id) where query_id in (select query_id from rel) group by all) "
+    "select baseline, count(*) as queries, round(avg((first = 1)::int), 6) as hit_1, round(avg((first <= 5)::int), 6) as hit_5, round(avg(case when first < 1000000 then 1.0 / first else 0 end), 6) as mrr from (select baseline, query_id, coalesce(first, 1000000) as first from f) x(baseline, query_id, first) group by baseline",
+)
+def dns11(spark, sf):
+    """Flat cosine search of raw and of enriched texts; relevant are the documents that hold the query's passage."""
+    d, b = table(spark, sf, "documents"), asked(spark, sf)
+    q = b.select("query_id", S.embedded(F.col("text")).alias("embedding"))
+    # a passage is found by one automaton of all of them, in one pass over the texts
+    found = P.scan(d.select(F.col("doc_id").alias("id"), "text"), b.select(F.col("text").alias("pattern")), words=False, first=True)
+    exact = found.join(F.broadcast(b.select("query_id", F.col("text").alias("_q"))), F.col("surface") == F.col("_q"))
+    relevant = exact.select("query_id", F.col("id").alias("chunk_id")).distinct()
+    out = None
+    for name, text in (("raw", F.col("text")), ("enriched", F.concat_ws(" ", "lang", "source", "text"))):
+        hits = S.dense(d.select(F.col("doc_id").alias("chunk_id"), S.embedded(text).alias("embedding")), q, 10, cosine=True)
+        first = hits.join(relevant, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
+        own = relevant.select("query_id").distinct().join(first, "query_id", "left")
+        hit = lambda n: F.round(F.avg(F.coalesce((F.col("first") <= n).cast("int"), F.lit(0))), 6)
+        one = own.agg(F.count("*").alias("queries"), hit(1).alias("hit_1"), hit(5).alias("hit_5"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+        one = one.select(F.lit(name).alias("baseline"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out.where("queries > 0")
+
+
 @query("dns8_hypothetical", "with m as (select vec_id // 100 * 100 as query_id, i, avg(x::double) as x from (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings where vec_id % 100 < 4) group by all), n as (select query_id, list(x order by i) as e from m group by query_id), u as (select query_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as e from n), s as (select query_id, vec_id as chunk_id, round(list_dot_product(u.e, embedding::double[]), 6) as score from u, embeddings) select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s qualify rank <= 10")
 def dns8(spark, sf):
     """Each query as the mean of four vectors, of unit length."""

@@ -34,18 +34,18 @@ def sbt2(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(A.html_texts(F.col("html"))).alias("x")).select("page_id", "x.*")
 
 
-@query("sbt3_generic_texts", f"select text, lower(trim(text)) in ({', '.join(map(quoted, A.GENERIC))}) as generic from (select distinct {UNESCAPED.format('text')} as text from (select unnest([left(text, 40), '{A.GENERIC[0].upper()}']) as text from benchmark))")
+@query("sbt3_generic_texts", f"select text, lower(trim(text)) in ({', '.join(map(quoted, A.GENERIC))}) as generic from (select distinct {UNESCAPED.format('text')} as text from (select unnest([text, '{A.GENERIC[0].upper()}']) as text from benchmark))")
 def sbt3(spark, sf):
-    b = table(spark, sf, "benchmark").select(F.explode(F.array(F.substring("text", 1, 40), F.lit(A.GENERIC[0].upper()))).alias("text"))
+    b = table(spark, sf, "benchmark").select(F.explode(F.array("text", F.lit(A.GENERIC[0].upper()))).alias("text"))
     return b.select(A.unescaped(F.col("text")).alias("text")).distinct().select("text", A.is_generic(F.col("text")).alias("generic"))
 
 
 #: A page's answer is its HTML, its chunk the same page's text without tags, of even pages.
-PAIRS = "pr as (select page_id, html, case when page_id % 2 = 0 then 'In  short: ' || regexp_replace(html, '<[^>]*>', ' ', 'g') else left(html, 200) end as content from pages)"
+PAIRS = "pr as (select page_id, html, case when page_id % 2 = 0 then 'In  short: ' || regexp_replace(html, '<[^>]*>', ' ', 'g') else html end as content from pages)"
 
 
 def _pairs(spark, sf) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", "html", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("In  short: "), F.regexp_replace("html", "<[^>]*>", " "))).otherwise(F.substring("html", 1, 200)).alias("content"))
+    return table(spark, sf, "pages").select("page_id", "html", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("In  short: "), F.regexp_replace("html", "<[^>]*>", " "))).otherwise(F.col("html")).alias("content"))
 
 
 @query("sbt4_quote_matches", f"with {PAIRS}, q as ({HTML}), n as (select page_id, kind, {NORMAL.format('text')} as text from q) select page_id, kind, n.text, length(n.text)::int as length from n join pr using (page_id) where length(n.text) >= 30 and contains({NORMAL.format('content')}, n.text)")
@@ -60,13 +60,13 @@ _TEXT = "' ' || array_to_string({}, ' ') || ' '"
 
 @query(
     "sbt5_reciprocal_matches",
-    f"""with x as (select page_id, {_W.format("regexp_replace(html, '<[^>]*>', ' ', 'g')")} as a, {_W.format("case when page_id % 2 = 0 then regexp_replace(substr(html, 200, 600), '<[^>]*>', ' ', 'g') else html || ' and more' end")} as c from pages)
+    f"""with x as (select page_id, {_W.format("regexp_replace(html, '<[^>]*>', ' ', 'g')")} as a, {_W.format("case when page_id % 2 = 0 then regexp_replace(substr(html, length(html) // 2 + 1), '<[^>]*>', ' ', 'g') else html || ' and more' end")} as c from pages)
 select page_id, case when len(c) >= 20 and contains({_TEXT.format('a')}, {_TEXT.format('c')}) then 'chunk_in_answer' when len(a) >= 20 and contains({_TEXT.format('c')}, {_TEXT.format('a')}) then 'answer_in_chunk' end as direction, case when direction = 'chunk_in_answer' then len(c) when direction = 'answer_in_chunk' then len(a) end as words from x""",
 )
 def sbt5(spark, sf):
     plain = F.regexp_replace(F.lower("html"), r"[^\x00-\x7F]", "0")
     d = table(spark, sf, "pages").select("page_id", plain.alias("html"))
-    content = F.when(F.col("page_id") % 2 == 0, F.regexp_replace(F.substring("html", 200, 600), "<[^>]*>", " ")).otherwise(F.concat("html", F.lit(" and more")))
+    content = F.when(F.col("page_id") % 2 == 0, F.regexp_replace(F.expr("substring(html, cast(length(html) / 2 as int) + 1)"), "<[^>]*>", " ")).otherwise(F.concat("html", F.lit(" and more")))
     direction, n = A.reciprocal_match(F.col("html"), content)
     return d.select("page_id", direction.alias("direction"), n.cast("long").alias("words"))
 
