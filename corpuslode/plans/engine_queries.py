@@ -90,7 +90,7 @@ def _leaves(spark, sf):
 @query("hie4_tree_layers")
 def hie4(spark, sf):
     """Nodes of each layer of a summary tree; mixtures are fitted iteratively, so there is no SQL."""
-    return T.build(_leaves(spark, sf), layers=2, most=4).groupBy("layer").agg(F.count("*").alias("n"), F.sum(F.size("children")).alias("children"))
+    return T.build(_leaves(spark, sf), layers=2, most=4).groupBy("layer").agg(F.count("*").alias("n"), F.sum(F.size("parents")).alias("parents"))
 
 
 @query("hie5_collapsed_search")

@@ -67,12 +67,18 @@ def append_statistics(terms: DataFrame, path: str) -> None:
     terms.write.mode("append").json(path)
 
 
-def report(summary: DataFrame, path: str | None = None) -> str:
-    """A text table of a small summary (a row a dataset), and its rows as JSON at path."""
-    rows = [r.asDict(recursive=True) for r in summary.limit(1000).collect()]
+def report(summary: DataFrame, path: str | None = None, most: int = 1000) -> str:
+    """A text table of a small summary (a row a dataset), and its rows as JSON at path.
+
+    More than `most` rows are no summary: the table then ends with a line that says how many are left out of it.
+    """
+    rows = [r.asDict(recursive=True) for r in summary.limit(most + 1).collect()]
+    more = summary.count() - most if len(rows) > most else 0
+    rows = rows[:most]
     if path:
         summary.coalesce(1).write.mode("overwrite").json(path)
     names = summary.columns
     cells = [names, *[[f"{r[c]:.4f}" if isinstance(r[c], float) else "" if r[c] is None else json.dumps(r[c]) if isinstance(r[c], (list, dict)) else str(r[c]) for c in names] for r in rows]]
     wide = [max(len(x[k]) for x in cells) for k in range(len(names))]
-    return "\n".join("  ".join(v.ljust(n) for v, n in zip(x, wide)).rstrip() for x in cells)
+    lines = ["  ".join(v.ljust(n) for v, n in zip(x, wide)).rstrip() for x in cells]
+    return "\n".join([*lines, *([f"... {more} more rows"] if more else [])])

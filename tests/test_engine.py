@@ -132,6 +132,7 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.append_statistics(d, str(tmp_path / "s"))
     assert spark.read.json(str(tmp_path / "s")).count() == 4
+    assert sinks.report(d, most=1).endswith("... 1 more rows") and "more" not in sinks.report(d)
     assert "0.9000" in sinks.report(d, str(tmp_path / "r")) and spark.read.json(str(tmp_path / "r")).count() == 2
 
 
