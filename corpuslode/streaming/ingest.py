@@ -70,6 +70,26 @@ def dead_letters(tried: DataFrame, stream: str, consumer: str) -> DataFrame:
     return tried.where("error is not null").select(F.lit(stream).alias("stream"), F.col("source").alias("id"), F.col("raw").alias("data"), kind.alias("error_type"), message.alias("error_message"), F.lit(consumer).alias("consumer"))
 
 
+def consume(rows: DataFrame, process: Callable[[str], str | None], results: str, letters: str, checkpoint: str, stream: str, consumer: str, retries: int = 3, every: str | None = None, after: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Tries process(raw) on every message of rows (source, raw); results to results/batch=N, what failed `retries` times to letters/batch=N.
+
+    A message that fails every time does not stop the others, and is acknowledged with them. after(N) runs once a batch is written.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        tried = attempted(batch, process, retries).persist()
+        try:
+            tried.where("error is null").select("source", "result").write.mode("overwrite").parquet(f"{results}/batch={number}")
+            dead_letters(tried, stream, consumer).write.mode("overwrite").parquet(f"{letters}/batch={number}")
+        finally:
+            tried.unpersist()
+        if after:
+            after(number)
+
+    out = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
 def ingest(records: DataFrame, table: str, quarantine: str, checkpoint: str, every: str | None = None, after: Callable[[int], None] | None = None) -> StreamingQuery:
     """Appends the chunks of incoming() to table/batch=N and the dead letters to quarantine/batch=N.
 
