@@ -15,10 +15,11 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from corpuslode.operators.sentences import spans as sentence_spans
+
 SCHEMA = "doc_id long, chunk_index int, text string, heading string, level int, start_char int, end_char int"
 HEADING = re.compile(r"^(#{1,6})[ \t]+(\S.*?)[ \t]*$", re.M)
 BLANK = re.compile(r"\n\s*\n")
-SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+")
 TOKEN = re.compile(r"\w+(?:[-_]\w+)*|\S")
 # What ends a sentence, and where windows and recursive pieces are cut, in this order.
 ENDS = (".", "!", "?", '."', '?"', '!"')
@@ -147,7 +148,7 @@ def sentences(text: str, most_tokens: int = 200, floor: int = 20) -> list[Chunk]
     for s in sections(text):
         budget = max(floor, most_tokens - n_tokens(s.heading or ""))
         parts: list[Span] = []
-        for i, j in between(text, SENTENCE_GAP, s.start, s.end):
+        for i, j in sentence_spans(text, s.start, s.end):
             if n_tokens(text[i:j]) <= budget:
                 parts.append((i, j))
             else:
@@ -251,7 +252,7 @@ def markdown_semantic(text: str, least: int = 50, most: int = 800, target: int =
         edges = [i, *(m.end() for m in gaps), j]
         parts = [trimmed(text, a, b) for a, b in zip(edges, edges[1:])]
         for k, (a, b) in enumerate(filled(text, [p for p in parts if p[0] < p[1]], n_words, target)):
-            before = between(text, SENTENCE_GAP, i, a)[-1:] if k else []
+            before = sentence_spans(text, i, a)[-1:] if k else []
             start = before[0][0] if before else a
             head = f"{s.heading} (continued)\n\n" if k and s.heading else ""
             out.append(Chunk(head + text[start:b], s.heading, s.level, start, b))
@@ -263,7 +264,7 @@ def cluster_semantic(text: str, target: int = 200, most: int = 400) -> list[Chun
 
     Likeness is the cosine of bags of words, a stand-in for sentence vectors.
     """
-    parts = between(text, SENTENCE_GAP)
+    parts = sentence_spans(text)
     bags = [Counter(text[i:j].lower().split()) for i, j in parts]
     norm = [sqrt(sum(v * v for v in b.values())) or 1.0 for b in bags]
     alike = [sum(n * b[w] for w, n in a.items()) / (x * y) for a, b, x, y in zip(bags, bags[1:], norm, norm[1:])]
