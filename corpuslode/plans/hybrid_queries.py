@@ -168,6 +168,28 @@ def spr8(spark, sf):
     return S.ranked(one.groupBy("query_id", "chunk_id").agg(F.round(F.sum("p"), 4).alias("score")), 10)
 
 
+_BMX = f"""tok as (select doc_id as chunk_id, unnest({_T.format('text')}) as term from documents), tf as (select term, chunk_id, count(*) as tf from tok group by all),
+dl as (select doc_id as chunk_id, coalesce(len({_T.format('text')}), 0) as dl from documents), st as (select count(*) as n, avg(dl) as avgdl, greatest(0.5, least(1.5, avg(dl) / 100)) as a, 1 / ln(1 + count(*)) as b from dl),
+q as (select distinct query_id, unnest({_T.format('text')}) as term from two), sz as (select query_id, count(*) as terms from q group by all),
+t as (select term, count(*) as df, sum(-(1 / (1 + exp(-tf))) * ln(1 / (1 + exp(-tf)))) as e from tf where term in (select term from q) group by term),
+r0 as (select query_id, term, df, coalesce(e / nullif(max(e) over (partition by query_id), 0), 0) as e from q join t using (term)),
+r as (select *, avg(e) over (partition by query_id) as mean_e, sum(e) over (partition by query_id) as sum_e, count(*) over (partition by query_id) as m from r0),
+s as (select query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (a + 1) / (tf + a * dl / avgdl + a * mean_e)) as s, count(*) as common, any_value(sum_e) as sum_e, any_value(m) as m, any_value(terms) as terms, any_value(n) as n, any_value(b) as b
+from r join tf using (term) join dl using (chunk_id) join sz using (query_id), st group by query_id, chunk_id),
+bmx as (select query_id, chunk_id, round((s + b * sum_e * common / terms) / (m * (ln(1 + (n - 0.5) / 1.5) + 1)), 6) as score from s)"""
+
+
+@query("spr8_bmx", f"with two as (select item_id * 2 as query_id, text from benchmark union all select item_id * 2 + 1, array_to_string(list_reverse({_T.format('text')})[:8], ' ') from benchmark), {_BMX}, c as (select * from bmx qualify row_number() over (partition by query_id order by score desc, chunk_id) <= 100), f as (select query_id // 2 as query_id, chunk_id, round(sum(case query_id % 2 when 0 then 0.7 else 0.3 end::double * score) + 1e-9, 5) as score from c group by all) select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from f qualify rank <= 10")
+def spr8b(spark, sf):
+    """A query and what a rewriter made of it (its last eight words), BMX scores weighted .7 and .3."""
+    q = asked(spark, sf)
+    last = F.array_join(F.slice(F.reverse(X.tokens(F.col("text"))), 1, 8), " ")
+    two = q.select((F.col("query_id") * 2).alias("query_id"), "text").unionByName(q.select((F.col("query_id") * 2 + 1).alias("query_id"), last.alias("text")))
+    r = S.bmx(chunks(spark, sf), two, 100)
+    one = r.select(F.floor(F.col("query_id") / 2).alias("query_id"), "chunk_id", (F.when(F.col("query_id") % 2 == 0, 0.7).otherwise(0.3) * F.col("score")).alias("p"))
+    return S.ranked(one.groupBy("query_id", "chunk_id").agg(F.round(F.sum("p") + 1e-9, 5).alias("score")), 10)  # ties of rounding go up
+
+
 @query("hyb7_routed", f"with {TWO} select query_id, chunk_id, score, rank, 'dot' as strategy from dense where query_id % 200 = 0 union all select query_id, chunk_id, score, rank, 'cosine' from other where query_id % 200 <> 0")
 def hyb7(spark, sf):
     a, b = _legs(spark, sf)

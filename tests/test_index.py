@@ -126,3 +126,12 @@ def test_two_writers_of_one_version(spark, tmp_path):
     assert m.read() == {"a": 1}
     m.stale = -1.0
     assert m.publish(1, {"a": 4}) == 2 and m.read() == {"a": 4} and m.read(1) == {"a": 1}
+
+
+def test_bmx_differs_from_bm25(spark):
+    """BM25 takes the chunk that is a word shorter, BMX the one that has both of the query's words."""
+    rows = [(1, "rare x x x x x x x"), (2, "rare common x x x x x x x")] + [(i, "common y y y y y y y") for i in range(3, 40)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string")
+    q = spark.createDataFrame([(1, "rare common")], "query_id long, text string")
+    assert S.bm25(chunks, q, 1).first().chunk_id == 1 and S.bmx(chunks, q, 1).first().chunk_id == 2
+    assert S.bmx(chunks, q.limit(0), 3).count() == 0 and S.bmx(chunks, spark.createDataFrame([(1, "no"), (2, None)], q.schema), 3).count() == 0
