@@ -93,8 +93,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, bits: int = BUCKET_BIT
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row of docs.
 
     Documents are ordered by id, rows of one id by a hash of their texts, null ids first; after the last comes the first.
-    Null texts are empty; two texts without words are alike (1), and unlike any other (0). An empty table gives an empty
-    result.
+    Null texts are empty; two texts without words are alike (1), and unlike any other (0). Repeated rows come as
+    often as they are there. Other columns, whatever their names, are left out. An empty table gives an empty result.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,7 +58,10 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 2
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): start counts the ids of all documents before it."""
+    """(doc_id, start, n_tokens, ids): start counts the ids of all documents before it; a row for each row written.
+
+    Null ids are first, repeated ones beside one another. Files without rows give an empty result.
+    """
     rows = spark.read.schema(FILE).orc(path)
     before = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # a row a part: few, and one task adds them up
@@ -70,12 +73,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
-    """The rows of some documents: files, stripes and row groups without them are pruned by their metadata."""
+    """The rows of some documents, all of an id that repeats, none of an id that is not there.
+
+    Files, stripes and row groups without them are pruned by their metadata. A null id can't be asked for.
+    """
     return spark.read.schema(FILE).orc(path).where(F.col("doc_id").isin(ids))
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of what read() returns."""
+    """(doc_id, start, n_tokens, ids_crc32) of what read() returns, row by row; other columns are left out."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

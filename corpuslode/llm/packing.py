@@ -202,8 +202,9 @@ def _solved(parts: DataFrame, room: int, islands: int, epochs: int, generations:
 def pack(docs: DataFrame, tokenizer: str | None = None, end: int = 2, room: int = ROOM, per_pack: int = PACK, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row of docs.
 
-    Null and empty texts are their end token. Repeated rows are packed as often as they come. An empty table gives an
-    empty result.
+    Null and empty texts are their end token. Repeated rows, and rows without a doc_id, are packed as often as they come.
+    Pieces of one length may change places; a seed makes the result the same each time. Other columns, whatever their names,
+    are left out. An empty table gives an empty result.
     """
     own = stage(pieces(docs, tokenizer, end, room), "pieces")
     small = own.where(F.col("length") < room).select("row", "piece", F.col("length").alias("size"))

@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     Texts link if the Jaccard similarity of their sets of shingles (of lower-cased words) is `similarity` or more. Null texts
     and texts without words have equal, empty sets and link; texts with fewer words than a shingle link if their words are
-    equal. An empty table gives an empty result.
+    equal. Repeated rows come as often as they are there, in one component. Rows without a doc_id are left out, and so are other
+    columns, whatever their names. An empty table gives an empty result.
     """
     share = Fraction(similarity).limit_denominator(10_000)
     docs = keyed(docs)

@@ -220,3 +220,29 @@ def test_first_fit_packing(spark, docs):
             covered = Counter(x for s, z in parts for x in range(s, s + z))
             assert set(covered) == set(range(n)) and set(covered.values()) == {len(own)}
     assert first_fit.pack(docs.limit(0)).count() == 0
+
+
+def test_special_tokens_in_a_text_are_ordinary_text():
+    """As the vocabularies' own README does it: encode_special_tokens, so that no document can put an end token into a sequence."""
+    from tokenizers import Tokenizer
+
+    from corpuslode.llm.tokens import Encoder
+
+    for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        t = Tokenizer.from_file(public(name))
+        special = {t.token_to_id(x) for x in ("<|endoftext|>", "<|startoftext|>")} - {None}
+        t.encode_special_tokens = True
+        for x in ("<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "<|startoftext|>x"):
+            ids = np.frombuffer(Encoder(public(name), spaces).encode(x), "<u4").tolist()
+            assert ids == t.encode(x, add_special_tokens=False).ids and not special & set(ids)
+
+
+def test_near_duplicate_stage_with_clashing_names(spark, tmp_path):
+    from corpuslode.llm import stages
+
+    prepare(spark)
+    words = " ".join(f"v{i}" for i in range(80))
+    rows = [(1, words, 5, 6, "n"), (2, words, 5, 6, "n"), (3, words + " more", 7, 8, "m"), (4, "other words of its own that stand alone here", 1, 2, "k"), (None, words, 0, 0, "z"), (5, None, 0, 0, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _hash long, component string")
+    got = stages.near_duplicates(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [rows[0], *rows[3:]]))
