@@ -369,15 +369,16 @@ class Blocks:
 
 
 def by_shard(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of one shard at a time, of batches sorted by shard."""
+    """The rows of one shard, and one part of the queries, at a time, of batches sorted by both."""
     held: list[pa.RecordBatch] = []
     for b in it:
         shard = b.column("shard").to_numpy()
-        cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), b.num_rows]
+        part = b.column("part").to_numpy() if "part" in b.schema.names else np.zeros(len(shard), np.int32)
+        cuts = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), b.num_rows]
         for i, j in zip(cuts, cuts[1:]):
             if i == j:
                 continue
-            if held and held[-1].column("shard")[0].as_py() != shard[i]:
+            if held and any(held[-1].column(c)[0].as_py() != x[i] for c, x in (("shard", shard), ("part", part)) if c in b.schema.names):
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(b.slice(i, j - i))
@@ -385,21 +386,22 @@ def by_shard(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, impact: Impact, exact: bool = False, places: int | None = None, gone: DataFrame | None = None, most: int = MOST_TERMS) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int, impact: Impact, exact: bool = False, places: int | None = None, gone: DataFrame | None = None, most: int = MOST_TERMS, parts: int = 1) -> DataFrame:
     """(query_id, id, score) of the k best documents of each query with a score above 0; equal scores by ascending id.
 
     queries (query_id, term, weight): a score is the sum over a query's terms of weight x impact(frequency, length). exact: the
     index has the greatest impacts under this impact. places: scores are rounded to so many digits before they are compared.
-    gone (shard, places): documents that are passed over. A query set with more than `most` rows goes through in blocks of
+    gone (shard, places): documents that are passed over. parts: where an index has few shards, every shard goes to so many tasks,
+    each with a part of the queries. A query set with more than `most` rows goes through in blocks of
     whole queries.
     """
     spark = index.sparkSession
     got = queries.select("query_id", "term", "weight").limit(most + 1).collect()
     if len(got) > most:
         # a part has about half of `most` rows; one query alone may have more
-        parts = max(2, -(-queries.count() // max(1, most // 2)))
-        own = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
-        out = [search(index, x, k, impact, exact, places, gone, (1 << 31) - 2) for x in own]
+        sets = max(2, -(-queries.count() // max(1, most // 2)))
+        own = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(sets)) == i) for i in range(sets)]
+        out = [search(index, x, k, impact, exact, places, gone, (1 << 31) - 2, parts) for x in own]
         for other in out[1:]:
             out[0] = out[0].unionByName(other)
         return out[0]
@@ -415,7 +417,11 @@ def search(index: DataFrame, queries: DataFrame, k: int, impact: Impact, exact:
     if gone is not None:
         own = own.join(gone.select("shard", F.col("places").alias("dead")), "shard", "left")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = own.repartition(tasks, "shard").sortWithinPartitions("shard", "term", "first")
+    if parts > 1:
+        own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        dealt = own.repartition(tasks, "shard", "part").sortWithinPartitions("part", "shard", "term", "first")
+    else:
+        dealt = own.repartition(tasks, "shard").sortWithinPartitions("shard", "term", "first")
     slack = 10.0**-places if places is not None else 0
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,7 +431,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, impact: Impact, exact:
             if "dead" in rows.column_names and (dead := rows.column("dead")[0].as_py()):
                 blocks.dead = np.zeros(len(blocks.ids), bool)
                 blocks.dead[dead] = True
-            for q in asked:
+            part = rows.column("part")[0].as_py() if "part" in rows.column_names else 0
+            for q in asked[part::parts]:
                 blocks.search(q, k, places, slack)
         found = [q for q in asked if q.best is not None]
         for lo in range(0, len(found), 1000):

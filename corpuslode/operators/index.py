@@ -196,7 +196,9 @@ class Bm25Index(_OnDisk):
         d = F.col("df")
         weight = F.col("qf") * F.log(1 + (state["docs"] - d + 0.5) / (d + 0.5))
         own = asked.join(S.small(held), "term").select("query_id", "term", weight.alias("weight"))
-        hits = blockmax.search(index, own, k, Bm25(state["terms"] / max(1, state["docs"]), self.k1, self.b), places=6, gone=gone)
+        shards = sum(-(-x["docs"] // blockmax.SHARD_DOCS) for x in state["segments"])
+        parts = min(16, max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // max(1, shards)))
+        hits = blockmax.search(index, own, k, Bm25(state["terms"] / max(1, state["docs"]), self.k1, self.b), places=6, gone=gone, parts=parts)
         hits = hits.select("query_id", F.col("id").alias("chunk_id"), "score")
         if pad:
             # a query with fewer than k hits finds k more chunks without a hit among the first 2 k ids

@@ -103,7 +103,7 @@ def spr7(spark, sf):
     field = lambda w, t: S.postings(d.select("chunk_id", t.alias("text"))).select("chunk_id", "term", (w * F.log1p("tf") * F.col("tf") / (F.col("tf") + 1)).alias("part"))
     parts = field(3.0, F.element_at(F.split("text", "\n"), 1)).unionByName(field(1.0, F.col("text")))
     q = asked(spark, sf).select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    return S.ranked(parts.join(q, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score")), K)
+    return S.ranked(parts.join(S.small(q), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score")), K)
 
 
 @query("dns2_dot_search", f"with {DOT} select query_id, chunk_id, score, rank from dense")
