@@ -45,6 +45,17 @@ def str7(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(X.heuristic_terms(F.col("text"))).alias("term"))
 
 
+_FOUND = ", ".join(f"regexp_extract_all(t, {quoted(p.removeprefix('(?U)'))}, {g})" for p, g in ((X.CAMEL_CASE, 0), (X.ALL_CAPS, 0), (X.DOT_PATH, 0), (X.BACKTICK, 1), (X.FUNCTION_CALL, 0)))
+
+
+@query("str7_plain_terms", f"select doc_id, n, term from (select doc_id, unnest(x) as term, unnest(range(1, len(x) + 1))::int as n from (select doc_id, list_sort(list_distinct(flatten([{_FOUND}]))) as x from (select doc_id, {_PLAIN} as t from documents)))")
+def str7b(spark, sf):
+    """str7 with its order, on texts whose other letters than ASCII's are 0, as SQL's patterns know ASCII words only."""
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "0")
+    own = table(spark, sf, "documents").select("doc_id", F.posexplode(X.heuristic_terms(plain)).alias("i", "term"))
+    return own.select("doc_id", (F.col("i") + 1).alias("n"), "term")
+
+
 @query("str10_normalize_term", "select distinct translate(trim(lower(source || '-' || lang || '_X')), '-_', '  ') as term from documents")
 def str10(spark, sf):
     return table(spark, sf, "documents").select(X.normalize_term(F.concat("source", F.lit("-"), "lang", F.lit("_X"))).alias("term")).distinct()
