@@ -9,6 +9,7 @@ from corpuslode.functions import answers as A
 from corpuslode.functions import text as X
 from corpuslode.operators import evaluate as M
 from corpuslode.operators import judgement as J
+from corpuslode.operators import keywords as K
 from corpuslode.operators import rollup as R
 from corpuslode.operators import similar as SIM
 from corpuslode.operators import search as S
@@ -255,6 +256,12 @@ def str13b(spark, sf):
     return SIM.similar(own("benchmark"), own("conversations"))
 
 
+@query("str24_yake")
+def str24b(spark, sf):
+    """The ten keywords of up to two words of every whole document by its own statistics."""
+    return K.extracted(table(spark, sf, "documents"))
+
+
 @query("met5_sign_flip")
 def met5(spark, sf):
     e = table(spark, sf, "events").where("event_type in ('view', 'error')")
