@@ -12,6 +12,11 @@ def mean_vectors(rows: DataFrame, by: list[str], column: str = "embedding") -> D
     return parts.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(column))
 
 
+def rounded(vector: str, digits: int = 6) -> Column:
+    """A vector's components to so many digits; a negative one that rounds to zero keeps its sign, as in SQL."""
+    return F.transform(vector, lambda x: F.round(F.abs(x), digits) * F.signum(x))
+
+
 def spans_of(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"), F.count("*").alias("n"))
 
