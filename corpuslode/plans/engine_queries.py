@@ -152,11 +152,12 @@ _KEY = "'d' || doc_id || '_' || left(md5(doc_id::varchar), 6)"
 
 @query("snk3_cascade", f"with d as (select {_KEY} as doc_id, doc_id as n from documents) select (select count(*) from d where n % 10 <> 0) as documents, (select count(*) from d where n % 10 <> 0) * 2 as headings, (select count(*) from d where n % 10 <> 0) * 6 as chunks, (select count(*) from d where n % 10 = 0) as deleted")
 def snk3b(spark, sf):
-    """Documents by the hash that ends their ids, with their headings and chunks."""
-    key = F.concat(F.lit("d"), "doc_id", F.lit("_"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 6))
+    """Documents by the hash that ends their ids, with their headings and chunks. The whole hash: six digits of it are shared
+    by several of some ten thousand documents, and all of them would go."""
+    key = F.concat(F.lit("d"), "doc_id", F.lit("_"), F.md5(F.col("doc_id").cast("string")))
     d = table(spark, sf, "documents").select(key.alias("doc_id"), F.col("doc_id").alias("n"))
     several = lambda n: d.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k"))
-    hashes = d.where("n % 10 = 0").select(F.expr("right(doc_id, 6)").alias("hash"))
+    hashes = d.where("n % 10 = 0").select(F.expr("right(doc_id, 32)").alias("hash"))
     docs, heads, chunks, deleted = tables.delete_cascade(d, several(2), several(6), hashes)
     count = lambda t, name: t.agg(F.count("*").alias(name))
     return count(docs, "documents").join(count(heads, "headings")).join(count(chunks, "chunks")).join(deleted)

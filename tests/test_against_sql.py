@@ -22,3 +22,9 @@ def test_means_that_round_to_zero_keep_their_sign(spark, tmp_path):
     for name in ("agg2_document_vectors", "agg5_mean_vectors"):
         got, want = rows_of(spark, tmp_path, name, embeddings=e)
         assert got == want and "-0.0" in got[0]
+
+
+def test_cascade_leaves_documents_that_share_six_digits_of_a_hash(spark, tmp_path):
+    ids = [10760, 4982, 10, 11, 30, 31]  # the first two have the same six
+    got, want = rows_of(spark, tmp_path, "snk3_cascade", documents=pd.DataFrame({"doc_id": ids}))
+    assert got == want
