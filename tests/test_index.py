@@ -135,3 +135,16 @@ def test_bmx_differs_from_bm25(spark):
     q = spark.createDataFrame([(1, "rare common")], "query_id long, text string")
     assert S.bm25(chunks, q, 1).first().chunk_id == 1 and S.bmx(chunks, q, 1).first().chunk_id == 2
     assert S.bmx(chunks, q.limit(0), 3).count() == 0 and S.bmx(chunks, spark.createDataFrame([(1, "no"), (2, None)], q.schema), 3).count() == 0
+
+
+def test_dead_places_stand_on_a_shards_row_alone(spark):
+    """One list a shard, not one a block; frequencies leave the dead out."""
+    rows = spark.createDataFrame([(i, ["a", f"b{i % 3}", f"c{i}"]) for i in range(600)], "id long, terms array<string>").repartition(2)
+    index = blockmax.build(rows).cache()
+    dead = blockmax.places(index, spark.createDataFrame([(i,) for i in range(0, 300, 2)], "id long")).where("shard is not null")
+    gone = dead.groupBy("shard").agg(F.collect_set("place").alias("places"))
+    own = blockmax._with_dead(index, gone)
+    assert own.where("term is not null and dead is not null").count() == 0
+    assert own.where("term is null").selectExpr("sum(size(dead))").first()[0] == 150 and own.count() == index.count()
+    asked = spark.createDataFrame([("a",), ("b0",), ("c0",), ("c1",)], "term string")
+    assert {tuple(r) for r in blockmax.frequencies(index, asked, gone).collect()} == {("a", 450), ("b0", 150), ("c1", 1)}
