@@ -62,10 +62,18 @@ def recommendations(overlap: float, correlation: float, potential: float, first_
 
 
 def ranks(rows: DataFrame, column: str, name: str, by: str) -> DataFrame:
-    """Adds the average rank (ties share it) of a column, in ascending order, over `by` groups."""
-    w = Window.partitionBy(by).orderBy(column)
-    ties = Window.partitionBy(by, column)
-    return rows.withColumn(name, F.rank().over(w) + (F.count("*").over(ties) - 1) / 2)
+    """Adds the average rank (ties share it) of a column, in ascending order, over `by` groups.
+
+    Ranks are counted within ranges of the column, after the rows of the ranges before: no group is one task's work.
+    """
+    ranged = _ranged(rows, column)
+    counts = ranged.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_at")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_by").orderBy("_at")) - F.col("_n")).drop("_n")  # a row a range
+    w = Window.partitionBy(by, "_range").orderBy(column)
+    ties = Window.partitionBy(by, "_range", column)
+    own = ranged.withColumn(name, F.rank().over(w) + (F.count("*").over(ties) - 1) / 2)
+    own = own.join(F.broadcast(before), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_at")))
+    return own.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_by", "_at", "_before")
 
 
 def spearman(rows: DataFrame, a: str, b: str, by: str) -> DataFrame:
@@ -75,10 +83,32 @@ def spearman(rows: DataFrame, a: str, b: str, by: str) -> DataFrame:
 
 
 def auc(rows: DataFrame, score: str, label: str, by: str) -> DataFrame:
-    """(by, auc): the area under the ROC curve, by the rank sum of the positives; null where a class is missing."""
-    r = ranks(rows.where(F.col(score).isNotNull()), score, "_r", by)
-    p, n = F.sum(F.col(label)), F.sum(1 - F.col(label))
-    return r.groupBy(by).agg(F.round((F.sum(F.col("_r") * F.col(label)) - p * (p + 1) / 2) / F.nullif(p * n, F.lit(0)), 6).alias("auc"))
+    """(by, auc): the area under the ROC curve, by the rank sum of the positives; null where a class is missing.
+
+    Equal scores are counted first. Ranks are running sums of the counts within ranges of scores, after the sums of the ranges
+    before: no group's rows are one task's work.
+    """
+    y = F.col(label)
+    ties = rows.where(F.col(score).isNotNull()).groupBy(by, F.col(score).alias("_s")).agg(F.count("*").alias("_n"), F.sum(y).alias("_p"), F.sum(1 - y).alias("_q"))
+    ties = _ranged(ties, "_s")
+    within = Window.partitionBy(by, "_range").orderBy("_s")
+    # of a range: rows, classes, and the positives' rank sum (doubled, so that it is whole) if nothing came before it
+    own = ties.withColumn("_2r", F.col("_p") * (2 * F.sum("_n").over(within) - F.col("_n") + 1))
+    ranges = own.groupBy(by, "_range").agg(*[F.sum(c).alias(c) for c in ("_n", "_p", "_q", "_2r")])
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_range")) - F.col("_n")  # a row a range
+    whole = ranges.withColumn("_2r", F.col("_2r") + 2 * F.col("_p") * before)
+    p, q = F.sum("_p"), F.sum("_q")
+    return whole.groupBy(by).agg(F.round((F.sum("_2r") / 2 - p * (p + 1) / 2) / F.nullif(p * q, F.lit(0)), 6).alias("auc"))
+
+
+def _ranged(rows: DataFrame, column: str) -> DataFrame:
+    """rows with `_range`: ascending numbers of about as many ranges of the column as there are shuffle partitions."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(rows.select(F.col(column).cast("double").alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
+    if not cuts:
+        return rows.withColumn("_range", F.lit(0))
+    at = F.array(*[F.lit(c) for c in cuts])
+    return rows.withColumn("_range", F.size(F.filter(at, lambda c: c < F.col(column))))
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str, by: Column) -> DataFrame:

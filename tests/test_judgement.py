@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from corpuslode.functions import complexity as C
+from corpuslode.operators import judgement as J
 from corpuslode.operators.headings import with_parents
 
 
@@ -25,3 +26,15 @@ def test_facts_levels_and_weights(spark):
     levels = [("HIGH", 0.2), ("MEDIUM", 0.9), ("MEDIUM", 0.1), ("LOW", 0.9)]
     assert [r[0] for r in spark.createDataFrame(levels, "l string, c double").select(C.level_score(F.col("l"), F.col("c"))).collect()] == [0.8, 0.79, 0.5, 0.49]
     assert [r[0] for r in spark.createDataFrame([(1,), (2,), (5,), (6,), (None,)], "r int").select(C.position_weight(F.col("r"))).collect()] == [1.0, 0.95, 0.85, 0.6, 0.6]
+
+
+def test_ranks_and_areas_are_counted_in_ranges(spark):
+    """One group of many rows, with ties: several ranges, and the ranks and area of a plain count."""
+    rows = [("a", float((i * 7) % 50), i % 2 if i % 5 else 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, x double, y long")
+    assert J._ranged(df, "x").select("_range").distinct().count() > 1
+    ranked = J.ranks(df, "x", "r", "g").select("x", "r").distinct().collect()
+    assert all(r.r == sum(x < r.x for _, x, _ in rows) + (sum(x == r.x for _, x, _ in rows) + 1) / 2 for r in ranked) and len(ranked) == 50
+    up, down = ([x for _, x, y in rows if y == k] for k in (1, 0))
+    want = sum((p > q) + (p == q) / 2 for p in up for q in down) / len(up) / len(down)
+    assert J.auc(df, "x", "y", "g").first()["auc"] == round(want, 6)
