@@ -28,3 +28,40 @@ def test_cascade_leaves_documents_that_share_six_digits_of_a_hash(spark, tmp_pat
     ids = [10760, 4982, 10, 11, 30, 31]  # the first two have the same six
     got, want = rows_of(spark, tmp_path, "snk3_cascade", documents=pd.DataFrame({"doc_id": ids}))
     assert got == want
+
+
+SPARSE = ("spr6_okapi", "spr7_weighted_fields", "spr8_bmx", "spr2_without_index", "hyb6_contextual")
+
+
+def _texts():
+    docs = ["  b a a\nc", None, "", "   ", "a a a a", "c b\n\nx é É", "a", "a", "b c ä", "z " * 50] * 3
+    d = pd.DataFrame({"doc_id": range(len(docs)), "text": docs, "lang": "en", "source": "s"})
+    return {"documents": d, "benchmark": pd.DataFrame({"item_id": [7, 3, 9, 5, 1], "text": ["a b b É", "q", None, "  C a", "c z x b a"]})}
+
+
+def test_sparse_scores_of_odd_texts(spark, tmp_path):
+    for name in SPARSE:
+        got, want = rows_of(spark, tmp_path, name, **_texts())
+        assert got == want and got, name
+
+
+def test_sparse_scores_in_parts(spark, tmp_path, monkeypatch):
+    """Query sets too large for one pass, and batches that are scored a few chunks at a time."""
+    from corpuslode.operators import search as S
+
+    monkeypatch.setattr(S, "MOST_TERMS", 4)
+    monkeypatch.setattr(S, "CELLS", 5)
+    for name in SPARSE:
+        got, want = rows_of(spark, tmp_path, name, **_texts())
+        assert got == want, name
+
+
+def test_sparse_scores_stay_in_their_tasks(spark, tmp_path):
+    """Only each task's best hits are dealt, by query: no posting, no sum of a query and a chunk."""
+    from corpuslode.plans import catalog
+
+    for name, t in _texts().items():
+        t.to_parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("spr6_okapi", "spr7_weighted_fields"):
+        plan = catalog.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan, plan
