@@ -70,3 +70,23 @@ def test_stream(spark, tmp_path):
         assert [r.text for r in got] == ["one", "two"] and got[0].doc_id.startswith("b_")
         put("f.json", json.dumps(record))  # the same content once more: replaces, does not add
     assert {r.error for r in spark.read.parquet(at[1]).collect()} == {"not JSON", "no source_file"}
+
+
+def test_tokens_are_looked_for_once(monkeypatch):
+    """A sentence of many words, and many sentences: what is read to count tokens is no more than the text."""
+    from corpuslode.operators import chunking as C
+
+    read, own = [], C.n_tokens
+    monkeypatch.setattr(C, "n_tokens", lambda text: read.append(len(text)) or own(text))
+    text = "word " * 2000 + "end. " + "Some short sentence. " * 300
+    chunks = C.sentences(text)
+    assert all(own(c.text) <= 200 for c in chunks) and len(chunks) > 10
+    assert sum(read) <= len(text)
+
+
+def test_counts_of_spans():
+    from corpuslode.operators import chunking as C
+
+    text = " one,two  three\n\nfour-five six "
+    n = C.counted_words(text)
+    assert all(n(i, j) == C.n_words(text[i:j]) for i in range(len(text)) for j in range(i, len(text) + 1))
