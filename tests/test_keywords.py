@@ -41,3 +41,14 @@ def test_extracted(spark):
     got = K.extracted(d, 3)
     assert got.where("doc_id = 1").count() == 6 and got.where("doc_id in (2, 3)").count() == 0 and got.where("doc_id = 4").count() == 1
     assert got.agg(F.max("rank")).first()[0] == 3 and K.extracted(d.limit(0)).count() == 0
+
+
+def test_keywords_of_unlike_lengths_are_not_matched(monkeypatch):
+    """No string is matched with one whose length alone rules likeness out; the keywords stay the same."""
+    from corpuslode.operators import keywords as K
+
+    text = "Spark shuffles partitions. Antidisestablishmentarianism puzzles readers. Spark joins interoperability. Oak trees grow."
+    want, own, met = K.keywords(text), K.SequenceMatcher, []
+    monkeypatch.setattr(K, "SequenceMatcher", lambda junk, a, b: met.append((a, b)) or own(junk, a, b))
+    assert K.keywords(text) == want and want
+    assert all(2 * min(len(a), len(b)) >= 0.9 * (len(a) + len(b)) for a, b in met)
