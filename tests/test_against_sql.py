@@ -65,3 +65,14 @@ def test_sparse_scores_stay_in_their_tasks(spark, tmp_path):
     for name in ("spr6_okapi", "spr7_weighted_fields"):
         plan = catalog.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan, plan
+
+
+def test_pages_are_lowered_once(spark, tmp_path):
+    """Not once a candidate; and terms are grounded as in SQL, in pages that are null, empty or in capitals too."""
+    html = ["<title>Some TITLES here</title> Alpha beta-gamma word words ALPHA Beta gammas", None, "", "<TITLE>X</TITLE> MARGIN Margin margins", "<title>Query</title> queries Querying"]
+    got, want = rows_of(spark, tmp_path, "agg7_grounding", pages=pd.DataFrame({"page_id": range(5), "html": html, "url": "u"}))
+    assert got == want and got
+    from corpuslode.plans import catalog
+
+    plan = catalog.queries()["agg7_grounding"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(body" in plan and "Contains(lower(" not in plan
