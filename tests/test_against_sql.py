@@ -76,3 +76,13 @@ def test_pages_are_lowered_once(spark, tmp_path):
 
     plan = catalog.queries()["agg7_grounding"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(body" in plan and "Contains(lower(" not in plan
+
+
+def test_validated_terms_lower_pages_once(spark, tmp_path):
+    from corpuslode.plans import catalog
+
+    html = ["<title>Some Titles here</title> Alpha beta words Alpha titles", None, "", "Margin margins class"]
+    got, want = rows_of(spark, tmp_path, "agg11_validated_terms", pages=pd.DataFrame({"page_id": range(4), "html": html, "url": "u"}))
+    assert got == want and got
+    plan = catalog.queries()["agg11_validated_terms"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(body" in plan and "Contains(lower(" not in plan
