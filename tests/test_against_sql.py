@@ -86,3 +86,36 @@ def test_validated_terms_lower_pages_once(spark, tmp_path):
     assert got == want and got
     plan = catalog.queries()["agg11_validated_terms"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(body" in plan and "Contains(lower(" not in plan
+
+
+def test_tiers_need_no_snippets_and_terms_are_made_once(spark, tmp_path):
+    """The index's counts without texts, terms that no decision makes again, rules of structure once a term; rows as in SQL."""
+    from corpuslode.plans import catalog
+
+    html = ["<title>Some Titles HERE</title> Alpha beta_x words Alpha titles class article", None, "", "Margin margins class Alpha doctype", "<title>Query Alpha</title> queries Querying alphas charset"]
+    for name in ("agg10_tiers", "agg11_validated_terms", "agg12_term_index"):
+        got, want = rows_of(spark, tmp_path, name, pages=pd.DataFrame({"page_id": range(5), "html": html, "url": "u"}))
+        assert got == want and got, name
+    plan = catalog.queries()["agg11_validated_terms"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("Relation[") <= 6 and "locate(" not in plan and plan.count("Ctrl") == 1, plan
+
+
+def test_decisions_as_a_frame_or_a_column(spark):
+    from pyspark.sql import functions as F
+
+    from corpuslode.operators import terms as T
+
+    rows = [(1, "a", "A", "HIGH", 0.1), (1, "b", "b", "MEDIUM", 0.95), (2, "c", "c", "MEDIUM", 0.5), (3, "c", "c", "MEDIUM", 0.5), (4, "d", "d", "LOW", 1.0)]
+    terms = spark.createDataFrame(rows, "doc_id long, key string, term string, tier string, ratio double")
+    decision = F.when(F.col("doc_id") == 3, "GENERIC").otherwise("ENTITY")
+    for d in (decision, terms.select("doc_id", "term", decision.alias("decision"))):
+        assert sorted((r.doc_id, r.key) for r in T.validated(terms, T.Strategy(), d).collect()) == [(1, "a"), (1, "b"), (2, "c")]
+
+
+def test_counts_are_those_of_the_term_index(spark):
+    from corpuslode.operators import terms as T
+
+    docs = spark.createDataFrame([(i, f"the cat sat on w{i % 3}") for i in range(12)], "doc_id long, text string")
+    entities = docs.where("doc_id < 8").selectExpr("doc_id", "'Cat' as term")
+    got = T.term_counts(docs, entities)
+    assert sorted(got.collect()) == sorted(T.term_index(docs, entities).select(*got.columns).collect()) and got.count() == 7
