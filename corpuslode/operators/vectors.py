@@ -2,8 +2,8 @@
 
 Centres of lists and codebooks are trained on a bounded sample; every vector is in the index. A vector is in the list of its
 nearest centre, as one byte for each few dimensions of what is left of it. A search reads codes only: per query the lists with
-the greatest products, table look-ups for each code, the best `candidates` of all tasks; these alone meet their vectors again
-and are scored exactly. How many lists and candidates a search takes is tuned on the sample when the index is built, for the
+the greatest products, one product of a list's decoded rows with all its queries, the best `candidates` of all tasks; these
+alone meet their vectors again and are scored exactly. How many lists and candidates a search takes is tuned on the sample when the index is built, for the
 share of true neighbours that is asked for.
 """
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from corpuslode.operators import search as S
 from corpuslode.sources.versions import Manifests
 
-#: Rows that the centres and codebooks are trained on; lists; dimensions of a code's byte; queries of one pass.
-SAMPLE, MOST_LISTS, SUB, PASS = 20_000, 4096, 4, 2048
+#: Rows that the centres and codebooks are trained on; lists; dimensions of a code's byte; queries of one pass; codes of a task.
+SAMPLE, MOST_LISTS, SUB, PASS, CODES = 20_000, 4096, 4, 2048, 1 << 16
 
 
 def k_means(rows: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
@@ -67,9 +67,10 @@ class Books:
         rest = self.parted(rows - self.centres[own])
         return own, np.stack([nearest(rest[:, m], self.books[m]) for m in range(rest.shape[1])], axis=1).astype(np.uint8)
 
-    def tables(self, queries: np.ndarray) -> np.ndarray:
-        """Products of each query with the 256 centres of each group."""
-        return np.einsum("qmd,mcd->qmc", self.parted(queries), self.books)
+    def decoded(self, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The rows that codes stand for."""
+        rest = np.concatenate([self.books[m][codes[:, m]] for m in range(codes.shape[1])], axis=1)
+        return self.centres[own] + rest[:, : self.centres.shape[1]]
 
     def saved(self) -> dict:
         pack = lambda x: {"shape": x.shape, "data": base64.b64encode(x.astype("<f4").tobytes()).decode()}
@@ -84,27 +85,34 @@ def _units(rows: np.ndarray) -> np.ndarray:
     return S._unit(rows)
 
 
-def tuned(books: Books, rows: np.ndarray, k: int, recall: float) -> tuple[int, int]:
-    """(lists, candidates) for that share of the k true neighbours of some of the rows among all of them."""
-    q = rows[:: max(1, len(rows) // 200)][:200]
+def tuned(books: Books, rows: np.ndarray, k: int, recall: float, total: int | None = None) -> tuple[int, int]:
+    """(lists, candidates) for that share of the k true neighbours, besides itself, of some of the rows among all of `total`.
+
+    rows are a sample: where there are `scale` times as many, the k nearest lie as deep as the k / scale nearest of the sample,
+    and as many more rows lie before them. Beyond a scale of k the sample has no such neighbours.
+    """
+    scale = max(1.0, min((total or len(rows)) / len(rows), k))
+    at = np.arange(len(rows))[:: max(1, len(rows) // 200)][:200]
+    q = rows[at]
     own, codes = books.code(rows)
     scores, product = q @ rows.T, q @ books.centres.T
-    k = min(k, len(rows))
+    scores[np.arange(len(q)), at] = -np.inf
+    k = max(1, min(round(k / scale), len(rows) - 1))
     truth = np.argpartition(-scores, k - 1, axis=1)[:, :k]
     place = np.argsort(np.argsort(-product, axis=1), axis=1)  # of each list for each query
     where = place[np.arange(len(q))[:, None], own[truth]]
     lists = next(n for n in [*sorted({2**i for i in range(12)} | {3 * 2**i for i in range(11)}), 1 << 13] if n >= len(books.centres) or (where < n).mean() >= (1 + recall) / 2)
     lists = min(lists, len(books.centres))
-    table = books.tables(q)
-    near = product[:, own] + sum(table[:, m][:, codes[:, m]] for m in range(codes.shape[1]))
+    near = q @ books.decoded(own, codes).T
     near[place[:, own] >= lists] = -np.inf
+    near[np.arange(len(q)), at] = -np.inf
     order = np.argsort(np.argsort(-near, axis=1), axis=1)
     found = order[np.arange(len(q))[:, None], truth]
     reached = where < lists
     n = k
     while n < len(rows) and ((found < n) & reached).mean() < recall:
         n *= 2
-    return lists, n
+    return lists, int(np.ceil(n * scale))
 
 
 class VectorIndex:
@@ -127,7 +135,7 @@ class VectorIndex:
         own = np.array([r[1] for r in got], np.float64)
         own = _units(own) if cosine else own
         books = Books.trained(own, lists or int(min(MOST_LISTS, max(1, len(own) // 8), max(1, 2 * n**0.5))))
-        probes, candidates = tuned(books, own, k, recall)
+        probes, candidates = tuned(books, own, k, recall, n)
         at, sent = self.manifests.folder(), self.spark.sparkContext.broadcast(books)
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,37 +178,34 @@ class VectorIndex:
         product = q @ books.centres.T
         probed = np.zeros(product.shape, bool)
         np.put_along_axis(probed, np.argpartition(-product, min(probes, product.shape[1]) - 1, axis=1)[:, :probes], True, axis=1)
-        sent = self.spark.sparkContext.broadcast((product, probed, books.tables(q).astype(np.float32)))
+        sent = self.spark.sparkContext.broadcast((q.astype(np.float32), probed, Books(books.centres.astype(np.float32), books.books.astype(np.float32))))
         wanted = np.flatnonzero(probed.any(axis=0)).tolist()
 
         def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            product, probed, table = sent.value
-            held: list = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(product)
+            q, probed, books = sent.value
+            ids, scores = np.zeros((len(q), best), np.int64), np.full((len(q), best), -np.inf, np.float32)  # the best so far
             for b in it:
                 where, own = b.column("list").to_numpy(), b.column("id").to_numpy()
                 if not len(where):
                     continue
-                codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(where), -1)
+                rows = books.decoded(where, np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(where), -1))
                 cuts = [0, *(np.flatnonzero(where[1:] != where[:-1]) + 1).tolist(), len(where)]
                 for i, j in zip(cuts, cuts[1:]):
                     some = np.flatnonzero(probed[:, where[i]])
-                    if not len(some):
-                        continue
-                    score = product[some, where[i]][:, None].astype(np.float32)
-                    score = score + sum(table[some, m][:, codes[i:j, m]] for m in range(codes.shape[1]))
-                    for row, x in zip(score, some.tolist()):
-                        a, s = np.concatenate([held[x][0], own[i:j]]), np.concatenate([held[x][1], row])
-                        if len(s) > 4 * best:
-                            top = np.argpartition(-s, best - 1)[:best]
-                            a, s = a[top], s[top]
-                        held[x] = a, s
-            for lo in range(0, len(held), 64):
-                some = [(x, *held[x]) for x in range(lo, min(lo + 64, len(held))) if len(held[x][0])]
-                cut = [(x, a[t], s[t]) for x, a, s in some for t in [np.argsort(-s, kind="stable")[:best]]]
-                if cut:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x for x, _, _ in cut], [len(a) for _, a, _ in cut])), pa.array(np.concatenate([a for _, a, _ in cut])), pa.array(np.concatenate([s for _, _, s in cut]).astype(np.float64))], names=["query_id", "chunk_id", "score"])
+                    for lo in range(0, len(some), 256):
+                        x = some[lo : lo + 256]
+                        s = np.concatenate([scores[x], q[x] @ rows[i:j].T], axis=1)
+                        top = np.argpartition(-s, best - 1, axis=1)[:, :best]
+                        a = np.concatenate([ids[x], np.broadcast_to(own[i:j], (len(x), j - i))], axis=1)
+                        ids[x], scores[x] = np.take_along_axis(a, top, axis=1), np.take_along_axis(s, top, axis=1)
+            for lo in range(0, len(q), 64):
+                row, column = np.nonzero(scores[lo : lo + 64] > -np.inf)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(row + lo), pa.array(ids[row + lo, column]), pa.array(scores[row + lo, column].astype(np.float64))], names=["query_id", "chunk_id", "score"])
 
         codes = self.spark.read.schema("list int, id long, code binary").parquet(f"{self.path}/{state['at']}/codes")
+        # every task sends its best: small files make no tasks of their own, the passes of a query set run side by side
+        codes = codes.coalesce(-(-state["rows"] // CODES))
         if len(wanted) <= 64:
             codes = codes.where(F.col("list").isin(wanted))
         first = S.ranked(codes.mapInArrow(near, "query_id long, chunk_id long, score double"), best).select(F.col("query_id").alias("q"), F.col("chunk_id").alias("id"))

@@ -71,3 +71,18 @@ def test_recall_on_the_embeddings(spark, tmp_path):
     index.build(e)
     q = e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
     assert V.recall(index.search(q, 10), S.dense(e.withColumnRenamed("id", "chunk_id"), q, 10)) >= 0.9
+
+
+def test_candidates_are_tuned_for_depth_and_all_rows(spark, tmp_path):
+    """The sample's neighbours lie farther than those among all rows; small files of codes make no tasks of their own."""
+    x = np.random.default_rng(4).normal(size=(6000, 16))
+    books = V.Books.trained(x[:600], 20)
+    few, many = (V.tuned(books, x[:600], 30, 0.97, n)[1] for n in (600, 6000))
+    assert many > 1.5 * few
+    rows = table(spark, x)
+    index = V.VectorIndex(spark, str(tmp_path / "i"))
+    index.build(rows, sample=600, k=30)
+    q = rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    found = index.search(q, 30)
+    assert V.recall(found, S.dense(rows.withColumnRenamed("id", "chunk_id"), q, 30)) >= 0.9
+    assert "Coalesce 1" in found._jdf.queryExecution().executedPlan().toString()
