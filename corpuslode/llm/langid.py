@@ -2,14 +2,17 @@
 
 A text is the mean of the embeddings of its lower-cased UTF-8 3- and 4-grams; a softmax layer reads the language off it.
 Both are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows (`per_language` rows of each).
+That runs in a task: the sample's texts, and what training makes of them, never reach the driver, which gets the model.
 A fifth of the sample is held back from that: its likelihood sets the temperature of the scores, and its correctly
 labelled rows set the score below which a text is rejected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslode.llm.common import batches, id_text, trimmed
+from corpuslode.llm.tokens import released
 
 BUCKETS, DIM = 1 << 16, 16
 UNKNOWN = "und"
@@ -62,8 +66,10 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
-    rows = [(np.unique(grams(t), return_counts=True), names.index(x)) for t, x in zip(texts, langs)]
-    rows = [(i, (n / n.sum()).astype(np.float32), y) for (i, n), y in rows]
+    rows = []
+    for t, x in zip(texts, langs):
+        i, n = np.unique(grams(t), return_counts=True)
+        rows.append((i, (n / n.sum()).astype(np.float32), names.index(x)))
     held = rng.random(len(rows)) < 0.2
     fit = [r for r, h in zip(rows, held) if not h] or rows
     emb = rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) / DIM
@@ -103,11 +109,11 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5
     return model
 
 
-def sample_of(docs: DataFrame, keys: DataFrame, label: str, each: int, labels: int = LABELS, longest: int = LONGEST) -> tuple[list, list]:
-    """Whole texts and labels of at most `each` ids of keys (doc_id, label) a label, the least by a hash of doc_id.
+def sampled(docs: DataFrame, keys: DataFrame, label: str, each: int, labels: int = LABELS, longest: int = LONGEST) -> DataFrame:
+    """(doc_id, label, text): whole texts of at most `each` ids of keys (doc_id, label) a label, the least by a hash of doc_id.
 
-    Only that bounded sample reaches the driver: of at most `labels` labels, the commonest; of rows with one doc_id the one
-    with the least text; no text of more than `longest` characters. Ids are chosen before any text is read.
+    A bounded sample: of at most `labels` labels, the commonest; of rows with one doc_id the one with the least text; no text
+    of more than `longest` characters. Ids are chosen before any text is read; only they reach the driver.
     """
     # A label may hold most rows. Its rows are counted first; only those whose hash lies below the share of the hash range that
     # should hold `each` of them, and 8 standard deviations more, meet in its window. One count a label is broadcast.
@@ -119,11 +125,37 @@ def sample_of(docs: DataFrame, keys: DataFrame, label: str, each: int, labels: i
     chosen = low.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= each).select(F.col("doc_id").alias("_id"), F.col(label).alias("_label"))
     got = [(r[0], r[1]) for r in chosen.collect()]  # bounded: `each` rows a label
     ids = docs.sparkSession.createDataFrame(got or [(None, None)], chosen.schema)
-    rows = docs.where(F.length("text") <= longest).join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).groupBy("doc_id", "_label").agg(F.min("text").alias("text")).collect()
+    rows = docs.where(F.length("text") <= longest).join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+    return rows.select("doc_id", F.col("_label").alias("label"), "text")
+
+
+def _in_order(rows: list[tuple]) -> tuple[list, list]:
+    """Texts and labels of (doc_id, label, text), in the one order that training sees."""
     rows = sorted(rows, key=lambda r: (r[0], str(r[1])))
     return [r[2] for r in rows], [r[1] for r in rows]
 
 
+def sample_of(docs: DataFrame, keys: DataFrame, label: str, each: int, labels: int = LABELS, longest: int = LONGEST) -> tuple[list, list]:
+    """The texts and labels of sampled(), on the driver."""
+    return _in_order(sampled(docs, keys, label, each, labels, longest).collect())
+
+
+def trained(sample: DataFrame, make: Callable[[list[str], list], Any]) -> Any:
+    """make(texts, labels) of a bounded sample (doc_id, label, text), called in one task; only what it returns reaches the driver."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
+        rows = [r for columns in batches(it, "doc_id", "label", "text") for r in zip(*columns)]
+        if rows:
+            model = pickle.dumps(make(*_in_order(rows)))
+            del rows
+            trimmed()
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    got = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0][0]) if got else make([], [])
+
+
 def held_out(column: str, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts == part, F.lit(False))
 
@@ -132,9 +164,7 @@ def fit(docs: DataFrame, usable: Column, per_language: int = 1500) -> Model:
     """Trains on at most per_language rows of each lang among the usable rows of docs (doc_id, text, lang)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), usable.alias("use"))
     keys = base.where("use and lang is not null and doc_id is not null").select("doc_id", "lang")
-    model = train(*sample_of(id_text(docs), keys, "lang", per_language))
-    trimmed()
-    return model
+    return trained(sampled(id_text(docs), keys, "lang", per_language), train)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

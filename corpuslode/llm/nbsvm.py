@@ -3,7 +3,8 @@
 A text is the set of its hashed byte 3- and 4-grams. Each indicator is scaled by the
 log-ratio of its smoothed counts in the two classes; a linear hinge-loss model is fitted to the scaled, normalised vectors by
 dual coordinate descent (Hsieh et al., 2008). Margins become scores by Platt's sigmoid, fitted on rows held back from it.
-Training takes a bounded sample (`per_class` labelled rows a class); the scores are set back to the classes' true shares.
+Training takes a bounded sample (`per_class` labelled rows a class) and runs in a task, as langid's does; the scores are set
+back to the classes' true shares.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslode.llm.common import batches, id_text, trimmed
-from corpuslode.llm.langid import grams, held_out, sample_of
+from corpuslode.llm.common import batches, id_text
+from corpuslode.llm.langid import grams, held_out, sampled, trained
 
 BITS = 18
 THRESHOLD = 0.3
@@ -122,9 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     own = own.where(usable).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     share = own.agg(F.avg("label")).first()[0]
-    model = train(*sample_of(id_text(docs), own.groupBy("doc_id").agg(F.max("label").alias("label")), "label", per_class), share)
-    trimmed()
-    return model
+    keys = own.groupBy("doc_id").agg(F.max("label").alias("label"))
+    return trained(sampled(id_text(docs), keys, "label", per_class), lambda texts, labels: train(texts, labels, share))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
